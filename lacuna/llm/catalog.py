@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lacuna.llm import quality_rules
+from lacuna.llm import ngram_join, quality_rules
 
 QUERIES = {
+    "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op4_ngram_jaccard": ngram_join.OP4_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
 }
