@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lacuna.llm import ngram_join, quality_rules
+from lacuna.llm import ngram_join, quality_rules, substring_dedup
 
 QUERIES = {
     "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 
