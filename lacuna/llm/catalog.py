@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lacuna.llm import ngram_join, quality_rules, substring_dedup
+from lacuna.llm import mixing, ngram_join, quality_rules, substring_dedup
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op1_mixing": mixing.OP1_SQL,
     "op4_ngram_jaccard": ngram_join.OP4_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
 }
