@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lacuna.llm import mixing, ngram_join, quality_rules, substring_dedup
+from lacuna.llm import line_dedup, mixing, ngram_join, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
@@ -13,6 +14,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op3_line_dedup": line_dedup.OP3_SQL,
     "op4_ngram_jaccard": ngram_join.OP4_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
 }
