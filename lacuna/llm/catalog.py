@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lacuna.llm import line_dedup, mixing, ngram_join, quality_rules, substring_dedup
+from lacuna.llm import line_dedup, mixing, ngram_join, packing, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_packing": packing.op2_packing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
