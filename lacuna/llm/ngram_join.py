@@ -201,8 +201,9 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool =
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the smallest id; columns of ``docs``."""
     membership, _ = ngram_join(docs, size, percent)
-    going = membership.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(stash(going, "going"), "doc_id", "left_anti").select(*docs.columns)
+    going = stash(membership.where("component_id < doc_id").select("doc_id").distinct(), "going")
+    few = going.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(going) if few else going, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
