@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lacuna.llm import line_dedup, mixing, ngram_join, packing, quality_rules, substring_dedup
+from lacuna.llm import line_dedup, mixing, ngram_join, packing, quality_rules, substring_dedup, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_warc": warc.op8_warc,
 }
 
 ORACLE_SQL = {
@@ -18,4 +19,5 @@ ORACLE_SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op4_ngram_jaccard": ngram_join.OP4_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
+    "op8_warc": warc.OP8_SQL,
 }
