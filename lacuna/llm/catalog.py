@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lacuna.llm import line_dedup, mixing, ngram_join, packing, quality_rules, substring_dedup, warc
+from lacuna.llm import line_dedup, mixing, ngram_join, packing, quality_rules, substring_dedup, topk, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_warc": warc.op8_warc,
+    "op10_topk": topk.op10_topk,
 }
 
 ORACLE_SQL = {
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op4_ngram_jaccard": ngram_join.OP4_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op10_topk": topk.OP10_SQL,
 }
