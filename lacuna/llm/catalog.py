@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lacuna.llm import line_dedup, mixing, ngram_join, packing, quality_rules, substring_dedup, topk, warc
+from lacuna.llm import line_dedup, mixing, ngram_join, packing, quality_model, quality_rules, substring_dedup, topk, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_quality_model": quality_model.op6_quality_model,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_warc": warc.op8_warc,
     "op10_topk": topk.op10_topk,
