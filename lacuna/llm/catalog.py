@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lacuna.llm import line_dedup, mixing, ngram_join, packing, quality_model, quality_rules, substring_dedup, topk, warc
+from lacuna.llm import language_id, line_dedup, mixing, ngram_join, packing, quality_model, quality_rules, substring_dedup, topk, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_model": quality_model.op6_quality_model,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_warc": warc.op8_warc,
+    "op9_language_id": language_id.op9_language_id,
     "op10_topk": topk.op10_topk,
 }
 
