@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lacuna.plans import basic  # noqa: F401
+from lacuna.plans import aggregates, basic  # noqa: F401
 from lacuna.plans.registry import ORACLE, QUERIES
 
 
