@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm.components import connected_components
@@ -160,18 +160,24 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool =
     heads = prefixes.join(classes.select(F.col("class_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "n"])
     entries = heads.select("id", "n", F.posexplode("cols").alias("pos", "col"))
     columns = entries.groupBy("col").agg(F.count(F.lit(1)).alias("length"), F.min(F.struct("pos", "n", "id")).alias("lead")).where("length > 1")
-    entries = stash(entries.join(columns, "col"), "entries")
+    # Columns that one document alone shows in its prefix are lost to each of its pairs
+    # that meet further on: only the ``met`` other columns before this one can match.
+    met_before = F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1
+    entries = stash(entries.join(columns, "col").withColumn("met", met_before), "entries")
 
-    # Enough can still be in common: what precedes the first common column is lost.
-    bound = f"100 * (least(nx - px, ny - py)) >= {percent} * (nx + ny - least(nx - px, ny - py))"
-    sizes = f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
-    enough = f"count(1) >= least({EXTRA}, ceil({percent} * greatest(max(nx), max(ny)) / 100)) AND max(IF({bound}, 1, 0)) = 1"
+    def bound(x: str, y: str) -> str:
+        most = f"least(m{x}, m{y}) + least(n{x} - p{x}, n{y} - p{y})"
+        return f"100 * ({most}) >= {percent} * (n{x} + n{y} - ({most}))"
+
+    lost = "least(nx - px, ny - py)"  # of the first common column: nothing before it is common
+    reach = f"100 * {lost} >= {percent} * (nx + ny - {lost})"
+    enough = f"count(1) >= least({EXTRA}, ceil({percent} * greatest(max(nx), max(ny)) / 100)) AND max(IF({reach}, 1, 0)) = 1"
 
     def accumulated(found: DataFrame) -> DataFrame:
-        counts = found.where(sizes).groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.expr(enough).alias("enough"))
+        counts = found.groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.expr(enough).alias("enough"))
         return stash(counts.where("enough").select("x", "y", "nx", "ny"), "pairs")
 
-    led = entries.where(f"length > {LONG} AND id <> lead.id").selectExpr("lead.id AS x", "id AS y", "lead.n AS nx", "n AS ny", "lead.pos AS px", "pos AS py")
+    led = entries.where(f"length > {LONG} AND id <> lead.id").selectExpr("lead.id AS x", "id AS y", "lead.n AS nx", "n AS ny", "lead.pos AS px", "pos AS py", "lead.pos AS mx", "met AS my").where(bound("x", "y"))
     first = _links(docs, accumulated(led), size, lower, percent)
     so_far = stash(connected_components(first, "x", "y"), "components")
 
@@ -179,10 +185,10 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool =
     lead_comp = so_far.select(F.col("node").alias("lead_id"), F.col("component").alias("lead_component"))
     named = named.withColumn("lead_id", F.col("lead.id")).join(lead_comp, "lead_id", "left")
     named = named.withColumn("outside", (F.col("length") <= LONG) | (F.col("comp") != F.coalesce("lead_component", "lead_id")))
-    named = stash(named.select("col", "pos", "id", "n", "comp", "outside"), "named")
-    left = named.where("outside").selectExpr("col", "id AS a", "n AS na", "pos AS pa", "comp AS ca")
-    right = named.selectExpr("col", "id AS b", "n AS nb", "pos AS pb", "comp AS cb", "outside AS both")
-    met = left.join(right, "col").where(f"ca <> cb AND (NOT both OR a < b) AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    named = stash(named.select("col", "pos", "met", "id", "n", "comp", "outside"), "named")
+    left = named.where("outside").selectExpr("col", "id AS a", "n AS na", "pos AS pa", "met AS ma", "comp AS ca")
+    right = named.selectExpr("col", "id AS b", "n AS nb", "pos AS pb", "met AS mb", "comp AS cb", "outside AS both")
+    met = left.join(right, "col").where(f"ca <> cb AND (NOT both OR a < b) AND {bound('a', 'b')}")
     met = met.select(
         F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.expr("IF(a < b, na, nb) AS nx"), F.expr("IF(a < b, nb, na) AS ny"),
         F.expr("IF(a < b, pa, pb) AS px"), F.expr("IF(a < b, pb, pa) AS py"),
