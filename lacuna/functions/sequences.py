@@ -165,16 +165,23 @@ def registered_core(s: Column, markers: list[str], centre: Column, tolerance: in
     ones, then the earlier marker, then the leftmost offset; among partial ones the
     longest wins.  Null if no marker is near.
     """
+    def candidate(marker, turn):
+        def row(i):
+            core = F.substring(s, i + 1 + len(marker) + skip, F.lit(size))
+            short = F.length(core) < size
+            return F.struct(short.alias("short"), F.when(short, -F.length(core)).otherwise(0).alias("less"), F.lit(turn).alias("marker"), i.alias("offset"), core.alias("core"))
+
+        return row
+
+    def starts(marker):
+        return lambda i: F.substring(s, i + 1, F.lit(len(marker))) == marker
+
     found = []
     for turn, marker in enumerate(markers):
         low = F.greatest(F.lit(0), centre - tolerance)
-        places = F.filter(F.sequence(low, F.greatest(low, centre + tolerance)), lambda i, m=marker: F.substring(s, i + 1, F.lit(len(m))) == m)
-
-        def row(i, m=marker, k=turn):
-            core = F.substring(s, i + 1 + len(m) + skip, F.lit(size))
-            return F.struct((F.length(core) < size).alias("short"), F.when(F.length(core) < size, -F.length(core)).otherwise(0).alias("less"), F.lit(k).alias("marker"), i.alias("offset"), core.alias("core"))
+        places = F.filter(F.sequence(low, F.greatest(low, centre + tolerance)), starts(marker))
 
-        found.append(F.transform(places, row))
+        found.append(F.transform(places, candidate(marker, turn)))
     best = F.array_min(F.concat(*found))
     return F.when(best.isNotNull(), F.struct(best["core"].alias("core"), (~best["short"]).alias("complete"), best["marker"].alias("marker"), best["offset"].alias("offset")))
 
