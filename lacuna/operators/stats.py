@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def mad_outlier(df: DataFrame, column: str, n: float, by: list[str] | None = None, out: str = "outlier") -> DataFrame:
@@ -111,20 +112,20 @@ def _gamma_tail(a: float, x: float) -> float:
     return front * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_two_sided(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Two-sided p of Student's t with (fractional) degrees of freedom."""
     for t, df in parts:
         yield pd.Series([None if pd.isna(x) or pd.isna(n) or n <= 0 else _incomplete_beta(n / 2, 0.5, n / (n + x * x)) for x, n in zip(t, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_upper(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for x, df in parts:
         yield pd.Series([None if pd.isna(v) or pd.isna(n) or n <= 0 else _gamma_tail(n / 2, v / 2) for v, n in zip(x, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import math
 
