@@ -1,7 +1,7 @@
 """Every query of the library proper gives rows, and those of its SQL where it has one."""
 
 import pytest
-from conftest import same_rows
+from helpers import same_rows
 
 from lacuna.plans import catalog
 
