@@ -48,12 +48,15 @@ def boilerplate(docs: DataFrame, percent: int, least_pages: int, host: str, text
 
 def drop_lines(docs: DataFrame, percent: int = RATIO_PERCENT, least_pages: int = LEAST_PAGES, host: str = "source", text: str = "text") -> DataFrame:
     """``docs`` with boilerplate lines gone from ``text`` and a struct ``line_dedup`` of
-    ``n_lines`` (lines with a word, before) and ``n_removed``."""
+    ``n_lines`` (lines with a word, before) and ``n_removed``; a column of ``docs`` that
+    is called so gives way."""
     common = boilerplate(docs, percent, least_pages, host, text)
     by_host = common.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_gone"))
     if common.count() <= BROADCAST_LINES:
         by_host = F.broadcast(by_host)
-    joined = docs.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit(""))).join(by_host, "_host", "left")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    rows = docs.select(F.struct(*others, F.lit(0).alias("_")).alias("row"), F.col(f"`{text}`").alias("_text"), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("_host"))
+    joined = rows.join(by_host, "_host", "left")
     gone = F.coalesce(F.col("_gone"), F.array().cast("array<binary>"))
 
     def cut(lines):
@@ -62,9 +65,10 @@ def drop_lines(docs: DataFrame, percent: int = RATIO_PERCENT, least_pages: int =
             F.size(F.filter(lines, _filled)).cast("long").alias("n_lines"), (F.size(lines) - F.size(k)).cast("long").alias("n_removed"), F.array_join(k, "\n").alias("text"),
         ))
 
-    joined = joined.withColumn("_cut", let(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), cut))
-    new_text = F.when(F.col(text).isNotNull(), F.col("_cut.text")).alias(text)
-    return joined.select(*(new_text if c == text else F.col(f"`{c}`") for c in docs.columns), F.struct("_cut.n_lines", "_cut.n_removed").alias("line_dedup"))
+    joined = joined.withColumn("_cut", let(F.split(F.coalesce("_text", F.lit("")), "\n"), cut))
+    new_text = F.when(F.col("_text").isNotNull(), F.col("_cut.text")).alias(text)
+    columns = (new_text if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "line_dedup")
+    return joined.select(*columns, F.struct("_cut.n_lines", "_cut.n_removed").alias("line_dedup"))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ class Model:
     def fit(self, texts: list[str | None], labels: list[int]) -> Model:
         memo: dict[bytes, list[int]] = {}
         bags = [_bag(words_of(t), memo) for t in texts]
-        counts = np.bincount(labels, minlength=2)[:2]
+        counts = np.bincount(np.array(labels, int), minlength=2)[:2]
         if counts.sum():
             self.bias = np.log((counts + 1) / (counts.sum() + 2))
         if not counts.all():

@@ -123,8 +123,8 @@ def passes(bits: Column, policy: str = CURRENT) -> Column:
 
 def apply_policy(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``policy`` keeps, with the columns of ``docs``."""
-    kept = ledger(docs, text, tuple(docs.columns)).where(passes(F.col("ledger.fail_bits"), policy))
-    return kept.drop("ledger") if "ledger" not in docs.columns else kept.select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
+    return ledger(rows, "text", ("row",)).where(passes(F.col("ledger.fail_bits"), policy)).select("row.*")
 
 
 def ablation(ledger_rows: DataFrame, policy: str = CURRENT) -> DataFrame:
