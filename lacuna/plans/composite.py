@@ -319,9 +319,9 @@ def su5(t):
     return A.against_rest(m, "tissue", "library", "v").select("tissue", "library", r6("v").alias("v"), r6("rest").alias("rest"))
 
 
-@query("su6_paired_units", "SELECT o_custkey, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 4) AS f, round(avg(o_totalprice) FILTER (o_orderstatus = 'O'), 4) AS o FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1 HAVING count(DISTINCT o_orderstatus) = 2")
+@query("su6_paired_units", "SELECT o_custkey, round(avg(o_totalprice) FILTER (o_orderstatus = 'F'), 6) AS f, round(avg(o_totalprice) FILTER (o_orderstatus = 'O'), 6) AS o FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1 HAVING count(DISTINCT o_orderstatus) = 2")
 def su6(t):
-    mean = lambda s: F.round(F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice"))), 4)
+    mean = lambda s: F.round(F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice"))), 6)
     g = t.orders.where("o_orderstatus IN ('F', 'O')").groupBy("o_custkey").agg(mean("F").alias("f"), mean("O").alias("o"), F.count_distinct("o_orderstatus").alias("n"))
     return g.where("n = 2").drop("n")
 
