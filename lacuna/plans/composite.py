@@ -142,7 +142,7 @@ def q14(t):
     n = cells(t).groupBy("animal", "tissue").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("library").alias("reps"))
     arms = n.select("tissue").distinct()
     pairs = arms.select(F.col("tissue").alias("side_a")).join(arms.select(F.col("tissue").alias("side_b")), F.expr("side_a < side_b"))
-    m = n.select("animal").distinct().join(F.broadcast(pairs))
+    m = n.select("animal").distinct().join(R.small(pairs))
     side = lambda x: n.select("animal", F.col("tissue").alias(f"side_{x}"), F.col("n").alias(f"n_{x}"), F.col("reps").alias(f"reps_{x}"))
     m = m.join(side("a"), ["animal", "side_a"], "left").join(side("b"), ["animal", "side_b"], "left").fillna(0, ["n_a", "n_b", "reps_a", "reps_b"])
     return m.select("animal", "side_a", "side_b", "n_a", "n_b", ((F.col("n_a") >= 3) & (F.col("n_b") >= 3)).alias("runnable"), ((F.col("reps_a") >= 2) & (F.col("reps_b") >= 2)).alias("pseudobulk"))
