@@ -35,13 +35,14 @@ from lacuna.llm.wordhash import shingles
 EXTRA = 4
 #: Columns longer than this meet their lead document first.
 LONG = 16
-#: Frequent n-grams whose order by frequency is known to every task: at most 2^16.
-FREQUENT, FREQUENT_LEAST = 1 << 16, 8
+#: Frequent n-grams whose order by frequency is known to every task: at most 2^18
+#: (16 bytes each), those above a count that is found from a histogram of the counts.
+FREQUENT, FREQUENT_LEAST = 1 << 18, 4
 #: Ids broadcast to filter a scan; beyond it the same join is shuffled.
 BROADCAST_IDS = 250_000
 #: Codes counted at once inside a task.
 FLUSH = 1 << 21
-SEEN_IN_TASK = 3
+SEEN_IN_TASK = 2
 
 
 def _survey(size: int, lower: bool):
@@ -136,6 +137,22 @@ def _links(docs: DataFrame, pairs: DataFrame, size: int, lower: bool, percent: i
     return stash(counted.where(F.expr(f"100 * common >= {percent} * (nx + ny - common)")).select("x", "y"), "links")
 
 
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes and their counts, at most ``FREQUENT``: all from some count up."""
+    least, held = None, 0
+    for r in sorted(counts.groupBy(F.floor(F.log2("times") * 8).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("times").alias("least")).collect(), key=lambda r: -r.bucket):
+        held += r.n
+        if held > FREQUENT:
+            break
+        least = r.least
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rows = counts.where(F.col("times") >= least).toArrow()
+    codes = rows.column("code").to_numpy().view(np.uint64)
+    order = np.argsort(codes)
+    return codes[order], rows.column("times").to_numpy()[order]
+
+
 def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool = True, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """``(membership, links)``.
 
@@ -151,10 +168,8 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool =
     rows = survey.where("kind = 0").select("doc_id", "n", "k1", "k2")
     classes = stash(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("class_id")), "classes")
 
-    most = survey.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("times")).where(f"times >= {FREQUENT_LEAST}").orderBy(F.desc("times"), "k1").limit(FREQUENT).collect()
-    codes = np.array([r.k1 for r in most], np.int64).view(np.uint64)
-    order = np.argsort(codes)
-    frequent = spark.sparkContext.broadcast((codes[order], np.array([r.times for r in most], np.int64)[order]))
+    counts = stash(survey.where("kind = 1").groupBy(F.col("k1").alias("code")).agg(F.sum("n").alias("times")).where(f"times >= {FREQUENT_LEAST}"), "counts")
+    frequent = spark.sparkContext.broadcast(_frequent(counts))
 
     prefixes = docs.mapInArrow(_prefixes(size, lower, percent, frequent), "id long, n long, cols array<long>")
     heads = prefixes.join(classes.select(F.col("class_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "n"])
