@@ -124,7 +124,10 @@ def passes(bits: Column, policy: str = CURRENT) -> Column:
 def apply_policy(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``policy`` keeps, with the columns of ``docs``."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
-    return ledger(rows, "text", ("row",)).where(passes(F.col("ledger.fail_bits"), policy)).select("row.*")
+    # The filter would be pushed into the ledger, every measurement copied for each rule
+    # that reads it; it does not pass an explode.
+    judged = ledger(rows, "text", ("row",)).select("row", F.explode(F.array("ledger.fail_bits")).alias("bits"))
+    return judged.where(passes(F.col("bits"), policy)).select("row.*")
 
 
 def ablation(ledger_rows: DataFrame, policy: str = CURRENT) -> DataFrame:
