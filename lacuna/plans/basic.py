@@ -151,6 +151,12 @@ def sk5(t):
     return T.write_fasta_lines(sequences(t).where("length(seq) % 60 <> 0").selectExpr("concat('doc', doc_id) AS name", "seq"))
 
 
+@query("sk5b_fasta_lines_all", f"WITH {SEQ} SELECT concat('>doc', doc_id, chr(10), rtrim(regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10))) AS value FROM seqs")
+def sk5b(t):
+    """Every document, multiples of the width and empty texts too."""
+    return T.write_fasta_lines(sequences(t).selectExpr("concat('doc', doc_id) AS name", "coalesce(seq, '') AS seq"))
+
+
 @query("sk7_write_back", "SELECT c_custkey AS cell, coalesce(CASE WHEN c_acctbal > 5000 THEN concat('rich_', c_mktsegment) END, c_mktsegment) AS label FROM customer")
 def sk7(t):
     whole = t.customer.select(F.col("c_custkey").alias("cell"), F.col("c_mktsegment").alias("label"))
