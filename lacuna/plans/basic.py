@@ -377,17 +377,29 @@ def j12(t):
     return out.select(F.when(F.col("direct") >= F.col("revcomp"), "direct").otherwise("revcomp").alias("better"), "direct", "revcomp")
 
 
-@query("j13_one_mismatch", f"""WITH {READS}, w AS (SELECT DISTINCT substr(seq, 1, 10) AS b FROM reads WHERE read_no = 0 AND length(seq) >= 10), q AS (SELECT DISTINCT substr(seq, 1, 10) AS b FROM reads WHERE read_no = 1 AND length(seq) >= 10),
- v AS (SELECT q.b, i, c, substr(q.b, 1, i - 1) || c || substr(q.b, i + 1) AS n FROM q, range(1, 11) r(i), (VALUES ('A'), ('C'), ('G'), ('T')) s(c) WHERE substr(q.b, i, 1) <> c UNION ALL SELECT b, 0, '', b FROM q)
- SELECT v.b AS barcode, w.b AS corrected, i = 0 AS exact FROM v JOIN w ON v.n = w.b QUALIFY row_number() OVER (PARTITION BY v.b ORDER BY i, c) = 1""")
-def j13(t):
+def _one_mismatch(t, asked_reads):
     first = reads(t).where("length(seq) >= 10").select("read_no", F.substring("seq", 1, 10).alias("b"))
     listed = first.where("read_no = 0").select(F.col("b").alias("n")).distinct()
-    asked = first.where("read_no = 1").select("b").distinct().select("b", F.posexplode(Q.one_off(F.col("b"))).alias("turn", "n"))
+    asked = first.where(asked_reads).select("b").distinct().select("b", F.posexplode(Q.one_off(F.col("b"))).alias("turn", "n"))
     best = asked.join(listed, "n").groupBy("b").agg(F.min(F.struct("turn", "n")).alias("hit"))
     return best.select(F.col("b").alias("barcode"), F.col("hit.n").alias("corrected"), (F.col("hit.turn") == 0).alias("exact"))
 
 
+@query("j13_one_mismatch", f"""WITH {READS}, w AS (SELECT DISTINCT substr(seq, 1, 10) AS b FROM reads WHERE read_no = 0 AND length(seq) >= 10), q AS (SELECT DISTINCT substr(seq, 1, 10) AS b FROM reads WHERE read_no = 1 AND length(seq) >= 10),
+ v AS (SELECT q.b, i, c, substr(q.b, 1, i - 1) || c || substr(q.b, i + 1) AS n FROM q, range(1, 11) r(i), (VALUES ('A'), ('C'), ('G'), ('T')) s(c) WHERE substr(q.b, i, 1) <> c UNION ALL SELECT b, 0, '', b FROM q)
+ SELECT v.b AS barcode, w.b AS corrected, i = 0 AS exact FROM v JOIN w ON v.n = w.b QUALIFY row_number() OVER (PARTITION BY v.b ORDER BY i, c) = 1""")
+def j13(t):
+    return _one_mismatch(t, "read_no = 1")
+
+
+@query("j13b_one_mismatch_all", f"""WITH {READS}, w AS (SELECT DISTINCT substr(seq, 1, 10) AS b FROM reads WHERE read_no = 0 AND length(seq) >= 10), q AS (SELECT DISTINCT substr(seq, 1, 10) AS b FROM reads WHERE read_no <> 0 AND length(seq) >= 10),
+ v AS (SELECT q.b, i, c, substr(q.b, 1, i - 1) || c || substr(q.b, i + 1) AS n FROM q, range(1, 11) r(i), (VALUES ('A'), ('C'), ('G'), ('T')) s(c) WHERE substr(q.b, i, 1) <> c UNION ALL SELECT b, 0, '', b FROM q)
+ SELECT v.b AS barcode, w.b AS corrected, i = 0 AS exact FROM v JOIN w ON v.n = w.b QUALIFY row_number() OVER (PARTITION BY v.b ORDER BY i, c) = 1""")
+def j13b(t):
+    """Every read but the listed ones is asked about."""
+    return _one_mismatch(t, "read_no <> 0")
+
+
 @query("j14_catalog_both_strands", f"""WITH {READS}, c AS (SELECT DISTINCT doc_id % 5 AS animal, substr(seq, 13, 10) AS core FROM reads WHERE length(seq) >= 34),
  q AS (SELECT DISTINCT substr(seq, 3, 10) AS core FROM reads WHERE length(seq) >= 12)
  SELECT q.core, string_agg(DISTINCT CAST(c.animal AS VARCHAR), ';' ORDER BY CAST(c.animal AS VARCHAR)) AS animals FROM q JOIN c ON c.core = q.core OR c.core = translate(reverse(q.core), 'ACGT', 'TGCA') GROUP BY 1""")

@@ -182,6 +182,15 @@ def sp22(t):
     return pairs.where("p.a <> p.b").select("doc_id", "at", "p.a", "p.b")
 
 
+@query("sp22b_base_diff_all", f"WITH {READS} SELECT a.doc_id, a.read_no, CAST(i - 1 AS INTEGER) AS at, substr(a.seq, i, 1) AS a, substr(b.seq, i, 1) AS b FROM reads a JOIN reads b ON a.doc_id = b.doc_id AND b.read_no = a.read_no + 1, range(1, 101) r(i) WHERE length(a.seq) = length(b.seq) AND i <= length(a.seq) AND substr(a.seq, i, 1) <> substr(b.seq, i, 1)")
+def sp22b(t):
+    """Every read against the next of its document."""
+    nxt = F.lead("seq").over(Window.partitionBy("doc_id").orderBy("read_no"))
+    both = reads(t).withColumn("n", nxt).where("length(n) = length(seq)")
+    pairs = both.select("doc_id", "read_no", F.posexplode(F.arrays_zip(Q.letters(F.col("seq")).alias("a"), Q.letters(F.col("n")).alias("b"))).alias("at", "p"))
+    return pairs.where("p.a <> p.b").select("doc_id", "read_no", "at", "p.a", "p.b")
+
+
 @query("sp23_tags", "SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(regexp_extract(props, '\"k\": *\"?([^\",}]+)', 1), '') AS raw FROM events")
 def sp23(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.regexp_extract("props", '"k": *"?([^",}]+)', 1).alias("raw"))
