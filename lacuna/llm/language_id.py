@@ -8,8 +8,10 @@ value and each suffix goes with a language, and a prior smoothed down the hierar
 all pages - suffix - registered domain - host.  A page's own share is taken out of
 every count before it is used on that page.
 
-The trigram tables are fitted on a bounded sample of labelled documents; everything
-counted from pages covers all of them, and whole texts are scored.
+The languages are those of all labelled documents.  The trigram tables are fitted on
+so many documents of each, first in the order of a hash of their ids, whole whatever
+their length; everything counted from pages covers all of them, and whole texts are
+scored.
 
 Defined results
     null or empty pages have flat text evidence and are decided by the rest; a missing
@@ -26,14 +28,16 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm.runtime import small_batches, stash, table
 
 SLOTS = 1 << 16
-#: Labelled documents fitted: rows, and characters of a row at most.
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
+#: Labelled documents fitted of each language at most.
+LANGUAGE_ROWS = 500
+#: Range of the hash by which they are taken.
+HASHES = (1 << 31) - 1
 #: A text counts as so many independent trigrams at most.
 EVIDENCE = 60.0
 #: Weight, in pages, of the level above in each smoothed count.
@@ -62,12 +66,13 @@ class TextModel:
         self.languages, self.logs = languages, logs
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str]]) -> TextModel:
-        """``rows``: (language, text)."""
-        languages = sorted({lang for lang, _ in rows})
+    def fit(cls, languages: list[str], seen: list[tuple[str, int, int]]) -> TextModel:
+        """``seen``: (language, slot, count) of trigrams."""
+        languages = sorted(languages)
         counts = np.full((len(languages), SLOTS), 0.5)
-        for lang, text in rows:
-            np.add.at(counts[languages.index(lang)], trigram_counts(text), 1)
+        row = {lang: k for k, lang in enumerate(languages)}
+        for lang, slot, n in seen:
+            counts[row[lang], slot] += n
         return cls(languages, np.log(counts / counts.sum(axis=1, keepdims=True)) if languages else counts)
 
     def posterior(self, text: str) -> np.ndarray:
@@ -80,11 +85,39 @@ class TextModel:
         return p / p.sum()
 
 
+def _slots_seen(batches):
+    for batch in batches:
+        langs, slots, counts = [], [], []
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            at, n = np.unique(trigram_counts(text), return_counts=True)
+            langs += [lang] * len(at)
+            slots += at.tolist()
+            counts += n.tolist()
+        yield pa.record_batch([pa.array(langs, pa.string()), pa.array(slots, pa.int64()), pa.array(counts, pa.int64())], names=["lang", "slot", "n"])
+
+
+def sample(docs: DataFrame, id_column: str, text: str, lang: str) -> tuple[list[str], DataFrame]:
+    """All languages of labelled documents, and ``(lang, text)`` of up to
+    ``LANGUAGE_ROWS`` documents of each.
+
+    The hash alone leaves a few times as many rows as are ranked, and always those that
+    come first, so no task ranks all rows of a common language.
+    """
+    named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    some = named.select(F.col(id_column).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    some = some.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(HASHES)))
+    found = some.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min("h").alias("least")).collect()
+    upto = [(r.lang, max(r.least, 4 * LANGUAGE_ROWS * HASHES // r.rows)) for r in found]
+    limits = docs.sparkSession.createDataFrame(upto, "lang string, upto long")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    taken = some.join(F.broadcast(limits), "lang").where("h <= upto").withColumn("turn", first).where(F.col("turn") <= LANGUAGE_ROWS)
+    return [r.lang for r in found], taken.select("lang", "text")
+
+
 def fit_text(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> TextModel:
-    some = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
-    ids = some.select(F.col(id_column).alias("id")).orderBy(F.md5(F.col("id").cast("string")), "id").limit(SAMPLE_ROWS)
-    rows = some.select(F.col(id_column).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(ids), "id", "left_semi").collect()
-    return TextModel.fit([(r.lang, r.text) for r in rows])
+    languages, taken = sample(docs, id_column, text, lang)
+    seen = taken.mapInArrow(_slots_seen, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    return TextModel.fit(languages, [(r.lang, r.slot, r.n) for r in seen.collect()] if languages else [])
 
 
 def _text_evidence(sent):
