@@ -72,25 +72,28 @@ def cigar_blocks(pos: Column, cigar: Column, project: bool = True) -> Column:
     return F.aggregate(cigar_ops(cigar), start, step, lambda acc: acc["out"])
 
 
-def base_at(blocks: Column, seq: Column, at: Column) -> Column:
-    """``(base, src)`` at a reference position; aligned bases win over clips; null if none."""
-    hits = F.filter(blocks, lambda b: (b["ref"] <= at) & (at < b["ref"] + b["n"]))
-    best = F.coalesce(F.get(F.filter(hits, lambda b: b["src"] == "A"), F.lit(0)), F.get(hits, F.lit(0)))
-    return F.when(best.isNotNull(), F.struct(F.substring(seq, best["query"] + at - best["ref"] + 1, F.lit(1)).alias("base"), best["src"].alias("src")))
-
-
 def extract_window(pos: Column, cigar: Column, seq: Column, lo: int, hi: int, missing: str = ".") -> Column:
-    """``(window, provenance, n_aligned)`` of reference positions [lo, hi)."""
+    """``(window, provenance, n_aligned)`` of reference positions [lo, hi).
+
+    One piece of the sequence for each run that meets the window, and ``missing`` in
+    the gaps between them.
+    """
+    start = F.struct(F.lit(lo).alias("at"), F.lit("").alias("window"), F.lit("").alias("provenance"), F.lit(0).alias("n_aligned"))
+
+    def step(acc, b):
+        first, last = F.greatest(b["ref"], acc["at"]), F.least(b["ref"] + b["n"], F.lit(hi))
+        n, gap = last - first, F.repeat(F.lit(missing), first - acc["at"])
+        grown = F.struct(
+            last.alias("at"), F.concat(acc["window"], gap, F.substring(seq, b["query"] + first - b["ref"] + 1, n)).alias("window"),
+            F.concat(acc["provenance"], gap, F.repeat(b["src"], n)).alias("provenance"), (acc["n_aligned"] + F.when(b["src"] == "A", n).otherwise(0)).alias("n_aligned"),
+        )
+        return F.when(n > 0, grown).otherwise(acc)
 
-    def spelled(blocks):
-        cells = F.transform(F.sequence(F.lit(lo), F.lit(hi - 1)), lambda at: base_at(blocks, seq, at))
-        return F.transform(F.array(cells), lambda c: F.struct(
-            F.array_join(F.transform(c, lambda x: F.coalesce(x["base"], F.lit(missing))), "").alias("window"),
-            F.array_join(F.transform(c, lambda x: F.coalesce(x["src"], F.lit(missing))), "").alias("provenance"),
-            F.size(F.filter(c, lambda x: x["src"] == "A")).alias("n_aligned"),
-        ))[0]
+    def filled(acc):
+        rest = F.repeat(F.lit(missing), F.lit(hi) - acc["at"])
+        return F.struct(F.concat(acc["window"], rest).alias("window"), F.concat(acc["provenance"], rest).alias("provenance"), acc["n_aligned"].alias("n_aligned"))
 
-    return F.transform(F.array(cigar_blocks(pos, cigar)), spelled)[0]
+    return F.aggregate(cigar_blocks(pos, cigar), start, step, filled)
 
 
 def aligned_in(pos: Column, cigar: Column, lo: Column, hi: Column) -> Column:
@@ -186,10 +189,10 @@ def registered_core(s: Column, markers: list[str], centre: Column, tolerance: in
     return F.when(best.isNotNull(), F.struct(best["core"].alias("core"), (~best["short"]).alias("complete"), best["marker"].alias("marker"), best["offset"].alias("offset")))
 
 
-def one_off(s: Column) -> Column:
-    """``(turn, variant)``: the string and all its one-letter variants over ACGT, in the
-    order of position and letter."""
+def one_off(s: Column, alphabet: str = "ACGT") -> Column:
+    """``(turn, variant)``: the string and all its one-letter variants over the alphabet,
+    in the order of position and letter."""
     def at(c, i):
-        return F.transform(F.filter(F.array(*map(F.lit, "ACGT")), lambda b: b != c), lambda b: F.concat(F.substring(s, F.lit(1), i), b, F.substring(s, i + 2, F.length(s))))
+        return F.transform(F.filter(F.array(*map(F.lit, alphabet)), lambda b: b != c), lambda b: F.concat(F.substring(s, F.lit(1), i), b, F.substring(s, i + 2, F.length(s))))
 
     return F.concat(F.array(s), F.flatten(F.transform(letters(s), at)))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.operators.ranges import ntile
 from lacuna.operators.relational import small
 
 
@@ -77,7 +78,7 @@ def score_panel(coo: DataFrame, cells: DataFrame, genes: DataFrame, panel: DataF
     """
     n = cells.agg(F.count(F.lit(1)).alias("n"))
     means = genes.join(coo.groupBy("gene").agg(F.sum(value).alias("s")), "gene", "left").join(F.broadcast(n)).select("gene", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("mean"))
-    binned = means.withColumn("bin", F.ntile(bins).over(Window.orderBy("mean", "gene")))
+    binned = ntile(means, bins, "mean", ["gene"], "bin")
     in_panel = binned.join(panel.select("gene").distinct(), "gene", "left_semi")
     spare = binned.join(panel, "gene", "left_anti").join(in_panel.select("bin").distinct(), "bin", "left_semi")
     spare = spare.withColumn("_n", F.row_number().over(Window.partitionBy("bin").orderBy(F.md5(F.col("gene").cast("string")), "gene"))).where(F.col("_n") <= controls)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lacuna.operators.ranges import null_safe
+
 
 def mad_outlier(df: DataFrame, column: str, n: float, by: list[str] | None = None, out: str = "outlier") -> DataFrame:
     """Adds ``med, mad, width, <out>``: beyond n widths of the median.
@@ -26,28 +28,57 @@ def mad_outlier(df: DataFrame, column: str, n: float, by: list[str] | None = Non
     return joined.withColumn("width", width).withColumn(out, F.coalesce(flag, F.lit(False))).drop("spread")
 
 
+def per_group(df: DataFrame, by: list[str], *sums: Column) -> DataFrame:
+    """``df`` with aggregates of its groups beside each row (null keys are a group).
+
+    Partial sums and a join, where a window would put a whole group into one task.
+    """
+    sums = df.groupBy(*by).agg(*sums)
+    if not by:
+        return df.join(F.broadcast(sums))
+    return null_safe(df, sums, by)
+
+
+def p_range(p: Column) -> Column:
+    """An increasing whole number: 256 equal parts, the first one by its logarithm."""
+    return F.when(p >= 1 / 256, F.floor(p * 256)).otherwise(F.coalesce(F.floor(F.log2(p) * 8), F.lit(-(10**6)))).cast("int")
+
+
 def bh_fdr(df: DataFrame, p: str, by: list[str] | None = None, ties: list[str] | None = None, out: str = "padj") -> DataFrame:
-    """Benjamini-Hochberg over the finite p of each group; null p stays null."""
+    """Benjamini-Hochberg over the finite p of each group; null p stays null.
+
+    Equal p have equal results whatever the order of ``ties``, so only distinct p are
+    ranked, in ranges of p: each range counts and takes minima by itself, and a table of
+    ranges carries them on.
+    """
     by = by or []
     fine = F.col(p).isNotNull() & ~F.isnan(p)
-    group = Window.partitionBy(*by, fine)
-    ranked = df.withColumn("_k", F.row_number().over(group.orderBy(F.col(p), *(ties or [])))).withColumn("_m", F.count(F.lit(1)).over(group))
-    ranked = ranked.withColumn("_q", F.col(p) * F.col("_m") / F.col("_k"))
-    least = F.min("_q").over(group.orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn(out, F.when(fine, F.least(F.lit(1.0), least))).drop("_k", "_m", "_q")
+    each = df.where(fine).groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_range", p_range(F.col("_p")))
+    ranges = each.groupBy(*by, "_range").agg(F.sum("_n").alias("_in"))
+    w = Window.partitionBy(*by)
+    ranges = ranges.withColumn("_m", F.sum("_in").over(w)).withColumn("_before", F.sum("_in").over(w.orderBy("_range")) - F.col("_in"))
+    inside = Window.partitionBy(*by, "_range").orderBy("_p")
+    ranked = null_safe(each.withColumn("_k", F.sum("_n").over(inside)), ranges, [*by, "_range"])
+    ranked = ranked.withColumn("_q", F.col("_p") * F.col("_m") / (F.col("_before") + F.col("_k")))
+    least = ranked.groupBy(*by, "_range").agg(F.min("_q").alias("_least"))
+    after = least.select(*by, "_range", F.min("_least").over(w.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+    own = F.min("_q").over(Window.partitionBy(*by, "_range").orderBy(F.desc("_p")))
+    done = null_safe(ranked.withColumn("_own", own), after, [*by, "_range"])
+    done = done.select(*by, "_p", F.least(F.lit(1.0), "_own", "_after").alias(out))
+    return null_safe(df.withColumn("_p", F.when(fine, F.col(p))), done, [*by, "_p"], "left").drop("_p")
 
 
 def bonferroni(df: DataFrame, p: str, by: list[str] | None = None, out: str = "padj") -> DataFrame:
-    return df.withColumn(out, F.least(F.lit(1.0), F.col(p) * F.count(p).over(Window.partitionBy(*(by or [])))))
+    return per_group(df, by or [], F.count(p).alias("_tests")).withColumn(out, F.least(F.lit(1.0), F.col(p) * F.col("_tests"))).drop("_tests")
 
 
 def zscore(df: DataFrame, column: str, by: list[str] | None = None, ddof: int = 1, epsilon: float = 1e-9, out: str = "z") -> DataFrame:
     """ddof 1: (x - mean) / (sd + epsilon); ddof 0: null where the sd is 0."""
-    w = Window.partitionBy(*(by or []))
-    centred = F.col(column) - F.avg(column).over(w)
-    if ddof:
-        return df.withColumn(out, centred / (F.stddev_samp(column).over(w) + epsilon))
-    return df.withColumn(out, F.try_divide(centred, F.nullif(F.stddev_pop(column).over(w), F.lit(0.0))))
+    spread = F.stddev_samp(column) if ddof else F.stddev_pop(column)
+    both = per_group(df, by or [], F.avg(column).alias("_mean"), spread.alias("_sd"))
+    centred = F.col(column) - F.col("_mean")
+    z = centred / (F.col("_sd") + epsilon) if ddof else F.try_divide(centred, F.nullif("_sd", F.lit(0.0)))
+    return both.withColumn(out, z).drop("_mean", "_sd")
 
 
 def share(value: str, by: list[str]) -> Column:
@@ -148,7 +179,7 @@ def rank_sum(df: DataFrame, by: list[str], value: str, group: str, sizes: dict[s
     the absent ones are one block of tied zeros, never expanded.  Gives
     ``u, z`` (normal approximation, no tie correction).
     """
-    na, nb = sizes["a"], sizes["b"]
+    na, nb = (sizes[k].cast("double") for k in "ab")  # products of whole numbers would overflow
     per = df.groupBy(*by, value).agg(F.count_if(F.col(group) == "a").alias("ta"), F.count_if(F.col(group) == "b").alias("tb"))
     nonzero = df.groupBy(*by).agg(F.count_if(F.col(group) == "a").alias("xa"), F.count_if(F.col(group) == "b").alias("xb"))
     below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)

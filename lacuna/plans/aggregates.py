@@ -220,7 +220,7 @@ def pvalues(t):
 
 @query("w4_bh_fdr", f"WITH {PVALUES}, r AS (SELECT *, row_number() OVER (PARTITION BY g, pval IS NULL ORDER BY pval, gene) AS k, count(*) OVER (PARTITION BY g, pval IS NULL) AS m FROM p) SELECT gene, CASE WHEN pval IS NOT NULL THEN round(least(1.0, min(pval * m / k) OVER (PARTITION BY g, pval IS NULL ORDER BY k DESC)), 9) END AS padj FROM r")
 def w4(t):
-    return ST.bh_fdr(pvalues(t), "pval", ["g"], ["gene"]).select("gene", F.round("padj", 9).alias("padj"))
+    return ST.bh_fdr(pvalues(t), "pval", ["g"]).select("gene", F.round("padj", 9).alias("padj"))
 
 
 @query("w5_bonferroni", f"WITH {PVALUES} SELECT gene, round(least(1.0, pval * count(pval) OVER (PARTITION BY g)), 9) AS padj FROM p")

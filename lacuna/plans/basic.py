@@ -146,13 +146,8 @@ def sk4(t):
     return t.lineitem.groupBy(F.col("l_returnflag").alias("direction"), F.col("l_linestatus").alias("layer")).agg(F.count_distinct("l_partkey").alias("genes"))
 
 
-@query("sk5_fasta_lines", f"WITH {SEQ} SELECT concat('>doc', doc_id, chr(10), regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g')) AS value FROM seqs WHERE length(seq) % 60 <> 0")
+@query("sk5_fasta_lines", f"WITH {SEQ} SELECT concat('>doc', doc_id, chr(10), rtrim(regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10))) AS value FROM seqs")
 def sk5(t):
-    return T.write_fasta_lines(sequences(t).where("length(seq) % 60 <> 0").selectExpr("concat('doc', doc_id) AS name", "seq"))
-
-
-@query("sk5b_fasta_lines_all", f"WITH {SEQ} SELECT concat('>doc', doc_id, chr(10), rtrim(regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10))) AS value FROM seqs")
-def sk5b(t):
     """Every document, multiples of the width and empty texts too."""
     return T.write_fasta_lines(sequences(t).selectExpr("concat('doc', doc_id) AS name", "coalesce(seq, '') AS seq"))
 
@@ -385,17 +380,10 @@ def _one_mismatch(t, asked_reads):
     return best.select(F.col("b").alias("barcode"), F.col("hit.n").alias("corrected"), (F.col("hit.turn") == 0).alias("exact"))
 
 
-@query("j13_one_mismatch", f"""WITH {READS}, w AS (SELECT DISTINCT substr(seq, 1, 10) AS b FROM reads WHERE read_no = 0 AND length(seq) >= 10), q AS (SELECT DISTINCT substr(seq, 1, 10) AS b FROM reads WHERE read_no = 1 AND length(seq) >= 10),
+@query("j13_one_mismatch", f"""WITH {READS}, w AS (SELECT DISTINCT substr(seq, 1, 10) AS b FROM reads WHERE read_no = 0 AND length(seq) >= 10), q AS (SELECT DISTINCT substr(seq, 1, 10) AS b FROM reads WHERE read_no <> 0 AND length(seq) >= 10),
  v AS (SELECT q.b, i, c, substr(q.b, 1, i - 1) || c || substr(q.b, i + 1) AS n FROM q, range(1, 11) r(i), (VALUES ('A'), ('C'), ('G'), ('T')) s(c) WHERE substr(q.b, i, 1) <> c UNION ALL SELECT b, 0, '', b FROM q)
  SELECT v.b AS barcode, w.b AS corrected, i = 0 AS exact FROM v JOIN w ON v.n = w.b QUALIFY row_number() OVER (PARTITION BY v.b ORDER BY i, c) = 1""")
 def j13(t):
-    return _one_mismatch(t, "read_no = 1")
-
-
-@query("j13b_one_mismatch_all", f"""WITH {READS}, w AS (SELECT DISTINCT substr(seq, 1, 10) AS b FROM reads WHERE read_no = 0 AND length(seq) >= 10), q AS (SELECT DISTINCT substr(seq, 1, 10) AS b FROM reads WHERE read_no <> 0 AND length(seq) >= 10),
- v AS (SELECT q.b, i, c, substr(q.b, 1, i - 1) || c || substr(q.b, i + 1) AS n FROM q, range(1, 11) r(i), (VALUES ('A'), ('C'), ('G'), ('T')) s(c) WHERE substr(q.b, i, 1) <> c UNION ALL SELECT b, 0, '', b FROM q)
- SELECT v.b AS barcode, w.b AS corrected, i = 0 AS exact FROM v JOIN w ON v.n = w.b QUALIFY row_number() OVER (PARTITION BY v.b ORDER BY i, c) = 1""")
-def j13b(t):
     """Every read but the listed ones is asked about."""
     return _one_mismatch(t, "read_no <> 0")
 

@@ -151,8 +151,8 @@ def q14(t):
 @query("q15_contrast_run")
 def q15(t):
     """Both layers of one contrast with BH and gates; the p-values need Python."""
-    bulk_layer = ST.bh_fdr(welch_parts(t).withColumn("pval", ST.t_two_sided(F.col("t"), F.col("df"))), "pval", ties=["gene"]).select("gene", F.lit("pseudobulk").alias("layer"), "pval", "padj")
-    cell_layer = ST.bh_fdr(rank_sums(t).withColumn("pval", ST.normal_two_sided(F.col("z"))), "pval", ties=["gene"]).select("gene", F.lit("cell").alias("layer"), "pval", "padj")
+    bulk_layer = ST.bh_fdr(welch_parts(t).withColumn("pval", ST.t_two_sided(F.col("t"), F.col("df"))), "pval").select("gene", F.lit("pseudobulk").alias("layer"), "pval", "padj")
+    cell_layer = ST.bh_fdr(rank_sums(t).withColumn("pval", ST.normal_two_sided(F.col("z"))), "pval").select("gene", F.lit("cell").alias("layer"), "pval", "padj")
     both = bulk_layer.union(cell_layer)
     return both.select("gene", "layer", F.round("pval", 9).alias("pval"), F.round("padj", 9).alias("padj"), (F.col("padj") < 0.05).alias("significant"))
 
@@ -161,7 +161,7 @@ def q15(t):
 def q16(t):
     z = ora_counts(t)
     p = z.select("term", "k", F.round(S.hypergeom_tail(F.col("k"), F.col("m"), F.col("n"), F.col("q")), 7).alias("p"))
-    return ST.bh_fdr(p, "p", ties=["term"]).withColumn("padj", r6("padj"))
+    return ST.bh_fdr(p, "p").withColumn("padj", r6("padj"))
 
 
 @query("q17_reconcile_totals", "SELECT l_suppkey, count(*) FILTER (l_returnflag = 'A') AS up, count(*) FILTER (l_returnflag <> 'A') AS down, count(*) AS total, true AS ok FROM lineitem GROUP BY 1")

@@ -174,16 +174,8 @@ def sp21(t):
     return sequences(t).select("doc_id", F.col("seq").rlike("^[ACGTN]+$").alias("clean"), F.regexp_count("seq", F.lit("TTT+")).alias("t_runs"), F.instr("seq", "ACGTA").alias("first_at"))
 
 
-@query("sp22_base_diff", f"WITH {READS} SELECT a.doc_id, CAST(i - 1 AS INTEGER) AS at, substr(a.seq, i, 1) AS a, substr(b.seq, i, 1) AS b FROM reads a JOIN reads b ON a.doc_id = b.doc_id AND a.read_no = 0 AND b.read_no = 1, range(1, 101) r(i) WHERE length(a.seq) = length(b.seq) AND i <= length(a.seq) AND substr(a.seq, i, 1) <> substr(b.seq, i, 1)")
+@query("sp22_base_diff", f"WITH {READS} SELECT a.doc_id, a.read_no, CAST(i - 1 AS INTEGER) AS at, substr(a.seq, i, 1) AS a, substr(b.seq, i, 1) AS b FROM reads a JOIN reads b ON a.doc_id = b.doc_id AND b.read_no = a.read_no + 1, range(1, 101) r(i) WHERE length(a.seq) = length(b.seq) AND i <= length(a.seq) AND substr(a.seq, i, 1) <> substr(b.seq, i, 1)")
 def sp22(t):
-    first = lambda k, n: reads(t).where(F.col("read_no") == k).select("doc_id", F.col("seq").alias(n))
-    both = first(0, "x").join(first(1, "y"), "doc_id").where("length(x) = length(y)")
-    pairs = both.select("doc_id", F.posexplode(F.arrays_zip(Q.letters(F.col("x")).alias("a"), Q.letters(F.col("y")).alias("b"))).alias("at", "p"))
-    return pairs.where("p.a <> p.b").select("doc_id", "at", "p.a", "p.b")
-
-
-@query("sp22b_base_diff_all", f"WITH {READS} SELECT a.doc_id, a.read_no, CAST(i - 1 AS INTEGER) AS at, substr(a.seq, i, 1) AS a, substr(b.seq, i, 1) AS b FROM reads a JOIN reads b ON a.doc_id = b.doc_id AND b.read_no = a.read_no + 1, range(1, 101) r(i) WHERE length(a.seq) = length(b.seq) AND i <= length(a.seq) AND substr(a.seq, i, 1) <> substr(b.seq, i, 1)")
-def sp22b(t):
     """Every read against the next of its document."""
     nxt = F.lead("seq").over(Window.partitionBy("doc_id").orderBy("read_no"))
     both = reads(t).withColumn("n", nxt).where("length(n) = length(seq)")

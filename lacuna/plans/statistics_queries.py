@@ -142,7 +142,7 @@ def m10(t):
 def m10p(t):
     """With two-sided p and BH; SQL has no incomplete beta."""
     w = welch_parts(t).withColumn("pval", ST.t_two_sided(F.col("t"), F.col("df")))
-    return ST.bh_fdr(w, "pval", ties=["gene"]).select("gene", r6("log2fc").alias("log2fc"), F.round("pval", 9).alias("pval"), F.round("padj", 9).alias("padj"))
+    return ST.bh_fdr(w, "pval").select("gene", r6("log2fc").alias("log2fc"), F.round("pval", 9).alias("pval"), F.round("padj", 9).alias("padj"))
 
 
 def arms(t):
@@ -168,7 +168,7 @@ def m11(t):
 def m11p(t):
     """With two-sided p and BH; SQL has no error function."""
     w = rank_sums(t).withColumn("pval", ST.normal_two_sided(F.col("z")))
-    return ST.bh_fdr(w, "pval", ties=["gene"]).select("gene", r6("z").alias("z"), F.round("pval", 9).alias("pval"), F.round("padj", 9).alias("padj"))
+    return ST.bh_fdr(w, "pval").select("gene", r6("z").alias("z"), F.round("pval", 9).alias("pval"), F.round("padj", 9).alias("padj"))
 
 
 @query("m12_pearson", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS q_p, round(corr(l_quantity, l_discount), 6) AS q_d, round(corr(l_quantity, l_tax), 6) AS q_t, round(corr(l_extendedprice, l_discount), 6) AS p_d FROM lineitem")

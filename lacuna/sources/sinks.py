@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> int:
-    """One CSV file with a header in the folder ``path``; the number of rows."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-    return df.count()
+    """CSV with a header in the folder ``path``, a file for each task; the rows written."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+    return df.sparkSession.read.option("header", True).csv(path).count()
 
 
 class RecipeDrift(ValueError):
@@ -48,12 +48,23 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.select("value").write.mode("overwrite").text(path)
 
 
-def markdown_table(df: DataFrame, rows: int = 200) -> str:
-    """The first ``rows`` rows of a report table as Markdown."""
-    out = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(rows).collect()]
-    return "\n".join(out)
+def markdown_rows(df: DataFrame) -> DataFrame:
+    """``turn, value``: the Markdown lines of a table, all rows, a cell's bars escaped."""
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + "---|" * len(df.columns))], "turn int, value string")
+    cells = (F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in df.columns)
+    return head.union(df.select(F.lit(2).alias("turn"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")))
 
 
-def markdown_report(title: str, sections: list[tuple[str, DataFrame]]) -> str:
-    return "\n\n".join([f"# {title}", *(f"## {head}\n\n{markdown_table(df)}" for head, df in sections)]) + "\n"
+def write_markdown(title: str, sections: list[tuple[str, DataFrame]], path: str) -> None:
+    """A report of whole tables as lines of text in the folder ``path``, in order.
+
+    Rows are written by the executors and never collected, whatever their number.
+    """
+    spark, lines = sections[0][1].sparkSession, None
+    for k, (head, df) in enumerate(sections):
+        top = [(0, f"# {title}"), (1, "")] if k == 0 else []
+        rows = spark.createDataFrame([*top, (2, f"## {head}"), (3, "")], "turn int, value string")
+        rows = rows.union(markdown_rows(df).withColumn("turn", F.col("turn") + 4)).union(spark.createDataFrame([(9, "")], "turn int, value string"))
+        rows = rows.withColumn("section", F.lit(k))
+        lines = rows if lines is None else lines.union(rows)
+    lines.orderBy("section", "turn", "value").select("value").write.mode("overwrite").text(path)

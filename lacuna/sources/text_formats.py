@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HIT_COLUMNS = (
@@ -17,11 +17,15 @@ HIT_COLUMNS = (
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``value, file, line``: text lines with their file and 0-based number in it.
 
-    Files are whole-file tasks here because a line's number is needed; line formats
-    without numbers should use ``spark.read.text``.
+    Files are read in splits: a line is counted within its split, and the splits before
+    it in the file are added, so a large file is many tasks.  ``file`` is the whole path.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    return whole.select("file", F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("line", "value"))
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    sizes = rows.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = sizes.select("file", "_split", (F.sum("_n").over(Window.partitionBy("file").orderBy("_split")) - F.col("_n")).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy("file", "_split").orderBy("_at"))
+    numbered = rows.withColumn("_k", inside).join(ahead, ["file", "_split"])
+    return numbered.select("file", (F.col("_ahead") + F.col("_k") - 1).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
 def parse_delimited(df: DataFrame, schema: str, sep: str = "\t", keep: list[str] | None = None) -> DataFrame:
@@ -94,15 +98,21 @@ def write_fasta_lines(contigs: DataFrame, width: int = 60) -> DataFrame:
 
 def parse_fastq(df: DataFrame) -> DataFrame:
     """``file, record_no, header, seq, qual`` from complete four-line records only."""
-    rows = df.withColumn("record_no", F.expr("CAST(line div 4 AS INT)")).withColumn("_part", F.col("line") % 4)
+    rows = df.withColumn("record_no", F.expr("line div 4")).withColumn("_part", F.col("line") % 4)
     parts = [F.max(F.when(F.col("_part") == k, F.col("value"))).alias(n) for k, n in ((0, "header"), (1, "seq"), (3, "qual"))]
     return rows.groupBy("file", "record_no").agg(*parts, F.count(F.lit(1)).alias("_n")).where("_n = 4").drop("_n")
 
 
+def pair_name(file: Column) -> Column:
+    """What two mate files have in common: their path without the R1 or R2 part."""
+    return F.regexp_replace(file, r"([._])R?[12](?=[._][^/]*$)", "$1")
+
+
 def pair_reads(r1: DataFrame, r2: DataFrame) -> DataFrame:
-    """Mates in lockstep: joined by record number."""
-    a = r1.select("record_no", F.col("header"), F.col("seq").alias("seq_r1"))
-    return a.join(r2.select("record_no", F.col("seq").alias("seq_r2")), "record_no")
+    """``pair, record_no, header, seq_r1, seq_r2``: mates in lockstep, joined by the name
+    of their pair of files and the record's number in it."""
+    a = r1.select(pair_name(F.col("file")).alias("pair"), "record_no", "header", F.col("seq").alias("seq_r1"))
+    return a.join(r2.select(pair_name(F.col("file")).alias("pair"), "record_no", F.col("seq").alias("seq_r2")), ["pair", "record_no"])
 
 
 def parse_genbank_features(df: DataFrame) -> DataFrame:

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.sequences import between_flanks
 
+COMPLEMENT = str.maketrans("ACGTNacgtn", "TGCANtgcan")
+
+
+def reverse_complement(s: str) -> str:
+    return s.translate(COMPLEMENT)[::-1]
+
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("text").load(folder)
@@ -17,7 +23,7 @@ def flanked_cores(lines: DataFrame, left: str, right: str, size: int) -> DataFra
 
     One line at a time, so the same on a stream and on a table.
     """
-    cheap = F.col("value").contains(left) | F.col("value").rlike("[ACGT]")
+    cheap = F.col("value").contains(left) | F.col("value").contains(reverse_complement(left))
     found = lines.where(cheap).select(F.col("value").alias("seq"), between_flanks(F.col("value"), left, right, size).alias("core"))
     return found.where("core <> ''")
 
