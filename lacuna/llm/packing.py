@@ -1,13 +1,14 @@
 """Packing tokenized documents by cutting-stock column generation.
 
-Each document is cut into full sequences and one rest.  The pieces' lengths, in
-classes of equal width (8 tokens at 4096), form a histogram; a linear program over patterns
-(classes that fit one sequence together) covers it, its columns priced by knapsack
-dynamic programming; the patterns are rounded down, what that leaves is packed
-longest first, and each class's ranked pieces are dealt to the patterns' places.
-
-Only the histogram (at most about ``CLASSES`` counts) and the plan made from it
-(at most a few places per class and pattern) are on the driver, whatever the corpus.
+Each document is cut into full sequences and one rest.  The pieces' lengths form a
+histogram, of exact lengths while they are at most ``CLASSES``, else of as many classes,
+narrow where pieces are many; a linear program over patterns (classes that fit one
+sequence together) covers it, its columns priced by knapsack dynamic programming; the
+patterns are rounded, what that leaves is packed longest first, and each class's ranked
+pieces are dealt to the patterns' places.
+
+Only the histogram (a count for each length up to the capacity) and the plan made from
+it (at most a few places per class and pattern) are on the driver, whatever the corpus.
 Cuts depend on a document's own length alone, so texts are read and tokenized once.
 
 Defined results
@@ -31,15 +32,24 @@ from pyspark.sql import functions as F
 from lacuna.llm.runtime import small_batches, stash, table
 
 CAPACITY, END = 4096, 2
-CLASSES = 512
+CLASSES = 768
 #: A linear program this close to its optimum is good enough.
-GAP, MOST_PIVOTS = 0.001, 5000
+GAP, MOST_PIVOTS = 0.0005, 6000
+#: Weight of the best prices so far when new patterns are priced, and rounds of pricing
+#: that may pass without a gain of ``GAP``.
+STEADY, STALLED = 0.7, 40
+#: Least pivot and residual against the largest entry, and pivots between two inversions.
+PIVOT, TOLERANCE, FRESH = 1e-7, 1e-8, 40
+#: How far demands are moved apart; times that a basis may turn out to be singular.
+SPREAD, MOST_LOSSES = 1e-5, 50
+#: A rounded-up pattern may leave this share of a sequence empty before it is topped up.
+FILLED = 0.05
 #: Columns taken from one knapsack.
 PRICED = 40
 #: Distinct words whose ids a worker remembers; others are encoded again.
 MEMO_WORDS = 400_000
-#: Hash buckets over which the pieces of a class are ranked.
-BUCKETS = 256
+#: Pieces of a class that one task ranks, on average, by hash buckets.
+BUCKET_ROWS = 1 << 16
 #: Rows in turn that are ranked together where a place is given: 2^20.
 PLACE_BITS = 20
 
@@ -110,115 +120,210 @@ def _pieces(path: str, capacity: int, end: int):
     return run
 
 
-def _best_patterns(values: np.ndarray, capacity: int, most: int) -> tuple[float, np.ndarray]:
-    """The unbounded knapsack over sizes 1..m worth ``values``: what the best pattern is
+def length_classes(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(class of each length, length of each class)``, lengths from 1, classes from 0.
+
+    ``counts[l-1]`` pieces have length l.  With at most ``most`` lengths each is a class
+    of its own and nothing is rounded; else neighbours share one, whose length is the
+    longest that occurs in it, and the classes are narrow where pieces are many.
+    """
+    seen = np.flatnonzero(counts)
+    if len(seen) <= most:
+        of_seen = np.arange(len(seen))
+    else:
+        # What rounding wastes is least where a class's width goes with 1 / sqrt(pieces).
+        weight = np.cumsum(np.sqrt(counts[seen]))
+        of_seen = np.unique(np.minimum((weight * (most / weight[-1])).astype(np.int64), most - 1), return_inverse=True)[1]
+    sizes = np.zeros(of_seen[-1] + 1 if len(seen) else 0, np.int64)
+    np.maximum.at(sizes, of_seen, seen + 1)
+    classes = np.full(len(counts), -1, np.int64)
+    classes[seen] = of_seen
+    return classes, sizes
+
+
+def _best_patterns(values: np.ndarray, sizes: np.ndarray, capacity: int, most: int) -> tuple[float, np.ndarray]:
+    """The unbounded knapsack over ``sizes`` worth ``values``: what the best pattern is
     worth, and up to ``most`` patterns, the best ones that begin with different sizes."""
     m = len(values)
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
+    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        k = min(c, m)
-        worth = best[c - k : c][::-1] + values[:k]
-        at = int(worth.argmax())
-        if worth[at] > best[c - 1]:
-            best[c], last[c] = worth[at], at + 1
-        else:
-            best[c] = best[c - 1]
-    begun = np.where(values > 0, values + best[capacity - np.arange(1, m + 1)], 0)
+        best[c] = best[c - 1]
+        k = upto[c]
+        if k:
+            worth = best[c - sizes[:k]] + values[:k]
+            at = int(worth.argmax())
+            if worth[at] > best[c]:
+                best[c], last[c] = worth[at], at
+    begun = np.where(values > 0, values + best[capacity - sizes], 0)
     out = []
     for s in np.argsort(-begun, kind="stable")[:most]:
         if begun[s] <= 1:
             break
-        pattern, c = np.zeros(m, np.int64), capacity - s - 1
+        pattern, c = np.zeros(m, np.int64), capacity - sizes[s]
         pattern[s] = 1
         while c > 0:
-            if last[c]:
-                pattern[last[c] - 1] += 1
-                c -= last[c]
+            if last[c] >= 0:
+                pattern[last[c]] += 1
+                c -= sizes[last[c]]
             else:
                 c -= 1
         out.append(pattern)
-    return float(best[capacity]), np.array(out).reshape(-1, m)
+    return float(best[capacity]), np.array(out, np.int64).reshape(-1, m)
 
 
-def cutting_stock(demand: np.ndarray, capacity: int) -> tuple[list[tuple[int, np.ndarray]], float]:
-    """``(patterns, bound)`` for ``demand[s-1]`` pieces of size s.
+class _Basis:
+    """A basis of patterns with its inverse.
 
-    patterns: ``(times, pieces of each size)`` that hold the demand exactly; bound: a
-    lower bound on the number of sequences.  The linear program starts from one-size
-    patterns, with those of the longest-first packing as its first columns to enter.
+    The inverse is updated at a pivot and made afresh from the whole-number columns
+    after every ``FRESH`` pivots, or as soon as it no longer solves for the demand; a
+    basis that then turns out to be singular is put back to the last good one.
     """
-    m = len(demand)
-    rows = np.flatnonzero(demand)
-    if not len(rows):
-        return [], 0.0
-    size, d = rows + 1, demand[rows].astype(float)
-    per = np.maximum(capacity // size, 1)
-    basis, inverse, x = np.diag(per).astype(float), np.diag(1.0 / per), d / per
-    plain = _longest_first(demand, capacity)
-    pool = np.array([column[rows] for _, column in plain], float)
-    bound, pivots = 0.0, 0
-    while pivots < MOST_PIVOTS:
-        duals = inverse.sum(axis=0)
+
+    def __init__(self, columns: np.ndarray, demand: np.ndarray):
+        self.columns, self.demand, self.since = columns.astype(float), demand, 0  # whole numbers, exact
+        self.scale = max(1.0, float(demand.max()))
+        self.good = self.columns.copy()
+        self.inverse = np.linalg.inv(self.columns)
+
+    def solution(self) -> np.ndarray:
+        return self.inverse @ self.demand
+
+    def _residual(self) -> float:
+        return float(np.abs(self.columns @ self.solution() - self.demand).max()) / self.scale
+
+    def refresh(self) -> bool:
+        """True if the inverse is sound; False if the last good basis was put back."""
+        self.since = 0
+        try:
+            self.inverse = np.linalg.inv(self.columns)
+            sound = bool(np.isfinite(self.inverse).all()) and self._residual() < TOLERANCE
+        except np.linalg.LinAlgError:
+            sound = False
+        if sound:
+            self.good = self.columns.copy()
+        else:
+            self.columns = self.good.copy()
+            self.inverse = np.linalg.inv(self.columns)
+        return sound
+
+    def enter(self, column: np.ndarray) -> bool:
+        """Pivot on ``column``; False if the last good basis had to be put back."""
+        move, x = self.inverse @ column, self.solution()
+        up = np.flatnonzero(move > PIVOT * max(1.0, float(np.abs(move).max())))
+        if not len(up):
+            return self.refresh()
+        # Of the rows that leave within the tolerance, the one with the largest pivot.
+        slack = TOLERANCE * self.scale
+        step = ((np.maximum(x[up], 0) + slack) / move[up]).min()
+        tied = up[np.maximum(x[up], 0) / move[up] <= step]
+        leave = int(tied[move[tied].argmax()])
+        row = self.inverse[leave] / move[leave]
+        self.inverse -= np.outer(move, row)
+        self.inverse[leave] = row
+        self.columns[:, leave] = column
+        self.since += 1
+        return self.refresh() if self.since >= FRESH or self._residual() > TOLERANCE else True
+
+
+def _linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """``(patterns, times, bound)`` of the relaxation: one column per pattern.
+
+    It starts from one-size patterns; ``pool`` holds the first columns to enter, then
+    the knapsack prices new ones.  The bound is the worth of any non-negative prices,
+    scaled so that no pattern is worth more than one, so it holds whatever was rounded.
+    """
+    per = np.maximum(capacity // sizes, 1)
+    # Demands that are slightly apart from each other: pivots that move nothing are rare.
+    apart = demand * (1 + SPREAD * np.random.default_rng(len(sizes)).random(len(sizes)))
+    basis = _Basis(np.diag(per), apart)
+    steady, stalled, reached = sizes / capacity, 0, float("inf")
+    bound, losses, pivots = float(demand @ steady) * (1 - 1e-9), 0, 0
+    while pivots < MOST_PIVOTS and losses < MOST_LOSSES:
+        duals = basis.inverse.sum(axis=0)
         worth = pool @ duals
         at = int(worth.argmax()) if len(worth) else 0
         if not len(worth) or worth[at] <= 1 + GAP:
-            values = np.zeros(m)
-            values[rows] = np.maximum(duals, 0)
-            most, columns = _best_patterns(values, capacity, PRICED)
-            bound = max(bound, float(x.sum()) / max(most, 1.0))
-            if most <= 1 + GAP or x.sum() <= bound * (1 + GAP):
+            if basis.since and not basis.refresh():
+                losses += 1
+            duals, total = np.maximum(basis.inverse.sum(axis=0), 0), float(basis.solution().sum())
+            stalled = 0 if total < reached * (1 - GAP) else stalled + 1
+            reached = total if not stalled else reached
+            for weight in (STEADY, 0.0):  # between the best prices so far and the basis's own
+                prices = weight * steady + (1 - weight) * duals
+                most, found = _best_patterns(prices, sizes, capacity, PRICED)
+                pool = found.astype(float)
+                lower = float(demand @ prices) / most * (1 - 1e-9)
+                if lower > bound:
+                    bound, steady = lower, prices / most
+                if len(pool) and (pool @ duals).max() > 1 + GAP:
+                    break
+            if stalled >= STALLED or not len(pool) or (pool @ duals).max() <= 1 + GAP or total <= max(bound * (1 + GAP), np.ceil(bound)):
                 break
-            pool = columns[:, rows].astype(float)
             continue
-        column = pool[at]
-        move = inverse @ column
-        up = move > 1e-9
-        if not up.any():
+        if not basis.enter(pool[at]):
+            losses += 1
             pool = np.delete(pool, at, axis=0)
-            continue
-        ratio = np.full(len(x), np.inf)
-        ratio[up] = x[up] / move[up]
-        leave = int(ratio.argmin())
-        step = ratio[leave]
-        x = x - step * move
-        x[leave] = step
-        basis[:, leave] = column
-        pivot = inverse[leave] / move[leave]
-        inverse -= np.outer(move, pivot)
-        inverse[leave] = pivot
         pivots += 1
-        if pivots % 300 == 0:
-            inverse = np.linalg.inv(basis)
-            x = inverse @ d
-        np.maximum(x, 0, out=x)
+    basis.refresh()
+    basis.demand = demand
+    return basis.columns.astype(np.int64), np.maximum(basis.solution(), 0), bound
+
+
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[tuple[int, np.ndarray]], float]:
+    """``(patterns, bound)`` for ``demand[k] > 0`` pieces of length ``sizes[k]``, ascending.
+
+    patterns: ``(times, pieces of each size)`` that hold the demand exactly; bound: a
+    lower bound on the number of sequences.  The relaxation's patterns are taken their
+    whole times, then once each in the order of what is left of their times while they
+    are filled; what that leaves is packed longest first.
+    """
+    m = len(sizes)
+    if not m:
+        return [], 0.0
+    plain = _longest_first(sizes, demand, capacity)
+    columns, x, bound = _linear_program(sizes, demand.astype(float), capacity, np.array([column for _, column in plain], float))
     left = demand.astype(np.int64).copy()
     patterns = []
     for k in np.argsort(-x, kind="stable"):
-        column = np.zeros(m, np.int64)
-        column[rows] = np.rint(basis[:, k]).astype(np.int64)
+        column = columns[:, k]
         used = column > 0
         times = min(int(x[k] + 1e-9), int((left[used] // column[used]).min()))
         if times > 0:
-            patterns.append((times, column))
+            patterns.append((times, column.copy()))
             left -= times * column
-    patterns += _longest_first(left, capacity)
-    fewest = min((patterns, plain), key=lambda found: sum(times for times, _ in found))
-    return fewest, bound
+    parts = x - np.floor(x + 1e-9)
+    for k in np.argsort(-parts, kind="stable"):
+        if parts[k] <= 1e-6 or not left.any():
+            break
+        column = np.minimum(columns[:, k], left)
+        if column.any() and capacity - int(column @ sizes) <= FILLED * capacity:
+            column = _topped_up(column, left, sizes, capacity)
+            patterns.append((1, column))
+            left -= column
+    return patterns + _longest_first(sizes, left, capacity), bound
+
+
+def _topped_up(column: np.ndarray, left: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """``column`` with the longest pieces left that fit beside it, one after another."""
+    column, room = column.copy(), capacity - int(column @ sizes)
+    while room >= sizes[0]:
+        k = int(np.searchsorted(sizes, room, side="right"))
+        fits = np.flatnonzero(left[:k] > column[:k])
+        if not len(fits):
+            break
+        s = int(fits[-1])
+        n = min(int(left[s] - column[s]), room // int(sizes[s]))
+        column[s] += n
+        room -= n * int(sizes[s])
+    return column
 
 
-def _longest_first(left: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
+def _longest_first(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
     """Fill one sequence after another, the longest piece that fits first."""
-    left, out = left.copy(), []
+    left, out = left.astype(np.int64).copy(), []
     while left.any():
-        column, room = np.zeros_like(left), capacity
-        while room > 0:
-            fits = np.flatnonzero(left[:room] > column[:room])
-            if not len(fits):
-                break
-            s = int(fits[-1]) + 1
-            k = min(int(left[s - 1] - column[s - 1]), room // s)
-            column[s - 1] += k
-            room -= k * s
+        column = _topped_up(np.zeros_like(left), left, sizes, capacity)
         used = column > 0
         times = int((left[used] // column[used]).min())
         out.append((times, column))
@@ -235,11 +340,16 @@ def _plan(spark, patterns: list[tuple[int, np.ndarray]]) -> DataFrame:
             each = int(column[s])
             at = given.get(s, 0)
             given[s] = at + each * times
-            rows.append((int(s) + 1, at, given[s], each, first, turn))
+            rows.append((int(s), at, given[s], each, first, turn))
         first += times
     return spark.createDataFrame(rows, "class int, rank_from long, rank_to long, each int, first long, turn int")
 
 
+def _listed(values: np.ndarray) -> Column:
+    """A literal array."""
+    return F.expr(f"array({','.join(map(str, values.tolist()))})")
+
+
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, id_column: str = "doc_id", text_column: str = "text", place: Column | None = None) -> DataFrame:
     """Per piece ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     sequence_tokens, padded_to``.
@@ -253,21 +363,30 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     kinds = "doc_id long, place long, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = stash(rows.mapInArrow(_pieces(path or tokenizer_file(), capacity, end), kinds), "pieces")
 
-    grain = max(g for g in range(1, max(1, capacity // CLASSES) + 1) if capacity % g == 0)
-    classed = pieces.withColumn("class", F.ceil(F.col("length") / grain).cast("int"))
-    demand = np.zeros(capacity // grain, np.int64)
-    for r in classed.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect():
-        demand[r["class"] - 1] = r.n
-    patterns, _ = cutting_stock(demand, capacity // grain)
-    plan = F.broadcast(_plan(spark, patterns))
-
-    bucketed = classed.withColumn("bucket", F.pmod("place", F.lit(BUCKETS)) if place is None else F.shiftright("place", PLACE_BITS))
-    sizes = bucketed.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    ahead = sizes.select("class", "bucket", (F.sum("n").over(Window.partitionBy("class").orderBy("bucket")) - F.col("n")).alias("ahead"))
+    counts = np.zeros(capacity, np.int64)
+    for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["length"] - 1] = r.n
+    classes, sizes = length_classes(counts, CLASSES)
+    demand = np.bincount(classes[classes >= 0], counts[classes >= 0], len(sizes)).astype(np.int64)
+    patterns, _ = cutting_stock(sizes, demand, capacity)
+
+    class_of = _listed(classes)[(F.col("length") - 1).cast("int")]
+    classed = pieces.withColumn("class", class_of)
+    if place is None:
+        spread = _listed(-(-demand // BUCKET_ROWS))[F.col("class")]
+        bucketed = classed.withColumn("bucket", F.pmod(F.xxhash64("place", "start", "ids_crc32"), spread))
+    else:
+        bucketed = classed.withColumn("bucket", F.shiftright("place", PLACE_BITS))
+    rows = bucketed.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    ahead = rows.select("class", "bucket", "n", (F.sum("n").over(Window.partitionBy("class").orderBy("bucket")) - F.col("n")).alias("ahead"))
+    # Ranges of the plan meet buckets, not pieces: a piece then looks among its bucket's few.
+    met = ahead.join(F.broadcast(_plan(spark, patterns)), "class").where("rank_from < ahead + n AND rank_to > ahead")
+    ranges = F.array_sort(F.collect_list(F.struct("rank_from", "rank_to", "each", "first", "turn"))).alias("ranges")
+    met = met.groupBy("class", "bucket", "ahead").agg(ranges)
     inside = F.row_number().over(Window.partitionBy("class", "bucket").orderBy("place", "doc_id", "start"))
-    ranked = bucketed.withColumn("inside", inside).join(ahead, ["class", "bucket"]).withColumn("rank", F.col("ahead") + F.col("inside") - 1)
-    dealt = ranked.join(plan, "class").where("rank >= rank_from AND rank < rank_to")
-    dealt = dealt.withColumn("sequence_id", F.expr("first + (rank - rank_from) div each")).withColumn("spot", F.struct("turn", "rank"))
+    ranked = bucketed.withColumn("inside", inside).join(met, ["class", "bucket"]).withColumn("rank", F.col("ahead") + F.col("inside") - 1)
+    dealt = ranked.withColumn("range", F.filter("ranges", lambda r: (r["rank_from"] <= F.col("rank")) & (F.col("rank") < r["rank_to"]))[0])
+    dealt = dealt.withColumn("sequence_id", F.expr("range.first + (rank - range.rank_from) div range.each")).withColumn("spot", F.struct("range.turn", "rank"))
     before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("spot")) - F.col("length")
     out = dealt.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", before.alias("offset"), F.sum("length").over(Window.partitionBy("sequence_id")).alias("sequence_tokens"))
     exact = F.col("sequence_tokens").bitwiseAND(F.col("sequence_tokens") - 1) == 0

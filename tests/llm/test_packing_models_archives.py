@@ -79,12 +79,71 @@ def test_packing_places_and_edges(spark, corpus, encoder, tmp_path):
 def test_cutting_stock(seed):
     rng = np.random.default_rng(seed)
     demand = rng.integers(0, 60, 64) * (rng.random(64) < 0.6)
-    patterns, bound = packing.cutting_stock(demand, 64)
+    check_patterns(np.flatnonzero(demand) + 1, demand[demand > 0], 64)
+    assert packing.cutting_stock(np.zeros(0, int), np.zeros(0, int), 8) == ([], 0.0)
+
+
+def check_patterns(sizes, demand, capacity):
+    patterns, bound = packing.cutting_stock(sizes, demand, capacity)
     assert (sum(times * column for times, column in patterns) == demand).all()
-    assert all(column @ np.arange(1, 65) <= 64 for _, column in patterns)
+    assert all(column @ sizes <= capacity and times > 0 for times, column in patterns)
     used = sum(times for times, _ in patterns)
-    assert bound - 1e-6 <= used <= bound * 1.03 + 3
-    assert packing.cutting_stock(np.zeros(8, int), 8) == ([], 0.0)
+    assert demand @ sizes / capacity <= bound + 1e-4 and bound - 1e-6 <= used <= bound * 1.01 + 2
+    return used, bound
+
+
+def lengths(folder):
+    """Pieces of each length, 1 to 4096, of a documents table."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{folder}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    counts = np.zeros(4096, np.int64)
+    for ids in packing._tokenizer(packing.tokenizer_file()).encode(texts):
+        full, rest = divmod(len(ids) // 4 + 1, 4096)
+        counts[4095] += full
+        if rest:
+            counts[rest - 1] += 1
+    return counts
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_cutting_stock_of_documents(scale):
+    counts = lengths(f"/root/testdata/{scale}")
+    classes, sizes = packing.length_classes(counts, packing.CLASSES)
+    seen = np.flatnonzero(counts)
+    assert (sizes[classes[seen]] >= seen + 1).all() and len(sizes) <= packing.CLASSES
+    demand = np.bincount(classes[seen], counts[seen]).astype(int)
+    used, bound = check_patterns(sizes, demand, 4096)
+    assert used <= sum(times for times, _ in packing._longest_first(sizes, demand, 4096))
+    assert used * 4096 <= 1.01 * (counts @ np.arange(1, 4097)) + 2 * 4096
+
+
+@pytest.mark.parametrize("noise", [1e-15, 1e-12, 1e-9, "singular"])
+def test_cutting_stock_with_a_noisy_inverse(monkeypatch, noise):
+    counts = lengths("/root/testdata/sf0.01")
+    classes, sizes = packing.length_classes(counts, 256)
+    demand = np.bincount(classes[classes >= 0], counts[classes >= 0]).astype(int)
+    exact, rng, calls = np.linalg.inv, np.random.default_rng(2), [0]
+
+    def inv(a):
+        calls[0] += 1
+        if noise == "singular":
+            if calls[0] % 5 == 3:
+                raise np.linalg.LinAlgError("Singular matrix")
+            return exact(a)
+        return exact(a) * (1 + noise * rng.standard_normal(a.shape))
+
+    monkeypatch.setattr(np.linalg, "inv", inv)
+    monkeypatch.setattr(packing, "FRESH", 7)
+    check_patterns(sizes, demand, 4096)
+    assert calls[0] > 5
+
+
+def test_short_texts_fill_their_sequences():
+    for sizes, demand in (([9], [100_000]), (list(range(9, 41)), [997 + 31 * k for k in range(32)])):
+        sizes, demand = np.array(sizes), np.array(demand)
+        used, _ = check_patterns(sizes, demand, 4096)
+        assert used <= demand @ sizes / 4096 * 1.003 + 1
 
 
 def test_archives(spark, data, duck, tmp_path):
