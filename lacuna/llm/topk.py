@@ -1,21 +1,25 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-The dimensions are cut into ``SLABS`` slabs.  (1) In each task the best of every slab
-are scored whole, and the task's best k for each query are gathered; the k-th best of
-all tasks is a safe cutoff, for no true answer scores less.  (2) The cutoff is
-broadcast; a vector can reach it only if some slab gives its uniform share of it, and
-those entries are collected.  (3) What they lack is scored exactly, in the same task,
-and merged.
-
-Queries go in blocks of ``QUERIES`` vectors, the only thing broadcast; each block is
-held against all rows, which are read where they lie and never shuffled.
+The dimensions are cut into ``SLABS`` slabs; a slab's scores of a query are one score
+list, spread over the tasks.  (1) Each task scores every row on one slab, in turn, and
+gathers the best of each list; those few are scored whole, and the k-th best of all
+tasks is a safe cutoff, for no true answer scores less.  (2) The cutoff is broadcast.
+A true answer reaches its uniform share, cutoff / slabs, in some list, so rows are
+scored slab after slab, and a row is collected where it reaches the share; what it
+lacks is bounded by the lengths of query and row in the slabs not yet scored, and a row
+that cannot reach the cutoff any more is let go.  (3) Only the slabs that the collected
+rows lack are scored, exactly, and merged.
+
+``top_k`` can report how many products of components were made.  Queries go in blocks
+of ``QUERIES`` vectors, the only thing broadcast; each block is held against all
+rows, which are read where they lie and never shuffled.
 
 Defined results
     vectors that are null or hold a null or a non-finite component take no part, nor
     do null ids; missing components count as zero; scores beyond a long are clipped to
-    it; rows with the query's own id are its own; other rows that repeat count each;
-    ties go to the smaller id; empty tables give empty results; extra columns are
-    ignored.
+    it (and blocks whose scores may pass 2^53 are scored whole, in exact integers); rows with the query's own id are its own; of rows that repeat a query's id the
+    vector first in order asks; other rows that repeat count each; ties go to the
+    smaller id; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +33,13 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.runtime import stash, table
 
-SLABS = 4
-QUERIES = 1024
-#: Candidates scored at once in a task: with QUERIES this bounds its memory.
+SLABS = 16
+#: Query vectors broadcast at once, and those of them scored at once in a task.
+QUERIES, QUERIES_AT_ONCE = 16_384, 1024
+#: Rows scored at once in a task: with QUERIES_AT_ONCE this bounds its memory.
 ROWS = 2048
+#: While more than this share of the pairs runs on, a slab is scored for all of them at once.
+DENSE = 0.3
 LEAST = np.iinfo(np.int64).min
 
 
@@ -52,32 +59,55 @@ def _matrix(rows: list, width: int) -> np.ndarray:
     return out
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in exact integers."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 2**53:
-        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    if most < 2**62:
-        return a @ b.T
-    return np.clip(a.astype(object) @ b.astype(object).T, LEAST + 1, np.iinfo(np.int64).max).astype(np.int64)
+class _Lists:
+    """Rows against queries by slabs: exact score lists and bounds of what they lack."""
+
+    def __init__(self, queries: np.ndarray, rows: np.ndarray):
+        self.queries, self.rows, self.made = queries, rows, 0
+        width = rows.shape[1]
+        self.slabs = np.array_split(np.arange(width), min(SLABS, max(1, width)))
+        self.large = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, width) >= 2**53
+        # A slab's score is at most the product of the two lengths in it; lengths are taken
+        # a little longer than they are, so that rounding never lets a row go.
+        self.of_queries, self.of_rows = (np.stack([_lengths(v[:, at]) for at in self.slabs], axis=1) for v in (queries, rows))
+        self.q, self.r = queries.astype(float), rows.astype(float)
+
+    def scores(self, slab: int, which: slice) -> np.ndarray:
+        """The list of a slab for the rows ``which``, all queries: whole numbers below
+        2^53, so exact in doubles, unless ``large``."""
+        at = self.slabs[slab]
+        self.made += len(self.queries) * len(range(*which.indices(len(self.rows)))) * len(at)
+        return self.q[:, at] @ self.r[which][:, at].T
 
+    def of_pairs(self, slab: int, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """The list of a slab for given pairs of query and row."""
+        at = self.slabs[slab]
+        self.made += len(q) * len(at)
+        return np.einsum("ij,ij->i", self.q[:, at][q], self.r[:, at][r])
 
-def _slabs(queries: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
-    return [_product(queries[:, at], rows[:, at]) for at in np.array_split(np.arange(queries.shape[1]), min(SLABS, max(1, queries.shape[1])))]
+    def whole(self, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        self.made += len(q) * self.rows.shape[1]
+        if self.large:
+            return np.array([min(max(int(np.dot(self.queries[i].astype(object), self.rows[j].astype(object))), LEAST + 1), -LEAST - 1) for i, j in zip(q, r, strict=True)], np.int64)
+        return np.einsum("ij,ij->i", self.queries[q], self.rows[r])
+
+
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt((vectors.astype(float) ** 2).sum(axis=1)) * (1 + 1e-9)
 
 
 def _blocks(batches, queries):
-    """Blocks of candidates with every query's slab scores and own rows marked."""
+    """``(part of the queries, ids of rows, lists)`` for blocks of rows and queries."""
     ids_q, rows_q = queries
 
-    def scored(ids, rows):
+    def made(ids, rows):
         width = max([rows_q.shape[1], *map(len, rows)])
-        wide = np.zeros((len(rows_q), width), np.int64)
-        wide[:, : rows_q.shape[1]] = rows_q
-        ids = np.array(ids, np.int64)
-        slabs = _slabs(wide, _matrix(rows, width))
-        whole = np.sum(slabs, axis=0) if np.abs(wide).max(initial=0) < 2**20 and max((abs(x) for r in rows for x in (min(r, default=0), max(r, default=0))), default=0) < 2**20 else _product(wide, _matrix(rows, width))
-        return ids, slabs, whole, ids_q[:, None] == ids[None, :]
+        ids, matrix = np.array(ids, np.int64), _matrix(rows, width)
+        for at in range(0, len(ids_q), QUERIES_AT_ONCE):
+            part = slice(at, min(at + QUERIES_AT_ONCE, len(ids_q)))
+            wide = np.zeros((part.stop - at, width), np.int64)
+            wide[:, : rows_q.shape[1]] = rows_q[part]
+            yield part, ids, _Lists(wide, matrix)
 
     ids, rows = [], []
     for batch in batches:
@@ -85,79 +115,118 @@ def _blocks(batches, queries):
             ids.append(i)
             rows.append(r)
             if len(ids) >= ROWS:
-                yield scored(ids, rows)
+                yield from made(ids, rows)
                 ids, rows = [], []
     if ids:
-        yield scored(ids, rows)
-
-
-def _keep_best(best, ids, scores, k: int):
-    """Merge each query's best with further candidates: by score, then smaller id."""
-    ids = np.concatenate([best[0], ids], axis=1)
-    scores = np.concatenate([best[1], scores], axis=1)
-    order = np.lexsort((ids, -scores.astype(float), scores == LEAST), axis=1)
-    # Floats may tie where integers do not: order exactly within the few that matter.
-    if np.abs(scores[scores != LEAST]).max(initial=0) >= 2**53:
-        order = np.array([sorted(range(len(s)), key=lambda j, s=s, i=i: (s[j] == LEAST, -int(s[j]), int(i[j]))) for s, i in zip(scores, ids, strict=True)])
-    order = order[:, :k]
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-
-
-def _emit(queries, best):
-    ids_q = queries[0]
-    at, col = np.nonzero(best[1] != LEAST)
-    return pa.record_batch([pa.array(ids_q[at]), pa.array(best[0][at, col]), pa.array(best[1][at, col])], names=["query_id", "vec_id", "score"])
+        yield from made(ids, rows)
+
+
+class _Best:
+    """Each query's best rows so far in a task."""
+
+    def __init__(self, queries, k: int):
+        self.ids_q, self.k = queries[0], k
+        self.ids = np.zeros((len(self.ids_q), k), np.int64)
+        self.scores = np.full((len(self.ids_q), k), LEAST, np.int64)
+
+    def add(self, part: slice, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Rows ``ids`` with ``scores`` for the queries ``q`` of a part, its own left out."""
+        fine = (ids != self.ids_q[part][q]) & (scores > LEAST)
+        q, ids, scores = q[fine], ids[fine], scores[fine]
+        if not len(q):
+            return
+        order = np.lexsort((ids, ~scores, q))  # ~x falls where x rises, for every long
+        q, ids, scores = q[order], ids[order], scores[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        first = place < self.k
+        new_ids = np.zeros((part.stop - part.start, self.k), np.int64)
+        new_scores = np.full(new_ids.shape, LEAST, np.int64)
+        new_ids[q[first], place[first]], new_scores[q[first], place[first]] = ids[first], scores[first]
+        ids, scores = np.concatenate([self.ids[part], new_ids], axis=1), np.concatenate([self.scores[part], new_scores], axis=1)
+        order = np.lexsort((ids, ~scores, scores == LEAST), axis=1)[:, : self.k]
+        self.ids[part], self.scores[part] = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+    def batch(self, made: int):
+        """The rows found, and one with the number of products made."""
+        at, col = np.nonzero(self.scores != LEAST)
+        columns = ([*self.ids_q[at].tolist(), None], [*self.ids[at, col].tolist(), None], [*self.scores[at, col].tolist(), made])
+        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
 
 def _local_lists(queries, k: int):
-    """Phase 1: the best k of the task among the leaders of each slab."""
+    """Phase 1: the best k of the task among the leaders of its score lists."""
 
     def run(batches):
-        got = queries.value
-        best = (np.zeros((len(got[0]), 0), np.int64), np.zeros((len(got[0]), 0), np.int64))
-        for ids, slabs, whole, own in _blocks(batches, got):
-            take = min(k + 1, len(ids))
-            leaders = np.concatenate([np.argpartition(-s, take - 1, axis=1)[:, :take] for s in slabs], axis=1)
-            leaders = np.sort(leaders, axis=1)
-            again = np.concatenate([np.zeros((len(leaders), 1), bool), leaders[:, 1:] == leaders[:, :-1]], axis=1)
-            scores = np.where(again | np.take_along_axis(own, leaders, 1), LEAST, np.take_along_axis(whole, leaders, 1))
-            best = _keep_best(best, ids[leaders], scores, k)
-        yield _emit(got, best)
+        got, made = queries.value, 0
+        best = _Best(got, k)
+        for part, ids, lists in _blocks(batches, got):
+            for slab in range(len(lists.slabs)):
+                which = slice(slab, None, len(lists.slabs))
+                have = len(ids[which])
+                if not have:
+                    continue
+                take = min(k + 1, have)
+                leaders = np.argpartition(-lists.scores(slab, which), take - 1, axis=1)[:, :take]
+                q, r = np.repeat(np.arange(len(leaders)), take), slab + leaders.ravel() * len(lists.slabs)
+                best.add(part, q, ids[r], lists.whole(q, r))
+            made += lists.made
+        yield best.batch(made)
 
     return run
 
 
+def _collected(lists: _Lists, cut: np.ndarray):
+    """Phases 2 and 3: ``(q, r, scores)`` of every pair whose score reaches its cutoff."""
+    n, every = len(lists.slabs), slice(None)
+    cut = np.maximum(cut, -(2**53)).astype(float)  # no score is below
+    share = np.ceil(cut / n)
+    left = lists.of_queries @ lists.of_rows.T
+    running = left + 1 >= cut[:, None]
+    so_far, entered = np.zeros(running.shape), np.zeros(running.shape, bool)
+    slab = 0
+    while slab < n and running.mean() >= DENSE:
+        score = lists.scores(slab, every)
+        so_far += score
+        entered |= score >= share[:, None]
+        slab += 1
+        left = lists.of_queries[:, slab:] @ lists.of_rows[:, slab:].T
+        running &= so_far + left + 1 >= cut[:, None]
+    q, r = np.nonzero(running)
+    score, entry, rest = so_far[q, r], entered[q, r], left[q, r]
+    for k in range(slab, n):
+        more = lists.of_pairs(k, q, r)
+        score, entry, rest = score + more, entry | (more >= share[q]), rest - lists.of_queries[q, k] * lists.of_rows[r, k]
+        on = score + np.maximum(rest, 0) + 1 >= cut[q]
+        q, r, score, entry, rest = q[on], r[on], score[on], entry[on], rest[on]
+    fine = entry & (score >= cut[q])
+    return q[fine], r[fine], score[fine].astype(np.int64)
+
+
 def _above(queries, cutoffs, k: int):
-    """Phases 2 and 3: entries of slabs at their share of the cutoff, scored whole."""
+    """The task's best k among the pairs that reach their query's cutoff."""
 
     def run(batches):
-        got, cut = queries.value, cutoffs.value
-        best = (np.zeros((len(got[0]), 0), np.int64), np.zeros((len(got[0]), 0), np.int64))
-        for ids, slabs, whole, own in _blocks(batches, got):
-            share = -(-cut // len(slabs))[:, None]
-            entered = np.zeros(whole.shape, bool)
-            for s in slabs:
-                entered |= s >= share
-            scores = np.where(entered & ~own & (whole >= cut[:, None]), whole, LEAST)
-            take = min(8 * k, len(ids))
-            near = np.argpartition(-scores.astype(float), take - 1, axis=1)[:, :take]
-            edge = np.take_along_axis(scores, near, 1).min(axis=1)
-            # Ties at the edge of what was taken: those queries merge every entry.
-            tied = (edge != LEAST) & ((scores >= edge[:, None]).sum(axis=1) > take)
-            best = _keep_best(best, ids[near], np.take_along_axis(scores, near, 1), k)
-            for q in np.flatnonzero(tied):
-                one = _keep_best((best[0][q : q + 1, :0], best[1][q : q + 1, :0]), ids[None, :], scores[q : q + 1], k)
-                had = ~np.isin(best[0][q : q + 1], ids)
-                old = (best[0][q : q + 1], np.where(had, best[1][q : q + 1], LEAST))
-                new = _keep_best(old, *one, k)
-                best[0][q], best[1][q] = new[0][0], new[1][0]
-        yield _emit(got, best)
+        got, made = queries.value, 0
+        best = _Best(got, k)
+        for part, ids, lists in _blocks(batches, got):
+            if lists.large:
+                q, r = (x.ravel() for x in np.indices((len(lists.queries), len(ids))))
+                scores = lists.whole(q, r)
+            else:
+                # The best found in the task so far may be a higher cutoff than all tasks' first.
+                own = best.scores[part][:, -1]
+                q, r, scores = _collected(lists, np.maximum(cutoffs.value[part], own))
+            best.add(part, q, ids[r], scores)
+            made += lists.made
+        yield best.batch(made)
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the k best rows of ``vectors`` for each query."""
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", products: list[int] | None = None) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the k best rows of ``vectors`` for each query.
+
+    ``products``, if given, receives the products of components made in each scan."""
     spark = vectors.sparkSession
     kinds = "query_id long, vec_id long, score long"
 
@@ -172,12 +241,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
     while block := list(islice(asked, QUERIES)):
         ids = np.array([r.vec_id for r in block], np.int64)
         sent = spark.sparkContext.broadcast((ids, _matrix([r.v for r in block], max(len(r.v) for r in block))))
-        gathered = rows.mapInArrow(_local_lists(sent, k), kinds)
-        kth = gathered.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(f"n = {k}")
+        gathered = stash(rows.mapInArrow(_local_lists(sent, k), kinds), "gathered")
+        kth = gathered.where("vec_id IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(f"n = {k}")
         safe = {r.query_id: r.least for r in kth.collect()}
         cutoffs = spark.sparkContext.broadcast(np.array([safe.get(int(i), LEAST + 1) for i in ids], np.int64))
-        found = rows.mapInArrow(_above(sent, cutoffs, k), kinds).withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
-        out = out.union(stash(found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "found"))
+        found = stash(rows.mapInArrow(_above(sent, cutoffs, k), kinds), "found")
+        if products is not None:
+            products += [df.where("vec_id IS NULL").agg(F.sum("score")).first()[0] or 0 for df in (gathered, found)]
+        ranked = found.where("vec_id IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
+        out = out.union(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
     return out
 
 

@@ -191,6 +191,20 @@ def test_top_k(spark, data, duck):
     assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_top_k_makes_fewer_products(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 48))
+    near = [(i, (centres[i % 30] + rng.normal(size=48) * 0.4).tolist()) for i in range(3000)]
+    flat = [(i, rng.normal(size=48).tolist()) for i in range(3000)]
+    for rows, most in ((near, 0.6), (flat, 1.0)):
+        frame, made = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), []
+        asked = {i for i, _ in rows if i % 50 == 0}
+        got = topk.top_k(frame, frame.where("vec_id % 50 = 0"), products=made).collect()
+        assert len(made) == 2 and sum(made) < most * len(asked) * len(rows) * 48
+        few = {0, 950, 2950}
+        assert sorted(tuple(r) for r in got if r.query_id in few) == brute_top(rows, few, 5)
+
+
 def test_quality_model_held_out(spark):
     docs, labels = "/root/testdata/sf0.01/documents.parquet", "/root/testdata/sf0.01/labels.parquet"
     got = quality_model.op6_quality_model(spark, "/root/testdata/sf0.01")
