@@ -1,13 +1,14 @@
 """Line dedup by site-relative frequency.
 
 For each host, the pages that contain a line are divided by the host's pages; lines
-above ``ratio`` (and on ``least_pages`` pages at least) are boilerplate and dropped
-from every page of that host.
+above ``percent`` are boilerplate and dropped from every page of that host.  A line on
+one page alone repeats nowhere and stays, however small its host (``least_pages`` is 2).
 
 Counts are taken over all pages with partial sums before the shuffle, keyed by host
 and a 128-bit digest of the line, so neither a hot host nor a hot line meets in one
 task.  A host has at most (lines per page) / ratio boilerplate lines, so they travel
-as one bounded row per host; those rows are broadcast while they are few, else joined.
+as one bounded row per host; those rows are broadcast while they are few.  Beyond, the
+rows of hot hosts are broadcast and only pages of the other hosts are shuffled.
 
 Defined results
     a null host is the host ''; null texts stay null and count as pages; lines without
@@ -21,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.runtime import let, stash, table
 from lacuna.llm.quality_rules import BLANK_CHARS
+from lacuna.llm.runtime import let, spread_join, stash, table
 
-RATIO_PERCENT, LEAST_PAGES = 5, 5
-#: Boilerplate lines broadcast to all tasks (16 bytes each); beyond it a join.
+RATIO_PERCENT, LEAST_PAGES = 5, 2
+#: Boilerplate lines broadcast to all tasks (32 bytes each); beyond it a join.
 BROADCAST_LINES = 250_000
 
 
@@ -34,16 +35,16 @@ def _filled(line: Column) -> Column:
 
 
 def _digest(line: Column) -> Column:
-    return F.unhex(F.md5(line))
+    return F.md5(line)
 
 
 def boilerplate(docs: DataFrame, percent: int, least_pages: int, host: str, text: str) -> DataFrame:
-    """``(host, line)`` digests of the lines that exceed the ratio."""
+    """``(host, line, of)``: digests of the lines that exceed the ratio, and the host's pages."""
     pages = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text"))
     lines = pages.select("host", F.explode(F.array_distinct(F.filter(F.split("text", "\n"), _filled))).alias("line"))
     often = lines.groupBy("host", _digest(F.col("line")).alias("line")).agg(F.count(F.lit(1)).alias("on")).where(f"on >= {least_pages}")
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    return stash(often.join(totals, "host").where(f"100 * on > {percent} * of").select("host", "line"), "boilerplate")
+    return stash(often.join(totals, "host").where(f"100 * on > {percent} * of"), "boilerplate")
 
 
 def drop_lines(docs: DataFrame, percent: int = RATIO_PERCENT, least_pages: int = LEAST_PAGES, host: str = "source", text: str = "text") -> DataFrame:
@@ -51,19 +52,22 @@ def drop_lines(docs: DataFrame, percent: int = RATIO_PERCENT, least_pages: int =
     ``n_lines`` (lines with a word, before) and ``n_removed``; a column of ``docs`` that
     is called so gives way."""
     common = boilerplate(docs, percent, least_pages, host, text)
-    by_host = common.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_gone"))
-    if common.count() <= BROADCAST_LINES:
-        by_host = F.broadcast(by_host)
+    by_host = stash(common.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_gone"), F.max("of").alias("_of")), "by_host")
+    few = common.count() <= BROADCAST_LINES
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
     rows = docs.select(F.struct(*others, F.lit(0).alias("_")).alias("row"), F.col(f"`{text}`").alias("_text"), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("_host"))
-    joined = rows.join(by_host, "_host", "left")
-    gone = F.coalesce(F.col("_gone"), F.array().cast("array<binary>"))
+    joined = rows.join(F.broadcast(by_host), "_host", "left") if few else spread_join(rows, by_host, ["_host"], "_of", "left")
+    gone = F.coalesce(F.col("_gone"), F.array().cast("array<string>"))
 
     def cut(lines):
-        kept = F.filter(lines, lambda x: ~F.array_contains(gone, _digest(x)) | ~_filled(x))
-        return let(kept, lambda k: F.struct(
-            F.size(F.filter(lines, _filled)).cast("long").alias("n_lines"), (F.size(lines) - F.size(k)).cast("long").alias("n_removed"), F.array_join(k, "\n").alias("text"),
-        ))
+        def without(hit):
+            kept = F.when(F.size(hit) == 0, lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(hit, _digest(x)) | ~_filled(x)))
+            return let(kept, lambda k: F.struct(
+                F.size(F.filter(lines, _filled)).cast("long").alias("n_lines"), (F.size(lines) - F.size(k)).cast("long").alias("n_removed"), F.array_join(k, "\n").alias("text"),
+            ))
+
+        # The page's own boilerplate, by a hash set: a page has few lines, a host may have many.
+        return let(F.when(F.size(gone) > 0, F.array_intersect(F.transform(lines, _digest), gone)).otherwise(gone), without)
 
     joined = joined.withColumn("_cut", let(F.split(F.coalesce("_text", F.lit("")), "\n"), cut))
     new_text = F.when(F.col("_text").isNotNull(), F.col("_cut.text")).alias(text)

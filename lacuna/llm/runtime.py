@@ -21,14 +21,27 @@ def scratch_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = LOCAL_SCRATCH
         if context._jsc.sc().getCheckpointDir().isEmpty():
             context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+_swept: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/lacuna/{uuid.uuid4().hex}/{name}"
+    """A new path in a folder of this application's, which goes when the session ends."""
+    own = f"{scratch_dir(spark)}/lacuna/{spark.sparkContext.applicationId}"
+    if own not in _swept:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _swept.add(own)
+    return f"{own}/{uuid.uuid4().hex}/{name}"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +63,29 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, ARROW_ROWS)
 
 
+#: Keys that are broadcast as hot: fewer than this, as each has a larger share of the rows
+#: than one in as many.
+HOT_KEYS = 4096
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str, how: str = "inner", few: int = 0) -> DataFrame:
+    """``rows`` joined with ``lookup``, which has one row for a key and in the column
+    ``n`` how many rows have that key.
+
+    A lookup of at most ``few`` rows is broadcast.  Else its hot keys alone are, whose
+    rows then stay where they are, and the rows of the other keys are shuffled, none of
+    them more than 1 / ``HOT_KEYS`` of all.  ``rows`` is read twice, so give a scan or
+    what is stashed; ``lookup`` should be stashed too.
+    """
+    keyed, total = lookup.agg(F.count(F.lit(1)), F.coalesce(F.sum(n), F.lit(0))).first()
+    if keyed <= few:
+        return rows.join(F.broadcast(lookup), keys, how)
+    limit = total // HOT_KEYS
+    hot = F.broadcast(lookup.where(F.col(n) > limit))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(lookup.where(F.col(n) <= limit), keys, how)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once for a row."""
     return F.transform(F.array(value), body)[0]

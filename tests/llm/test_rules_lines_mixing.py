@@ -79,7 +79,7 @@ def test_joined_path_equals_broadcast(spark, corpus, monkeypatch):
     rows = corpus + [(1000 + k, f"menu\nown {k}", "hot") for k in range(30)]
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
     got = line_dedup.drop_lines(make(spark, rows))
-    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == brute_lines(rows, 5, 5)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == brute_lines(rows, 5, 2)
 
 
 def test_mixing_lag(spark):
