@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.runtime import small_batches, stash, table
+from lacuna.llm.runtime import small_batches, spread_join, stash, table
 
 SLOTS = 1 << 16
 #: Labelled documents fitted of each language at most.
@@ -141,12 +141,15 @@ def host_of(url: Column) -> Column:
 
 def _sums(rows: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
     sums = F.array(*(F.sum(F.col("text_p")[k]) for k in range(n)))
-    return rows.groupBy(*keys).agg(sums.alias(name))
+    return rows.groupBy(*keys).agg(sums.alias(name), F.count(F.lit(1)).alias("_pages"))
 
 
 def _joined(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups are broadcast while they are few, else hot ones only."""
     counts = stash(counts, "counts")
-    return rows.join(F.broadcast(counts) if counts.count() <= BROADCAST_GROUPS else counts, keys)
+    if counts.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(counts), keys).drop("_pages")
+    return stash(spread_join(stash(rows, "rows"), counts, keys, "_pages").drop("_pages"), "joined")
 
 
 def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
@@ -155,7 +158,7 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     parts = F.split("host", r"\.")
     rows = evidence.withColumn("suffix", F.when(F.instr("host", ".") > 0, F.element_at(parts, -1)).otherwise(F.lit("")))
     rows = rows.withColumn("domain", F.when(F.size(parts) > 1, F.concat_ws(".", F.element_at(parts, -2), F.element_at(parts, -1))).otherwise(F.col("host")))
-    everything = _sums(rows, [], n, "all_n")
+    everything = _sums(rows, [], n, "all_n").drop("_pages")
     full = rows
     for key in (*LEVELS, "declared"):
         full = _joined(full, _sums(rows, [key], n, f"{key}_n"), [key])

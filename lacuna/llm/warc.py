@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.runtime import new_path, small_batches, stash, table
+from lacuna.llm.runtime import new_path, small_batches, spread_join, stash, table
 
-#: Bytes of payload after which a new archive file begins, on average.
-FILE_BYTES = 32 << 20
+#: Bytes of payload after which a new archive file begins, on average, and payloads from
+#: which on pages are written apart, so that no file outgrows what can be read as one.
+FILE_BYTES, LARGE_BYTES, MOST_BYTES = 32 << 20, 1 << 20, 1 << 30
 #: Revisits broadcast to the writers; beyond it the same join is shuffled.
 BROADCAST_REVISITS = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -48,8 +49,9 @@ def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``(page_id, payload_digest, refers_to, original_url)`` of the revisits among
     rows ``(page_id, url, payload_digest, payload_bytes)``."""
     heads = pages.where(f"payload_bytes >= {least_bytes} AND page_id IS NOT NULL")
-    firsts = heads.groupBy("payload_digest", "payload_bytes").agg(F.min(F.struct("page_id", "url")).alias("first"))
-    met = heads.select("page_id", "payload_digest", "payload_bytes").join(firsts, ["payload_digest", "payload_bytes"]).where("page_id <> first.page_id")
+    firsts = heads.groupBy("payload_digest", "payload_bytes").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    firsts = stash(firsts.where("copies > 1"), "firsts")
+    met = spread_join(heads.select("page_id", "payload_digest", "payload_bytes"), firsts, ["payload_digest", "payload_bytes"], "copies").where("page_id <> first.page_id")
     return met.select("page_id", "payload_digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("original_url")).distinct()
 
 
@@ -95,11 +97,17 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_column:
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     heads = stash(rows.select("page_id", "url", "payload_digest", "payload_bytes"), "headers")
     revisits = stash(resolve(heads, least_bytes), "revisits")
-    n, size = heads.agg(F.count(F.lit(1)), F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()
-    per_file = max(1, int(FILE_BYTES * n // max(1, size + 600 * n)))
     revisits = F.broadcast(revisits) if revisits.count() <= BROADCAST_REVISITS else revisits
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    records(rows, revisits, date).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).text(path)
+    large = F.col("payload_bytes") > LARGE_BYTES
+    sizes = {r.large: r for r in heads.groupBy(large.alias("large")).agg(F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("size"), F.max("payload_bytes").alias("most")).collect()}
+    for apart in (False, True):
+        if apart and apart not in sizes:
+            continue
+        n, size, most = (sizes[apart][c] for c in ("n", "size", "most")) if apart in sizes else (1, 0, 0)
+        per_file = max(1, min(FILE_BYTES * n // (size + 600 * n), MOST_BYTES // (most + 4096)))
+        part = rows.where(large if apart else ~large)
+        records(part, revisits, date).write.mode("append").option("lineSep", CRLF * 2).option("maxRecordsPerFile", int(per_file)).text(path)
 
 
 def parse(data: bytes):
