@@ -1,13 +1,16 @@
 """N-gram join, substring dedup and components against brute force."""
 
 import hashlib
+import random
 from collections import defaultdict
 
-from llm_helpers import make
+from llm_helpers import make, prose
 
+from lacuna.llm import runtime
+from lacuna.llm import substring_dedup as substring_dedup_module
 from lacuna.llm.components import connected_components
 from lacuna.llm.ngram_join import keep_one, ngram_join
-from lacuna.llm.substring_dedup import repeated_levels, substring_dedup
+from lacuna.llm.substring_dedup import levels, repeated_levels, substring_dedup
 
 
 
@@ -102,6 +105,33 @@ def test_substring_dedup(spark, corpus):
         assert got == brute_substrings(corpus, length)
 
 
+def test_substring_levels_and_hot_windows(spark, monkeypatch):
+    assert [levels(n) for n in (50, 100, 7, 3, 2)] == [[13, 25, 50], [13, 25, 50, 100], [4, 7], [2, 3], [2]]
+    rng = random.Random(8)
+    hot, rare = prose(rng, 64), prose(rng, 55)
+    texts = [f"{prose(rng, 9)} {hot} {prose(rng, 5)}" for _ in range(60)] + [f"{prose(rng, 20)} {rare}" for _ in range(2)]
+    texts += [hot[: len(hot) // 2] + " " + prose(rng, 40), prose(rng, 300), " ".join(hot.split()[:30] + rare.split()[:30])] + ["x"] * 40
+    rows = [(k if k % 9 else None, t, "s") for k, t in enumerate(texts)]
+    named = [(k, t, s) for k, t, s in rows if k is not None]
+    for keys in (1, 8, 4096):
+        monkeypatch.setattr(runtime, "HOT_KEYS", keys)
+        monkeypatch.setattr(substring_dedup_module, "BROADCAST_FIRSTS", 0)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(make(spark, rows)).collect() if r.doc_id is not None}
+        assert got == brute_substrings(named, 50)
+
+
+def test_spread_join(spark, monkeypatch):
+    rows = [("a", k) for k in range(50)] + [("b", 1), ("c", 2), (None, 3)]
+    frame = spark.createDataFrame(rows, "key string, v int")
+    lookup = spark.createDataFrame([("a", 50, "A"), ("b", 1, "B")], "key string, n long, name string")
+    for keys in (1, 3, 4096):
+        monkeypatch.setattr(runtime, "HOT_KEYS", keys)
+        for few in (0, 10):
+            got = {(r.v, r.name) for r in runtime.spread_join(frame, lookup, ["key"], "n", "left", few).collect()}
+            assert got == {(v, {"a": "A", "b": "B"}.get(k)) for k, v in rows}
+            assert runtime.spread_join(frame, lookup, ["key"], "n", few=few).count() == 51
+
+
 def test_substring_edges(spark):
     assert substring_dedup(make(spark, [])).count() == 0
     text = " ".join(f"w{k}" for k in range(60))
