@@ -1,20 +1,21 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the mean of the learned vectors of its features, hashed to ``SLOTS``
-rows: each word, the character n-grams of ``<word>``, and the word bigram of a word
-with itself (one slot whatever the word, so that stuttering is learned once); a softmax over the two
-classes follows.  Vectors and output weights are fitted by stochastic gradient
-descent in numpy on the driver, on a bounded sample of labelled rows; every document
-is then scored whole on the executors.
+A document is the mean of the learned vectors of its features: each word and the
+character n-grams of ``<word>``, hashed to ``SLOTS`` rows, and each pair of adjacent
+words, hashed to as many rows of their own; a softmax over the two classes follows.
+Vectors and output weights are fitted by stochastic gradient descent in numpy on the
+driver, on a bounded sample of labelled rows; every document is then scored whole on
+the executors.
 
 The softmax of a mean is linear in the features, so scoring needs one number per slot
 (the difference of the two classes), which is all that is broadcast.
 
 Defined results
     null or blank texts are scored by the class prior; without a label to learn from
-    every score is the prior 0.5; rows that repeat are scored each; conflicting labels
-    are both seen; labels other than 0 and 1 are left out; an empty table gives an
-    empty result; extra columns are ignored.
+    every score is the prior 0.5; rows that repeat are scored each, and learned from
+    each while the sample has room; conflicting labels are both seen; labels other than
+    0 and 1 are left out; texts of any length are scored whole; equal texts have equal
+    scores; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,22 +29,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm.runtime import small_batches, table
-from lacuna.llm.wordhash import words_of
+from lacuna.llm.wordhash import codes_of, mix, words_of
 
+#: Rows for words and their n-grams, and as many after them for pairs of words.
 SLOTS, DIMS = 1 << 17, 16
 SHORTEST, LONGEST = 3, 4
 #: The sample that is fitted: rows, and characters of a row's text at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 30_000
 EPOCHS, RATE, SEED = 5, 0.5, 7
-#: Distinct words whose features a worker remembers; others are hashed again.
+#: Distinct words after which a worker forgets what it knows of them and begins anew.
 MEMO_WORDS = 300_000
 CUT = 0.7
-AGAIN = zlib.crc32(b"<=>", 2) % SLOTS
-
-
-def repeats(words: list[bytes]) -> int:
-    """Words equal to the word before them."""
-    return sum(map(bytes.__eq__, words, words[1:]))
 
 
 def features(word: bytes) -> list[int]:
@@ -55,7 +51,14 @@ def features(word: bytes) -> list[int]:
     return out
 
 
+def pair_slots(codes: np.ndarray) -> np.ndarray:
+    """Slots of the pairs of adjacent words, from the words' 64-bit codes."""
+    both = mix(codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:])
+    return (both % np.uint64(SLOTS)).astype(np.int64) + SLOTS
+
+
 def _bag(words: list[bytes], memo: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """``(slots, shares)`` of a document's features."""
     counts: Counter[int] = Counter()
     for word, times in Counter(words).items():
         slots = memo.get(word)
@@ -63,10 +66,9 @@ def _bag(words: list[bytes], memo: dict[bytes, list[int]]) -> tuple[np.ndarray,
             slots = memo[word] = features(word)
         for s in slots:
             counts[s] += times
-    if again := repeats(words):
-        counts[AGAIN] += again
-    slots = np.fromiter(counts.keys(), np.int64, len(counts))
-    weights = np.fromiter(counts.values(), float, len(counts))
+    pairs, times = np.unique(pair_slots(codes_of(words)), return_counts=True)
+    slots = np.concatenate([np.fromiter(counts.keys(), np.int64, len(counts)), pairs])
+    weights = np.concatenate([np.fromiter(counts.values(), float, len(counts)), times])
     return slots, weights / max(1.0, weights.sum())
 
 
@@ -75,9 +77,20 @@ class Model:
 
     def __init__(self, seed: int = SEED):
         self.rng = np.random.default_rng(seed)
-        self.vectors = self.rng.uniform(-1 / DIMS, 1 / DIMS, (SLOTS, DIMS))
+        self.vectors = self.rng.uniform(-1 / DIMS, 1 / DIMS, (2 * SLOTS, DIMS))
         self.output, self.bias = np.zeros((2, DIMS)), np.zeros(2)
 
+    def chances(self, slots: np.ndarray, share: np.ndarray) -> np.ndarray:
+        logits = self.output @ (share @ self.vectors[slots]) + self.bias
+        p = np.exp(logits - logits.max())
+        return p / p.sum()
+
+    def gradients(self, slots: np.ndarray, share: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the log loss of one document: by its slots' vectors, the output, the bias."""
+        error = self.chances(slots, share)
+        error[label] -= 1
+        return np.outer(share, error @ self.output), np.outer(error, share @ self.vectors[slots]), error
+
     def fit(self, texts: list[str | None], labels: list[int]) -> Model:
         memo: dict[bytes, list[int]] = {}
         bags = [_bag(words_of(t), memo) for t in texts]
@@ -91,21 +104,14 @@ class Model:
         for _ in range(EPOCHS):
             for k in self.rng.permutation(len(bags)):
                 slots, share = bags[k]
-                rate = RATE * (1 - turn / steps)
+                rate = RATE * (1 - turn / steps) * weigh[labels[k]]
                 turn += 1
                 if not len(slots):
                     continue
-                mean = share @ self.vectors[slots]
-                logits = self.output @ mean + self.bias
-                p = np.exp(logits - logits.max())
-                p /= p.sum()
-                error = p
-                error[labels[k]] -= 1
-                error *= rate * weigh[labels[k]]
-                back = error @ self.output
-                self.output -= np.outer(error, mean)
-                self.bias -= 0.01 * error
-                self.vectors[slots] -= len(slots) ** 0.5 * np.outer(share, back)
+                by_vectors, by_output, by_bias = self.gradients(slots, share, labels[k])
+                self.output -= rate * by_output
+                self.bias -= 0.01 * rate * by_bias
+                self.vectors[slots] -= rate * len(slots) ** 0.5 * by_vectors
         return self
 
     def slots(self) -> tuple[np.ndarray, float]:
@@ -123,33 +129,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     seen = labels.where(F.col(label).isin(0, 1) & F.col(id_column).isNotNull() & ~held_out(F.col(id_column)))
     some = seen.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("label")).orderBy(F.md5(F.col("id").cast("string")), "id", "label").limit(SAMPLE_ROWS)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
-    rows = sorted((r.id, r.label, r.text or "") for r in texts.join(F.broadcast(some), "id").collect())
+    # An id may repeat in the documents: the sample is bounded again after the join.
+    met = texts.join(F.broadcast(some), "id").orderBy(F.md5(F.col("id").cast("string")), "id", "label", "text").limit(SAMPLE_ROWS)
+    rows = sorted((r.id, r.label, r.text or "") for r in met.collect())
     return Model().fit([r[2] for r in rows], [r[1] for r in rows])
 
 
+class _Known(dict):
+    """The place of each word in arrays of its features' sum and number and its code."""
+
+    def __init__(self, slot: np.ndarray):
+        super().__init__()
+        self.slot = slot
+        self.sums, self.sizes, self.codes = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        at, own = len(self), features(word)
+        if at == len(self.sums):
+            self.sums, self.sizes, self.codes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.sizes, self.codes))
+        self[word] = at
+        self.sums[at], self.sizes[at], self.codes[at] = self.slot[own].sum(), len(own), codes_of([word])[0]
+        return at
+
+    def logit(self, words: list[bytes]) -> float:
+        """The mean over the features of a document, 0 if it has none."""
+        if not words:
+            return 0.0
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        total = self.sums[at].sum() + self.slot[pair_slots(self.codes[at])].sum()
+        return float(total / (self.sizes[at].sum() + len(words) - 1))
+
+
 def _scores(sent):
     def run(batches):
         slot, bias = sent.value
-        memo: dict[bytes, tuple[float, int]] = {}
-
-        def value(word):
-            found = memo.get(word)
-            if found is None:
-                at = features(word)
-                found = (sum(slot[s] for s in at), len(at))
-                if len(memo) < MEMO_WORDS:
-                    memo[word] = found
-            return found
-
+        known = _Known(slot)
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                found, again = [value(w) for w in words], repeats(words)
-                n = sum(f[1] for f in found) + again
-                logit = bias + ((sum(f[0] for f in found) + again * slot[AGAIN]) / n if n else 0.0)
-                out.append(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            if len(known) > MEMO_WORDS:
+                known = _Known(slot)
+            logits = np.array([bias + known.logit(words_of(text)) for text in batch.column(1).to_pylist()], float)
+            yield pa.record_batch([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))), pa.float64())], names=["doc_id", "score"])
 
     return run
 
@@ -157,8 +176,7 @@ def _scores(sent):
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, score)`` of every whole text; ``score`` is the chance of label 1."""
     small_batches(docs.sparkSession)
-    slot, bias = model.slots()
-    sent = docs.sparkSession.sparkContext.broadcast((slot.tolist(), bias))
+    sent = docs.sparkSession.sparkContext.broadcast(model.slots())
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInArrow(_scores(sent), "doc_id long, score double")
 

@@ -214,6 +214,58 @@ def test_quality_model_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got.collect())
 
 
+def brute_features(text):
+    words = (text or "").encode().split()
+    codes = quality_model.codes_of(words)
+    singles = [s for w in words for s in quality_model.features(w)]
+    return singles + [int(quality_model.pair_slots(codes[k : k + 2])[0]) for k in range(len(words) - 1)]
+
+
+def brute_chance(model, text):
+    """The softmax of the mean vector, feature by feature."""
+    found = brute_features(text)
+    mean = sum((model.vectors[s] for s in found), np.zeros(quality_model.DIMS)) / max(1, len(found))
+    p = np.exp(model.output @ mean + model.bias)
+    return p[1] / p.sum()
+
+
+def test_quality_gradients_and_scores(spark, monkeypatch):
+    good, bad = "the cat sat on the mat and the dog", "mat the the dog sat cat on and the"
+    model = quality_model.Model().fit([good, bad, "some more words", good + " again"] * 5, [1, 0, 1, 0] * 5)
+    slots, share = quality_model._bag(good.encode().split(), {})
+    assert dict(zip(slots.tolist(), share, strict=True)) == pytest.approx({s: brute_features(good).count(s) / len(brute_features(good)) for s in brute_features(good)})
+
+    def loss(label):
+        return -np.log(model.chances(slots, share)[label])
+
+    for label in (0, 1):
+        by_vectors, by_output, by_bias = model.gradients(slots, share, label)
+        for array, at, slope in ((model.vectors, (slots[3], 2), by_vectors[3, 2]), (model.vectors, (slots[-1], 7), by_vectors[-1, 7]), (model.output, (1, 4), by_output[1, 4]), (model.bias, (0,), by_bias[0])):
+            had, step = array[at], 1e-6
+            array[at] = had + step
+            above = loss(label)
+            array[at] = had - step
+            below = loss(label)
+            array[at] = had
+            assert (above - below) / (2 * step) == pytest.approx(slope, abs=1e-7)
+
+    monkeypatch.setattr(quality_model, "MEMO_WORDS", 3)
+    texts = [good, bad, None, " ", "one", "long " * 90_000, good]
+    docs = make(spark, [(k, t, "s") for k, t in enumerate(texts)]).withColumn("score", F.lit("clash"))
+    got = {r.doc_id: r.score for r in quality_model.score(docs, model).collect()}
+    assert got == {k: pytest.approx(brute_chance(model, t), abs=1e-9) for k, t in enumerate(texts)}
+    assert got[0] == got[6] and got[0] - got[1] > 1e-3  # the order of words counts
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality_model, "SAMPLE_ROWS", 6)
+    docs = make(spark, [(k % 3, f"text {k}", "s") for k in range(60)])
+    seen = []
+    monkeypatch.setattr(quality_model.Model, "fit", lambda self, texts, labels: seen.append(len(texts)) or self)
+    quality_model.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(3)], "doc_id long, quality int"))
+    assert seen[0] <= 6
+
+
 def test_quality_model_edges(spark):
     docs = make(spark, [(1, None, "s"), (2, "", "s"), (3, "good words", "s"), (3, "good words", "s")])
     none = spark.createDataFrame([], "doc_id long, quality int")
