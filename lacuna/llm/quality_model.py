@@ -1,9 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the mean of the learned vectors of its features: each word and the
-character n-grams of ``<word>``, hashed to ``SLOTS`` rows, and each pair of adjacent
-words, hashed to as many rows of their own; a softmax over the two classes follows.
-Vectors and output weights are fitted by stochastic gradient descent in numpy on the
+character n-grams of ``<word>``, hashed to ``SLOTS`` rows, each pair of adjacent words,
+hashed to as many rows of their own, and, for a pair of equal words, one row that all
+such pairs share, so that the stutter of an unseen word is known; a softmax over the two
+classes follows.  Vectors and output weights are fitted by stochastic gradient descent in numpy on the
 driver, on a bounded sample of labelled rows; every document is then scored whole on
 the executors.
 
@@ -33,6 +34,8 @@ from lacuna.llm.wordhash import codes_of, mix, words_of
 
 #: Rows for words and their n-grams, and as many after them for pairs of words.
 SLOTS, DIMS = 1 << 17, 16
+#: The row of a word after itself, the last one.
+AGAIN = 2 * SLOTS
 SHORTEST, LONGEST = 3, 4
 #: The sample that is fitted: rows, and characters of a row's text at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 30_000
@@ -67,6 +70,8 @@ def _bag(words: list[bytes], memo: dict[bytes, list[int]]) -> tuple[np.ndarray,
         for s in slots:
             counts[s] += times
     pairs, times = np.unique(pair_slots(codes_of(words)), return_counts=True)
+    if again := sum(map(bytes.__eq__, words, words[1:])):
+        pairs, times = np.append(pairs, AGAIN), np.append(times, again)
     slots = np.concatenate([np.fromiter(counts.keys(), np.int64, len(counts)), pairs])
     weights = np.concatenate([np.fromiter(counts.values(), float, len(counts)), times])
     return slots, weights / max(1.0, weights.sum())
@@ -77,7 +82,7 @@ class Model:
 
     def __init__(self, seed: int = SEED):
         self.rng = np.random.default_rng(seed)
-        self.vectors = self.rng.uniform(-1 / DIMS, 1 / DIMS, (2 * SLOTS, DIMS))
+        self.vectors = self.rng.uniform(-1 / DIMS, 1 / DIMS, (AGAIN + 1, DIMS))
         self.output, self.bias = np.zeros((2, DIMS)), np.zeros(2)
 
     def chances(self, slots: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -156,8 +161,9 @@ class _Known(dict):
         if not words:
             return 0.0
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        total = self.sums[at].sum() + self.slot[pair_slots(self.codes[at])].sum()
-        return float(total / (self.sizes[at].sum() + len(words) - 1))
+        again = int((at[1:] == at[:-1]).sum())
+        total = self.sums[at].sum() + self.slot[pair_slots(self.codes[at])].sum() + again * self.slot[AGAIN]
+        return float(total / (self.sizes[at].sum() + len(words) - 1 + again))
 
 
 def _scores(sent):

@@ -218,7 +218,8 @@ def brute_features(text):
     words = (text or "").encode().split()
     codes = quality_model.codes_of(words)
     singles = [s for w in words for s in quality_model.features(w)]
-    return singles + [int(quality_model.pair_slots(codes[k : k + 2])[0]) for k in range(len(words) - 1)]
+    pairs = [int(quality_model.pair_slots(codes[k : k + 2])[0]) for k in range(len(words) - 1)]
+    return singles + pairs + [quality_model.AGAIN for k in range(len(words) - 1) if words[k] == words[k + 1]]
 
 
 def brute_chance(model, text):
