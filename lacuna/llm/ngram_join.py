@@ -1,22 +1,32 @@
 """N-gram Jaccard join: a blocked sparse product of documents by n-grams.
 
 The incidence of documents by n-grams is multiplied with its transpose one block of
-columns at a time.  Columns are ordered rare to frequent, and each document enters
-the first product with a size-derived prefix of its columns only: documents of n
-n-grams that reach similarity t share their first ``EXTRA`` common columns within
-the first n - ceil(t n) + EXTRA, so pairs whose accumulated count stays below that
-are discarded.  What remains is multiplied over all columns and compared with t.
-
-No step lists all pairs of a group.  Documents with equal sets are one class from the
-start.  A long column first multiplies with its lead document alone (the one closest
-to being all frequent columns, so the origin of its copies); only members that this
-leaves outside the lead's component are then paired with the column.
+columns at a time.  Columns are ordered rare to frequent, and each document enters the
+first block with a size-derived prefix of its columns only: documents of n n-grams that
+reach similarity t share their first ``EXTRA`` common columns within the first
+n - ceil(t n) + EXTRA, so pairs whose accumulated count stays below that are discarded.
+What remains is multiplied block after block over all columns, and a pair is discarded
+as soon as its count and what is left of the shorter rest stay below what t needs.
+
+No step lists all pairs of a group, nor of a column that many documents share:
+
+* Documents with equal sets are one class from the start.
+* An entry (document, column) is dropped before any pair is made if the document cannot
+  link through it: what its rarer columns lose to all others bounds the overlap, and so
+  the partner's size.
+* A column of at most ``LONG`` documents pairs them all, a bounded number for each.
+* A longer one first multiplies with its lead document alone (the one closest to being
+  all frequent columns, so the origin of its copies).  Members that this leaves outside
+  the lead's component then meet others by equi-joins on column and size: only where
+  the column can be the first common one, which leaves each a band of partner sizes.
+  Texts made from one template, alike but below the threshold, do not meet at all.
 
 Defined results
     null or blank texts have no n-grams and link with nothing; texts with fewer words
-    than n have one n-gram; rows that share a ``doc_id`` are one document; a null
-    ``doc_id`` gives a null component; extra columns are ignored, the result has its
-    own; an empty table gives an empty result.
+    than n have one n-gram; rows that share a ``doc_id`` must share the text; a null ``doc_id``
+    gives a null component; texts of any length are taken whole; ties in size and order
+    change nothing; extra columns are ignored, the result has its own; an empty table
+    gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,6 +50,10 @@ LONG = 16
 FREQUENT, FREQUENT_LEAST = 1 << 18, 4
 #: Ids broadcast to filter a scan; beyond it the same join is shuffled.
 BROADCAST_IDS = 250_000
+#: Columns of a block of the whole product; pairs of one document that one task holds.
+COLUMNS, HOT_PAIRS = 1024, 2000
+#: Bands of sizes in which documents meet: of a hundredth.
+BANDS = 100
 #: Codes counted at once inside a task.
 FLUSH = 1 << 21
 SEEN_IN_TASK = 2
@@ -112,13 +126,28 @@ def _sets(size: int, lower: bool):
     return run
 
 
-def _overlaps(batches):
-    for batch in batches:
-        common = [
-            len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
-            for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
-        ]
-        yield pa.record_batch([*(batch.column(k) for k in range(4)), pa.array(common, pa.int64())], names=["x", "y", "nx", "ny", "common"])
+def overlap(a: np.ndarray, b: np.ndarray, percent: int, block: int = COLUMNS) -> int | None:
+    """Common codes of two sorted sets, a block of columns after another; None as soon
+    as they cannot reach the similarity any more."""
+    need = -(-percent * (len(a) + len(b)) // (100 + percent))
+    common = at = 0
+    for begin in range(0, len(a), block):
+        if common + min(len(a) - begin, len(b) - at) < need:
+            return None
+        part = a[begin : begin + block]
+        upto = len(b) if begin + block >= len(a) else int(np.searchsorted(b, part[-1], side="right"))
+        common += len(np.intersect1d(part, b[at:upto], assume_unique=True))
+        at = upto
+    return common if common >= need else None
+
+
+def _overlaps(percent: int):
+    def run(batches):
+        for batch in batches:
+            common = [overlap(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(common, pa.int64())], names=["x", "y", "common"])
+
+    return run
 
 
 def _of_these(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -132,9 +161,22 @@ def _links(docs: DataFrame, pairs: DataFrame, size: int, lower: bool, percent: i
     """The pairs ``(x, y, nx, ny)`` whose full product reaches the threshold."""
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id"))
     sets = stash(_of_these(docs, ids).dropDuplicates(["id"]).mapInArrow(_sets(size, lower), "id long, codes binary"), "sets")
-    joined = pairs.join(sets.select(F.col("id").alias("y"), F.col("codes").alias("cy")), "y").join(sets.select(F.col("id").alias("x"), F.col("codes").alias("cx")), "x")
-    counted = joined.select("x", "y", "nx", "ny", "cx", "cy").mapInArrow(_overlaps, "x long, y long, nx long, ny long, common long")
-    return stash(counted.where(F.expr(f"100 * common >= {percent} * (nx + ny - common)")).select("x", "y"), "links")
+    joined = _with_sets(_with_sets(pairs.select("x", "y"), pairs, sets, "y", "x"), pairs, sets, "x", "y")
+    counted = joined.select("x", "y", "codes_x", "codes_y").mapInArrow(_overlaps(percent), "x long, y long, common long")
+    return stash(counted.where("common IS NOT NULL").select("x", "y"), "links")
+
+
+def _with_sets(joined: DataFrame, pairs: DataFrame, sets: DataFrame, end: str, other: str) -> DataFrame:
+    """``joined`` with the set of each pair's ``end``.  An end of very many pairs is spread
+    over as many keys as it has ``HOT_PAIRS`` pairs, and its set is repeated for each."""
+    hot = pairs.groupBy(F.col(end).alias("id")).agg(F.ceil(F.count(F.lit(1)) / HOT_PAIRS).cast("int").alias("parts")).where("parts > 1")
+    hot = stash(hot, "hot")
+    if hot.isEmpty():
+        return joined.join(sets.select(F.col("id").alias(end), F.col("codes").alias(f"codes_{end}")), end)
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    spread = joined.join(hot.withColumnRenamed("id", end), end, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = sets.join(hot, "id", "left").select(F.col("id").alias(end), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.col("codes").alias(f"codes_{end}"))
+    return spread.join(copies, [end, "part"]).drop("part")
 
 
 def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -175,40 +217,67 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool =
     heads = prefixes.join(classes.select(F.col("class_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "n"])
     entries = heads.select("id", "n", F.posexplode("cols").alias("pos", "col"))
     columns = entries.groupBy("col").agg(F.count(F.lit(1)).alias("length"), F.min(F.struct("pos", "n", "id")).alias("lead")).where("length > 1")
-    # Columns that one document alone shows in its prefix are lost to each of its pairs
-    # that meet further on: only the ``met`` other columns before this one can match.
-    met_before = F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1
-    entries = stash(entries.join(columns, "col").withColumn("met", met_before), "entries")
+
+    def partner(most: str) -> str:
+        """The largest partner of a document of n n-grams with ``most`` common ones."""
+        return f"(100 * ({most}) div {percent} + ({most}) - n)"
 
     def bound(x: str, y: str) -> str:
         most = f"least(m{x}, m{y}) + least(n{x} - p{x}, n{y} - p{y})"
         return f"100 * ({most}) >= {percent} * (n{x} + n{y} - ({most}))"
 
+    # Columns that one document alone shows in its prefix are lost to each of its pairs
+    # that meet further on: only the ``met`` other columns before this one can match.
+    met_before = F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1
+    entries = entries.join(columns, "col").withColumn("met", met_before)
+    entries = stash(entries.where(f"{partner('met + n - pos')} >= ceil({percent} * n / 100)"), "entries")
+
     lost = "least(nx - px, ny - py)"  # of the first common column: nothing before it is common
     reach = f"100 * {lost} >= {percent} * (nx + ny - {lost})"
-    enough = f"count(1) >= least({EXTRA}, ceil({percent} * greatest(max(nx), max(ny)) / 100)) AND max(IF({reach}, 1, 0)) = 1"
+    needed = f"least({EXTRA}, ceil({percent} * greatest(nx, ny) / 100))"
 
     def accumulated(found: DataFrame) -> DataFrame:
-        counts = found.groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.expr(enough).alias("enough"))
-        return stash(counts.where("enough").select("x", "y", "nx", "ny"), "pairs")
+        """``(x, y, nx, ny, counted, near)`` from rows of a common column each."""
+        return found.groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.sum("counts").alias("counted"), F.expr(f"max(IF({reach}, 1, 0)) AS near")).where("near = 1")
 
     led = entries.where(f"length > {LONG} AND id <> lead.id").selectExpr("lead.id AS x", "id AS y", "lead.n AS nx", "n AS ny", "lead.pos AS px", "pos AS py", "lead.pos AS mx", "met AS my").where(bound("x", "y"))
-    first = _links(docs, accumulated(led), size, lower, percent)
+    first = _links(docs, stash(accumulated(led.withColumn("counts", F.lit(1))).where(f"counted >= {needed}"), "pairs"), size, lower, percent)
     so_far = stash(connected_components(first, "x", "y"), "components")
 
     named = entries.join(so_far.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     lead_comp = so_far.select(F.col("node").alias("lead_id"), F.col("component").alias("lead_component"))
     named = named.withColumn("lead_id", F.col("lead.id")).join(lead_comp, "lead_id", "left")
-    named = named.withColumn("outside", (F.col("length") <= LONG) | (F.col("comp") != F.coalesce("lead_component", "lead_id")))
-    named = stash(named.select("col", "pos", "met", "id", "n", "comp", "outside"), "named")
-    left = named.where("outside").selectExpr("col", "id AS a", "n AS na", "pos AS pa", "met AS ma", "comp AS ca")
-    right = named.selectExpr("col", "id AS b", "n AS nb", "pos AS pb", "met AS mb", "comp AS cb", "outside AS both")
-    met = left.join(right, "col").where(f"ca <> cb AND (NOT both OR a < b) AND {bound('a', 'b')}")
-    met = met.select(
-        F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.expr("IF(a < b, na, nb) AS nx"), F.expr("IF(a < b, nb, na) AS ny"),
-        F.expr("IF(a < b, pa, pb) AS px"), F.expr("IF(a < b, pb, pa) AS py"),
-    )
-    links = first.union(_links(docs, accumulated(met), size, lower, percent))
+    named = named.withColumn("long", F.col("length") > LONG).withColumn("outside", F.col("comp") != F.coalesce("lead_component", "lead_id"))
+    named = stash(named.select("col", "pos", "met", "id", "n", "comp", "long", "outside"), "named")
+
+    def side(rows: DataFrame, k: str, *more: str) -> DataFrame:
+        return rows.selectExpr("col", f"id AS {k}", f"n AS n{k}", f"pos AS p{k}", f"met AS m{k}", f"comp AS c{k}", *more)
+
+    def pairs_of(met: DataFrame, counts: int) -> DataFrame:
+        return met.where(f"ca <> cb AND {bound('a', 'b')}").select(
+            F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.expr("IF(a < b, na, nb) AS nx"), F.expr("IF(a < b, nb, na) AS ny"),
+            F.expr("IF(a < b, pa, pb) AS px"), F.expr("IF(a < b, pb, pa) AS py"), F.lit(counts).alias("counts"),
+        )
+
+    short, long = named.where("NOT long"), named.where("long")
+    found = pairs_of(side(short, "a").join(side(short, "b"), "col").where("a < b"), 1)
+    # In a long column the smaller document looks for partners of the sizes that it can
+    # reach if the column is their first common one; two insiders of the lead never meet.
+    band = f"CAST(floor({BANDS} * ln(n)) AS INT)"
+    asks = long.where(f"{partner('n - pos')} >= n").withColumn("upto", F.expr(partner("n - pos")))
+    asks = asks.withColumn("band", F.expr(f"explode(sequence({band}, CAST(floor({BANDS} * ln(upto)) AS INT)))"))
+    held = long.withColumn("band", F.expr(band))
+    for asking, holding in ((asks.where("outside"), held), (asks.where("NOT outside"), held.where("outside"))):
+        met = side(asking, "a", "band", "upto").join(side(holding, "b", "band"), ["col", "band"]).where("nb BETWEEN na AND upto AND a <> b AND (na < nb OR a < b)")
+        found = found.union(pairs_of(met, 0))
+    some = stash(accumulated(found), "some")
+    longs = stash(long.groupBy("id").agg(F.collect_list("col").alias("longs")), "longs")
+    unsure = some.where(f"counted < {needed}")
+    for end in ("x", "y"):
+        unsure = unsure.join(longs.select(F.col("id").alias(end), F.col("longs").alias(f"longs_{end}")), end)
+    unsure = unsure.where(f"counted + size(array_intersect(longs_x, longs_y)) >= {needed}").select(*some.columns)
+    pairs = stash(some.where(f"counted >= {needed}").union(unsure), "pairs")
+    links = first.union(_links(docs, pairs, size, lower, percent))
     parts = stash(connected_components(links, "x", "y"), "components")
     named_classes = stash(classes.join(parts, F.col("class_id") == F.col("node"), "left").select("n", "k1", "k2", "class_id", F.coalesce("component", "class_id").alias("component_id")), "classes")
     membership = rows.join(named_classes, ["n", "k1", "k2"], "left").select(

@@ -4,9 +4,12 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
+import pytest
 from llm_helpers import make, prose
 
 from lacuna.llm import runtime
+from lacuna.llm import ngram_join as ngram_module
 from lacuna.llm import substring_dedup as substring_dedup_module
 from lacuna.llm.components import connected_components
 from lacuna.llm.ngram_join import keep_one, ngram_join
@@ -59,6 +62,53 @@ def test_large_group_of_near_copies(spark):
     assert links.count() < 120 * 119 / 4
 
 
+def templates(n, words, vocabulary, changes, rng):
+    """Texts that differ from one template in some words."""
+    base, rows = [f"t{k}" for k in range(words)], []
+    for k in range(n):
+        own = list(base)
+        for at in rng.sample(range(1, words - 1), changes):
+            own[at] = f"v{rng.randrange(vocabulary)}" if vocabulary else f"u{k}.{at}"
+        rows.append((k, " ".join(own), "s"))
+    return rows
+
+
+@pytest.mark.parametrize(("words", "vocabulary", "changes"), [(25, 0, 1), (25, 40, 1), (150, 0, 6), (150, 30, 6), (150, 30, 2)])
+def test_templates_make_few_candidates(spark, monkeypatch, words, vocabulary, changes):
+    rng, made = random.Random(2), {}
+    rows = templates(300, words, vocabulary, changes, rng)
+    real = ngram_module.stash
+    monkeypatch.setattr(ngram_module, "stash", lambda df, name: made.setdefault((name, len(made)), real(df, name)))
+    membership, _ = ngram_join(make(spark, rows), 3, 90)
+    want = brute_components(shingle_sets(rows, 3), 90)
+    assert {r.doc_id: r.component_id for r in membership.collect()} == want
+    named, some = (next(df for (k, _), df in made.items() if k == name) for name in ("named", "some"))
+    if changes != 2:
+        asks = named.where("long AND outside AND 100 * (n - pos) div 90 + (n - pos) - n >= n").count()
+        assert asks == 0 and some.count() < 40 * len(rows)
+
+
+def test_join_of_hot_ends_and_many_links(spark, monkeypatch):
+    monkeypatch.setattr(ngram_module, "HOT_PAIRS", 7)
+    monkeypatch.setattr(ngram_module, "LONG", 3)
+    rng = random.Random(5)
+    rows = [(500 + k, t, s) for k, t, s in templates(60, 120, 20, 1, rng)] + [(900 + k, t, s) for k, t, s in templates(30, 60, 5, 3, rng)]
+    rows += [(k, prose(rng, 30) + " " + prose(rng, k), "s") for k in range(40)]
+    for size, percent in ((3, 90), (2, 60), (5, 80)):
+        membership, _ = ngram_join(make(spark, rows), size, percent)
+        assert {r.doc_id: r.component_id for r in membership.collect()} == brute_components(shingle_sets(rows, size), percent)
+
+
+def test_overlap_by_blocks():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 60, rng.integers(1, 80))).astype(np.uint64) for _ in range(2))
+        common = len(np.intersect1d(a, b))
+        for percent in (10, 50, 90):
+            linked = 100 * common >= percent * (len(a) + len(b) - common)
+            assert {ngram_module.overlap(a, b, percent, block) for block in (1, 7, 1024)} == {common if linked else None}
+
+
 def test_join_edges(spark):
     empty = make(spark, [])
     assert ngram_join(empty)[0].count() == 0
