@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +50,8 @@ FILLED = 0.05
 PRICED = 40
 #: Distinct words whose ids a worker remembers; others are encoded again.
 MEMO_WORDS = 400_000
+#: Bytes of text that are tokenized together.
+TEXT_BYTES = 8 << 20
 #: Pieces of a class that one task ranks, on average, by hash buckets.
 BUCKET_ROWS = 1 << 16
 #: Rows in turn that are ranked together where a place is given: 2^20.
@@ -70,27 +74,43 @@ class WordTokenizer:
     """Ids of whole texts, a word at a time.
 
     The vocabulary's splitter never joins text across white space and drops it, so a
-    text's ids are those of its words in turn; each distinct word is encoded once.
+    text's ids are those of its words in turn; a batch's distinct words are looked up
+    once each, and each new word is encoded once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encoder, self.memo = Tokenizer.from_file(path), {}
+        normalizer = self.encoder.normalizer
+        self.lowers = normalizer is not None and normalizer.normalize_str("AZ") == "az"
+
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, ends)``: the 32-bit ids of all texts in turn, and where each text's
+        begin, and the last one's end."""
+        texts = texts.fill_null("")
+        if self.lowers:  # so ASCII texts may be lowered before, which leaves fewer words
+            texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        distinct, memo = coded.dictionary.to_pylist(), self.memo
+        known = list(map(memo.get, distinct))
+        missing = [k for k, ids in enumerate(known) if ids is None]
+        new = [distinct[k] for k in missing]
+        for k, w, e in zip(missing, new, self.encoder.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[k] = ids = array("I", e.ids).tobytes()
+            if len(memo) < MEMO_WORDS:  # the words that come first: most of them are frequent
+                memo[w] = ids
+        at, sizes = coded.indices.to_numpy(), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, n = np.cumsum(sizes) - sizes, sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(known), "<u4")[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], n)]
+        return ids, ends[words.offsets.to_numpy()]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        memo = self.memo
-        new = list({w for words in split for w in words if w not in memo})
-        found = self.encoder.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found, strict=True)}
-        if len(memo) + len(fresh) <= MEMO_WORDS:
-            memo.update(fresh)
-            get = memo.__getitem__
-        else:
-            get = lambda w: memo.get(w) or fresh.get(w) or b""
-        return [b"".join(map(get, words)) for words in split]
+        ids, ends = self.ids_of(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _tokenizer(path: str) -> WordTokenizer:
@@ -100,22 +120,37 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def _joined(batches):
+    """The batches, several at a time up to ``TEXT_BYTES``: words are then looked up less often."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= TEXT_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _pieces(path: str, capacity: int, end: int):
     """Rows (doc_id, row order, start, length, ids_crc32, doc_tokens)."""
     tail = int(end).to_bytes(4, "little")
 
     def run(batches):
         tokenizer = _tokenizer(path)
-        for batch in batches:
-            columns = [[] for _ in range(6)]
-            for doc_id, place, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tokenizer.encode(batch.column(2).to_pylist()), strict=True):
-                ids += tail
-                n = len(ids) // 4
+        for batch in _joined(batches):
+            ids, ends = tokenizer.ids_of(batch.column(2))
+            data, rows = memoryview(ids).cast("B") if len(ids) else b"", []
+            for k, (begin, stop) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)):
+                n = stop - begin + 1
                 for start in range(0, n, capacity):
-                    piece = ids[4 * start : 4 * (start + capacity)]
-                    for c, v in zip(columns, (doc_id, place, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
-                        c.append(v)
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "place", "start", "length", "ids_crc32", "doc_tokens"])
+                    length = min(capacity, n - start)
+                    crc = zlib.crc32(data[4 * (begin + start) : 4 * min(begin + start + length, stop)])
+                    rows.append((k, start, length, zlib.crc32(tail, crc) if start + length == n else crc, n))
+            found = np.array(rows, np.int64).reshape(-1, 5)
+            at = pa.array(found[:, 0])
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(found[:, c]) for c in range(1, 5))], names=["doc_id", "place", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 
