@@ -2,7 +2,15 @@
 
 Every stage works on all that the one before it kept and returns the columns of
 ``documents``, but for the last, which returns the packed pieces.  The mixing stage
-writes its rows in mixed order, and packing ranks documents by that order.
+writes its rows in mixed order, and packing ranks documents by that order: of the pieces
+of one length class those that come first are dealt first.
+
+Defined results
+    null texts are empty, and so rejected by the rules; a null ``doc_id`` is kept by the
+    near-duplicate stage, and packed; rows that repeat a kept id all stay; a null source
+    is the source ''; ties in the mixed order go to the smaller id; texts of any length
+    are taken whole; extra columns pass through to the mixing stage, whatever their
+    names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
