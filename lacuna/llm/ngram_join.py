@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm.components import connected_components
-from lacuna.llm.runtime import small_batches, stash, table
+from lacuna.llm.runtime import small_batches, stash, table, trimmed
 from lacuna.llm.wordhash import shingles
 
 #: Common columns that two linked documents must show within their prefixes.
@@ -160,9 +160,9 @@ def _of_these(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, pairs: DataFrame, size: int, lower: bool, percent: int) -> DataFrame:
     """The pairs ``(x, y, nx, ny)`` whose full product reaches the threshold."""
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id"))
-    sets = stash(_of_these(docs, ids).dropDuplicates(["id"]).mapInArrow(_sets(size, lower), "id long, codes binary"), "sets")
+    sets = stash(_of_these(docs, ids).dropDuplicates(["id"]).mapInArrow(trimmed(_sets(size, lower)), "id long, codes binary"), "sets")
     joined = _with_sets(_with_sets(pairs.select("x", "y"), pairs, sets, "y", "x"), pairs, sets, "x", "y")
-    counted = joined.select("x", "y", "codes_x", "codes_y").mapInArrow(_overlaps(percent), "x long, y long, common long")
+    counted = joined.select("x", "y", "codes_x", "codes_y").mapInArrow(trimmed(_overlaps(percent)), "x long, y long, common long")
     return stash(counted.where("common IS NOT NULL").select("x", "y"), "links")
 
 
@@ -206,14 +206,14 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool =
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    survey = stash(docs.mapInArrow(_survey(size, lower), "kind int, doc_id long, n long, k1 long, k2 long"), "survey")
+    survey = stash(docs.mapInArrow(trimmed(_survey(size, lower)), "kind int, doc_id long, n long, k1 long, k2 long"), "survey")
     rows = survey.where("kind = 0").select("doc_id", "n", "k1", "k2")
     classes = stash(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("class_id")), "classes")
 
     counts = stash(survey.where("kind = 1").groupBy(F.col("k1").alias("code")).agg(F.sum("n").alias("times")).where(f"times >= {FREQUENT_LEAST}"), "counts")
     frequent = spark.sparkContext.broadcast(_frequent(counts))
 
-    prefixes = docs.mapInArrow(_prefixes(size, lower, percent, frequent), "id long, n long, cols array<long>")
+    prefixes = docs.mapInArrow(trimmed(_prefixes(size, lower, percent, frequent)), "id long, n long, cols array<long>")
     heads = prefixes.join(classes.select(F.col("class_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "n"])
     entries = heads.select("id", "n", F.posexplode("cols").alias("pos", "col"))
     columns = entries.groupBy("col").agg(F.count(F.lit(1)).alias("length"), F.min(F.struct("pos", "n", "id")).alias("lead")).where("length > 1")

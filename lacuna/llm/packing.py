@@ -31,7 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.runtime import small_batches, stash, table
+from lacuna.llm.runtime import small_batches, stash, table, trimmed
 
 CAPACITY, END = 4096, 2
 CLASSES = 768
@@ -51,7 +51,7 @@ PRICED = 40
 #: Distinct words whose ids a worker remembers; others are encoded again.
 MEMO_WORDS = 400_000
 #: Bytes of text that are tokenized together.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 #: Pieces of a class that one task ranks, on average, by hash buckets.
 BUCKET_ROWS = 1 << 16
 #: Rows in turn that are ranked together where a place is given: 2^20.
@@ -396,7 +396,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     order = F.xxhash64(F.col(id_column)) if place is None else place
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), order.cast("long").alias("place"), F.col(text_column).cast("string").alias("text"))
     kinds = "doc_id long, place long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = stash(rows.mapInArrow(_pieces(path or tokenizer_file(), capacity, end), kinds), "pieces")
+    pieces = stash(rows.mapInArrow(trimmed(_pieces(path or tokenizer_file(), capacity, end)), kinds), "pieces")
 
     counts = np.zeros(capacity, np.int64)
     for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():

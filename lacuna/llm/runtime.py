@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, ARROW_ROWS)
 
 
+def trimmed(run):
+    """``run`` over Arrow batches, after which the worker gives back the memory it has
+    freed: idle workers live on beside the stages that follow."""
+
+    def then_trim(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not this C library
+            pass
+
+    return then_trim
+
+
 #: Keys that are broadcast as hot: fewer than this, as each has a larger share of the rows
 #: than one in as many.
 HOT_KEYS = 4096
