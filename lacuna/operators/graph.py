@@ -4,17 +4,26 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOCAL_SCRATCH = "/tmp/checkpoints/lacuna"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``, which all executors share."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_SCRATCH
+    return f"{base.rstrip('/')}/lacuna/{uuid.uuid4().hex}/{name}"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read back."""
+    """``df`` written to the shared folder and read back."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    path = f"{base.rstrip('/')}/lacuna/{uuid.uuid4().hex}/step"
+    path = scratch(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -172,12 +172,25 @@ def welch(na: Column, ma: Column, va: Column, nb: Column, mb: Column, vb: Column
     return t, df
 
 
+def paired(rows: DataFrame, by: list[str], pair: str, arm: str, value: str, a: str, b: str, pairs: int) -> DataFrame:
+    """``log2fc, t, df`` of the paired t-test of arm ``a`` against ``b`` per ``by``, over
+    ``pairs`` units that both arms have; a unit without a row has the value 0."""
+    side = lambda x: F.coalesce(F.sum(F.when(F.col(arm) == x, F.col(value))), F.lit(0.0))
+    d = rows.groupBy(*by, pair).agg((side(a) - side(b)).alias("_d"))
+    sums = d.groupBy(*by).agg(F.sum("_d").alias("_s"), F.sum(F.col("_d") * F.col("_d")).alias("_ss"))
+    n = float(pairs)
+    var = (F.col("_ss") - F.col("_s") * F.col("_s") / n) / (n - 1)
+    t = F.try_divide(F.col("_s") / n, F.sqrt(F.when(var > 1e-12, var) / n))
+    return sums.select(*by, (F.col("_s") / n).alias("log2fc"), t.alias("t"), F.lit(n - 1).alias("df"))
+
+
 def rank_sum(df: DataFrame, by: list[str], value: str, group: str, sizes: dict[str, Column]) -> DataFrame:
     """Wilcoxon rank sums of group 'a' against 'b' per ``by`` over sparse values.
 
     Rows hold the values above zero; ``sizes`` has how many units each group has, and
     the absent ones are one block of tied zeros, never expanded.  Gives
-    ``u, z`` (normal approximation, no tie correction).
+    ``u, z`` (normal approximation, no tie correction) and ``log2fc``, of the means of
+    values that are logarithms of one more than a count.
     """
     na, nb = (sizes[k].cast("double") for k in "ab")  # products of whole numbers would overflow
     per = df.groupBy(*by, value).agg(F.count_if(F.col(group) == "a").alias("ta"), F.count_if(F.col(group) == "b").alias("tb"))
@@ -186,7 +199,7 @@ def rank_sum(df: DataFrame, by: list[str], value: str, group: str, sizes: dict[s
     ranked = per.withColumn("under", F.coalesce(F.sum(F.col("ta") + F.col("tb")).over(below), F.lit(0)))
     ranked = ranked.join(nonzero, by).withColumn("zeros", na + nb - F.col("xa") - F.col("xb"))
     rank = F.col("zeros") + F.col("under") + (F.col("ta") + F.col("tb") + 1) / 2.0
-    sums = ranked.groupBy(*by).agg(F.sum(rank * F.col("ta")).alias("r"), F.first("zeros").alias("zeros"), F.first("xa").alias("xa"))
+    sums = ranked.groupBy(*by).agg(F.sum(rank * F.col("ta")).alias("r"), F.first("zeros").alias("zeros"), F.first("xa").alias("xa"), F.sum(F.col(value) * F.col("ta")).alias("sa"), F.sum(F.col(value) * F.col("tb")).alias("sb"))
     total = F.col("r") + (na - F.col("xa")) * (F.col("zeros") + 1) / 2.0
     u = total - na * (na + 1) / 2.0
-    return sums.withColumn("u", u).withColumn("z", (F.col("u") - na * nb / 2.0) / F.sqrt(na * nb * (na + nb + 1) / 12.0)).select(*by, "u", "z")
+    return sums.withColumn("u", u).withColumn("z", (F.col("u") - na * nb / 2.0) / F.sqrt(na * nb * (na + nb + 1) / 12.0)).withColumn("log2fc", F.log2((F.expm1(F.col("sa") / na) + 1e-9) / (F.expm1(F.col("sb") / nb) + 1e-9))).select(*by, "u", "z", "log2fc")

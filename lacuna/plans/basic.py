@@ -9,9 +9,10 @@ from lacuna.functions import scalars as S
 from lacuna.functions import sequences as Q
 from lacuna.operators import intervals as I
 from lacuna.operators import relational as R
-from lacuna.operators.graph import saved
+from lacuna.operators.graph import saved, scratch
 from lacuna.plans.bindings import ALN, CELLS, COO, MOL, READS, SEQ, alignments, cells, coo, molecules, reads, sequences
 from lacuna.plans.registry import query
+from lacuna.sources import sinks
 from lacuna.sources import text_formats as T
 
 STATUS = "CASE o_orderstatus WHEN 'F' THEN 'TRUE' WHEN 'O' THEN 'yes' ELSE 'no' END"
@@ -126,8 +127,9 @@ def sc17(t):
 def sk1(t):
     """A table written as CSV, then read back as typed rows."""
     counts = t.orders.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-    line = counts.select(F.to_csv(F.struct("status", "n")).alias("value"))
-    return line.select(F.from_csv("value", "status string, n long").alias("r")).select("r.*")
+    path = scratch(t.spark, "csv")
+    sinks.write_csv(counts, path)
+    return t.spark.read.option("header", True).schema("status string, n long").csv(path)
 
 
 @query("sk2_checkpoint", "SELECT c_custkey, c_acctbal FROM customer")
@@ -138,12 +140,20 @@ def sk2(t):
 @query("sk3_report_rows", "SELECT 'orders' AS section, o_orderstatus AS item, CAST(count(*) AS VARCHAR) AS value FROM orders GROUP BY 2 UNION ALL SELECT 'segments', c_mktsegment, CAST(count(*) AS VARCHAR) FROM customer GROUP BY 2")
 def sk3(t):
     a = t.orders.groupBy("o_orderstatus").count().select(F.lit("orders").alias("section"), F.col("o_orderstatus").alias("item"), F.col("count").cast("string").alias("value"))
-    return a.union(t.customer.groupBy("c_mktsegment").count().select(F.lit("segments"), "c_mktsegment", F.col("count").cast("string")))
+    b = t.customer.groupBy("c_mktsegment").count().select(F.lit("segments").alias("section"), F.col("c_mktsegment").alias("item"), F.col("count").cast("string").alias("value"))
+    path = scratch(t.spark, "report")
+    sinks.write_markdown("Counts", [("orders", a), ("segments", b)], path)
+    cells = F.split(F.regexp_extract("value", r"^\| (.*) \|$", 1), r" \| ")
+    rows = t.spark.read.text(path).where("value LIKE '| %' AND value NOT LIKE '| section |%'")
+    return rows.select(*(cells[k].alias(c) for k, c in enumerate(("section", "item", "value"))))
 
 
 @query("sk4_partitioned_lists", "SELECT l_returnflag AS direction, l_linestatus AS layer, count(DISTINCT l_partkey) AS genes FROM lineitem GROUP BY 1, 2")
 def sk4(t):
-    return t.lineitem.groupBy(F.col("l_returnflag").alias("direction"), F.col("l_linestatus").alias("layer")).agg(F.count_distinct("l_partkey").alias("genes"))
+    path = scratch(t.spark, "lists")
+    lists = t.lineitem.select(F.col("l_returnflag").alias("direction"), F.col("l_linestatus").alias("layer"), F.col("l_partkey").alias("gene")).distinct()
+    sinks.write_partitioned(lists, path, ["direction", "layer"])
+    return t.spark.read.parquet(path).groupBy("direction", "layer").agg(F.count(F.lit(1)).alias("genes"))
 
 
 @query("sk5_fasta_lines", f"WITH {SEQ} SELECT concat('>doc', doc_id, chr(10), rtrim(regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10))) AS value FROM seqs")

@@ -138,6 +138,20 @@ def m10(t):
     return welch_parts(t).select("gene", r6("log2fc").alias("log2fc"), r6("t").alias("t"), r6("df").alias("df"))
 
 
+@query("m10_paired", f"""WITH {CELLS}, {COO}, b AS (SELECT tissue, animal, gene, sum(value) AS v FROM coo JOIN cells USING (cell) WHERE tissue IN ('ASIA', 'EUROPE') GROUP BY 1, 2, 3), l AS (SELECT *, log2(v / sum(v) OVER (PARTITION BY tissue, animal) * 1e6 + 1) AS x FROM b),
+ n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM (SELECT animal FROM b GROUP BY 1 HAVING count(DISTINCT tissue) = 2)), d AS (SELECT gene, animal, coalesce(sum(x) FILTER (tissue = 'ASIA'), 0) - coalesce(sum(x) FILTER (tissue = 'EUROPE'), 0) AS d FROM l GROUP BY 1, 2),
+ s AS (SELECT gene, sum(d) AS s, sum(d * d) AS ss FROM d GROUP BY 1), v AS (SELECT gene, s / n AS m, n, (ss - s * s / n) / (n - 1) AS v FROM s, n)
+ SELECT gene, round(m, 6) AS log2fc, round(m / sqrt(CASE WHEN v > 1e-12 THEN v END / n), 5) AS t, n - 1 AS df FROM v""")
+def m10_paired(t):
+    """The units of both arms are the same (segments), so their differences are tested."""
+    named = cells(t).where("tissue IN ('ASIA', 'EUROPE')").withColumn("rep", F.concat_ws("/", "tissue", "animal"))
+    b = M.log_cpm(M.pseudobulk(coo(t), named, "rep", 1), ["rep"])
+    rows = b.select(F.substring_index("rep", "/", 1).alias("arm"), F.substring_index("rep", "/", -1).alias("unit"), "gene", "logcpm")
+    units = rows.groupBy("unit").agg(F.count_distinct("arm").alias("arms")).where("arms = 2").count()
+    got = ST.paired(rows, ["gene"], "unit", "arm", "logcpm", "ASIA", "EUROPE", units)
+    return got.select("gene", r6("log2fc").alias("log2fc"), F.round("t", 5).alias("t"), "df")
+
+
 @query("m10_welch_p")
 def m10p(t):
     """With two-sided p and BH; SQL has no incomplete beta."""
@@ -157,11 +171,11 @@ def rank_sums(t):
 
 @query("m11_rank_sum", f"""WITH {CELLS}, {COO}, u AS (SELECT cell, tissue FROM cells WHERE tissue IN ('ASIA', 'EUROPE')), g AS (SELECT DISTINCT gene FROM coo JOIN u USING (cell)),
  d AS (SELECT g.gene, u.tissue, coalesce(value, 0) AS v FROM g CROSS JOIN u LEFT JOIN coo ON coo.cell = u.cell AND coo.gene = g.gene),
- r AS (SELECT gene, tissue, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2.0 AS rk FROM d),
- s AS (SELECT gene, sum(rk) FILTER (tissue = 'ASIA') AS ra, count(*) FILTER (tissue = 'ASIA') AS na, count(*) FILTER (tissue = 'EUROPE') AS nb FROM r GROUP BY 1)
- SELECT gene, round(ra - na * (na + 1) / 2.0, 6) AS u, round((ra - na * (na + 1) / 2.0 - na * nb / 2.0) / sqrt(na * nb * (na + nb + 1) / 12.0), 6) AS z FROM s""")
+ r AS (SELECT gene, tissue, v, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2.0 AS rk FROM d),
+ s AS (SELECT gene, sum(rk) FILTER (tissue = 'ASIA') AS ra, count(*) FILTER (tissue = 'ASIA') AS na, count(*) FILTER (tissue = 'EUROPE') AS nb, avg(v) FILTER (tissue = 'ASIA') AS ma, avg(v) FILTER (tissue = 'EUROPE') AS mb FROM r GROUP BY 1)
+ SELECT gene, round(log2((exp(ma) - 1 + 1e-9) / (exp(mb) - 1 + 1e-9)), 5) AS log2fc, round(ra - na * (na + 1) / 2.0, 6) AS u, round((ra - na * (na + 1) / 2.0 - na * nb / 2.0) / sqrt(na * nb * (na + nb + 1) / 12.0), 6) AS z FROM s""")
 def m11(t):
-    return rank_sums(t).select("gene", r6("u").alias("u"), r6("z").alias("z"))
+    return rank_sums(t).select("gene", F.round("log2fc", 5).alias("log2fc"), r6("u").alias("u"), r6("z").alias("z"))
 
 
 @query("m11_rank_sum_p")

@@ -167,6 +167,59 @@ def test_fastq_keeps_whole_records(spark, tmp_path):
     assert [(r.header, r.seq) for r in got] == [("@a", "ACGT")]
 
 
+def test_mates_pair_within_their_files(spark, tmp_path):
+    for lane, names in (("L1", "ab"), ("L2", "cd")):
+        for mate, base in (("R1", "A"), ("R2", "T")):
+            (tmp_path / f"{lane}_{mate}.fastq").write_text("".join(f"@{n}\n{base * 4}{n}\n+\nFFFFF\n" for n in names))
+    every = T.parse_fastq(T.lines(spark, str(tmp_path)))
+    mate = lambda k: every.where(F.col("file").endswith(f"_R{k}.fastq"))
+    got = T.pair_reads(mate(1), mate(2)).collect()
+    assert sorted((r.header, r.seq_r1, r.seq_r2) for r in got) == [(f"@{n}", f"AAAA{n}", f"TTTT{n}") for n in "abcd"]
+
+
+def test_lines_are_counted_across_splits(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("".join(f"line {k}\n" for k in range(5000)))
+    had = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    rows = T.lines(spark, str(tmp_path)).collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", had)
+    assert sorted((r.line, r.value) for r in rows) == [(k, f"line {k}") for k in range(5000)]
+
+
+def test_reports_hold_every_row(spark, tmp_path):
+    table = spark.range(500).select(F.concat(F.lit("a|"), "id").alias("name"), "id")
+    sinks.write_markdown("Title", [("One", table), ("Two", table.limit(1))], str(tmp_path / "md"))
+    got = [r.value for r in spark.read.text(str(tmp_path / "md")).collect()]
+    assert got[:2] == ["# Title", ""] and sum(x.startswith("| a\\|") for x in got) == 501 and got.index("## Two") > 500
+
+
+def test_paired_t(spark):
+    rows = spark.createDataFrame([("g", u, arm, v) for u, a, b in (("x", 3.0, 1.0), ("y", 5.0, 2.0), ("z", 4.0, 0.5)) for arm, v in (("A", a), ("B", b))], "gene string, unit string, arm string, v double")
+    r = ST.paired(rows, ["gene"], "unit", "arm", "v", "A", "B", 3).first()
+    d = [2.0, 3.0, 3.5]
+    m = sum(d) / 3
+    sd = (sum((x - m) ** 2 for x in d) / 2) ** 0.5
+    assert (r.log2fc, r.t, r.df) == (pytest.approx(m), pytest.approx(m / (sd / 3**0.5)), 2)
+
+
+def test_whole_table_ranks(spark):
+    from lacuna.operators import ranges
+
+    values = [(k, float((k * 7919) % 1000) // 3) for k in range(2000)]
+    df = spark.createDataFrame(values, "k int, v double")
+    want = {k: n for n, (_, k) in enumerate(sorted((v, k) for k, v in values))}
+    assert {r.k: r.rank for r in ranges.global_rank(df, "v", ["k"], "rank").collect()} == {k: n + 1 for k, n in want.items()}
+    tiles = {r.k: r.tile for r in ranges.ntile(df, 7, "v", ["k"], "tile").collect()}
+    big = [286] * 5 + [285] * 2
+    assert [sum(t == n + 1 for t in tiles.values()) for n in range(7)] == big
+    ps = [(g, k, ((k * 37) % 50) / 1000 if k % 5 else None) for g in "ab" for k in range(80)] + [("c", 0, 0.0), ("c", 1, float("nan"))]
+    got = {(r.g, r.k): r.padj for r in ST.bh_fdr(spark.createDataFrame(ps, "g string, k int, p double"), "p", ["g"]).collect()}
+    for g in "abc":
+        own = sorted((p, k) for h, k, p in ps if h == g and p is not None and p == p)
+        for n, (p, k) in enumerate(own):
+            assert got[g, k] == pytest.approx(min(1.0, min(q * len(own) / (i + 1) for i, (q, _) in enumerate(own) if i >= n)))
+
+
 def test_fasta_round_trip(spark, tmp_path):
     contigs = spark.createDataFrame([("c1", "ACGT" * 40), ("c2", "A" * 60)], "name string, seq string")
     sinks.write_lines(T.write_fasta_lines(contigs).coalesce(1), str(tmp_path / "f"))
