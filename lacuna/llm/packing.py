@@ -50,6 +50,8 @@ FILLED = 0.05
 PRICED = 40
 #: Distinct words whose ids a worker remembers; others are encoded again.
 MEMO_WORDS = 400_000
+#: New words that are encoded in one call, a marker between them.
+JOINED_WORDS = 512
 #: Bytes of text that are tokenized together.
 TEXT_BYTES = 4 << 20
 #: Pieces of a class that one task ranks, on average, by hash buckets.
@@ -67,7 +69,12 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-_tokenizers: dict[str, tuple] = {}
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def _run_together(a: str, b: str) -> bool:
+    """Whether ``a`` ends as ``b`` begins, short of being ``b`` itself."""
+    return any(a[-n:] == b[:n] for n in range(1, min(len(a), len(b)) + (a != b)))
 
 
 class WordTokenizer:
@@ -84,6 +91,29 @@ class WordTokenizer:
         self.encoder, self.memo = Tokenizer.from_file(path), {}
         normalizer = self.encoder.normalizer
         self.lowers = normalizer is not None and normalizer.normalize_str("AZ") == "az"
+        added = self.encoder.get_added_tokens_decoder()
+        plain = [(k, t.content) for k, t in added.items() if not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
+        # A marker that no added token can run into, so every one that is put in is found.
+        self.marker = next(((k, m) for k, m in plain if not any(_run_together(m, t.content) or _run_together(t.content, m) for t in added.values())), None)
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each word."""
+        alone = lambda some: [array("I", e.ids).tobytes() for e in self.encoder.encode_batch_fast(some, add_special_tokens=False)]
+        if self.marker is None:
+            return alone(words)
+        (mark, text), out = self.marker, []
+        runs = [words[k : k + JOINED_WORDS] for k in range(0, len(words), JOINED_WORDS)]
+        for run, e in zip(runs, self.encoder.encode_batch_fast([text.join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = [*np.flatnonzero(ids == mark).tolist(), len(ids)]
+            if len(stops) != len(run):  # a word has the marker in it
+                out += alone(run)
+                continue
+            data, begin = ids.tobytes(), 0
+            for stop in stops:
+                out.append(data[4 * begin : 4 * stop])
+                begin = stop + 1
+        return out
 
     def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, ends)``: the 32-bit ids of all texts in turn, and where each text's
@@ -97,8 +127,8 @@ class WordTokenizer:
         known = list(map(memo.get, distinct))
         missing = [k for k, ids in enumerate(known) if ids is None]
         new = [distinct[k] for k in missing]
-        for k, w, e in zip(missing, new, self.encoder.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[k] = ids = array("I", e.ids).tobytes()
+        for k, w, ids in zip(missing, new, self._encode_words(new), strict=True):
+            known[k] = ids
             if len(memo) < MEMO_WORDS:  # the words that come first: most of them are frequent
                 memo[w] = ids
         at, sizes = coded.indices.to_numpy(), np.fromiter(map(len, known), np.int64, len(known)) // 4

@@ -37,6 +37,16 @@ def test_word_ids_are_text_ids(text):
     assert np.frombuffer(ids, "<u4").tolist() == _encoder.encode(text, add_special_tokens=False).ids
 
 
+def test_words_with_markers(encoder):
+    words = packing._tokenizer(packing.tokenizer_file())
+    assert words.marker is not None
+    parts = [words.marker[1], words.marker[1][:-1], words.marker[1][1:], "<|endoftext|>", "<", "|>", "a", " ", "\u0301", "İ"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(parts, 40)) for _ in range(200)]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in words.encode(texts)]
+    assert got == [encoder.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def check_pieces(rows, got, encoder, capacity):
     want = {i: np.array([*encoder.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t, _ in rows}
     pieces, sequences = {}, {}
