@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.scalars import is_placeholder
@@ -51,6 +51,23 @@ def confounding(df: DataFrame, arm: str, factors: list[str]) -> DataFrame:
     return reduce(DataFrame.union, parts).withColumn("perfect", F.col("levels") == F.col("one_arm"))
 
 
+def within_batch(df: DataFrame, arm: Column, batch: str, least: int) -> DataFrame:
+    """``batch, n_a, n_b, both``: units of either arm ('a', 'b'; others are left out) in a
+    batch, and whether it holds at least ``least`` of both: only such a batch parts the
+    arms from the batches."""
+    rows = df.select(batch, arm.alias("_arm")).where(F.col("_arm").isin("a", "b") & ~is_placeholder(F.col(batch).cast("string")))
+    sizes = rows.groupBy(batch).agg(F.count_if(F.col("_arm") == "a").alias("n_a"), F.count_if(F.col("_arm") == "b").alias("n_b"))
+    return sizes.withColumn("both", (F.col("n_a") >= least) & (F.col("n_b") >= least))
+
+
+def shared_levels(df: DataFrame, arm: Column, unit: str, level: str, least: int) -> DataFrame:
+    """``level, in_a, in_b, shared``: units of either arm that have at least ``least`` rows
+    at a level, and whether both arms have one there."""
+    cells = df.select(arm.alias("_arm"), unit, level).where(F.col("_arm").isin("a", "b")).groupBy("_arm", unit, level).agg(F.count(F.lit(1)).alias("_n"))
+    of = lambda x: F.count_if((F.col("_arm") == x) & (F.col("_n") >= least))
+    return cells.groupBy(level).agg(of("a").alias("in_a"), of("b").alias("in_b")).withColumn("shared", (F.col("in_a") > 0) & (F.col("in_b") > 0))
+
+
 def fingerprint(observed: DataFrame, expected: DataFrame, key: str, size: str, tolerance: int) -> DataFrame:
     """``key, observed, expected, ok`` of group sizes against those on record."""
     a, b = observed.select(key, F.col(size).alias("observed")), expected.select(key, F.col(size).alias("expected"))

@@ -203,3 +203,24 @@ def rank_sum(df: DataFrame, by: list[str], value: str, group: str, sizes: dict[s
     total = F.col("r") + (na - F.col("xa")) * (F.col("zeros") + 1) / 2.0
     u = total - na * (na + 1) / 2.0
     return sums.withColumn("u", u).withColumn("z", (F.col("u") - na * nb / 2.0) / F.sqrt(na * nb * (na + nb + 1) / 12.0)).withColumn("log2fc", F.log2((F.expm1(F.col("sa") / na) + 1e-9) / (F.expm1(F.col("sb") / nb) + 1e-9))).select(*by, "u", "z", "log2fc")
+
+
+def gate_lists(tested: DataFrame, item: str, alpha: float, least_fold: float, least_items: int, fold: str = "log2fc") -> DataFrame:
+    """``gate, direction, item, fold, pval, padj, ready``: items beyond both thresholds, by
+    raw p and by adjusted p, up and down; ``ready`` where the list has ``least_items``."""
+    gates = F.array(*(F.struct(F.lit(name).alias("gate"), F.col(c).alias("_p")) for name, c in (("raw", "pval"), ("fdr", "padj"))))
+    rows = tested.select(item, fold, "pval", "padj", F.inline(gates)).where((F.col("_p") < alpha) & (F.abs(fold) >= least_fold) & (F.col(fold) != 0))
+    rows = rows.withColumn("direction", F.when(F.col(fold) > 0, "up").otherwise("down"))
+    sizes = rows.groupBy("gate", "direction").agg((F.count(F.lit(1)) >= least_items).alias("ready"))
+    return rows.join(F.broadcast(sizes), ["gate", "direction"]).select("gate", "direction", item, fold, "pval", "padj", "ready")
+
+
+def threshold_grid(tested: DataFrame, alphas: list[float], folds: list[float], fold: str = "log2fc") -> DataFrame:
+    """``alpha, least_fold, raw, fdr, of``: items beyond each pair of thresholds by raw and by
+    adjusted p, and the items tested; one pass, a counter for each."""
+    cells = [(a, f) for a in alphas for f in folds]
+    beyond = lambda p, a, f: F.count_if((F.col(p) < a) & (F.abs(fold) >= f))
+    counts = [c for k, (a, f) in enumerate(cells) for c in (beyond("pval", a, f).alias(f"_r{k}"), beyond("padj", a, f).alias(f"_f{k}"))]
+    one = tested.agg(F.count("pval").alias("of"), *counts)
+    rows = (F.struct(F.lit(a).alias("alpha"), F.lit(f).alias("least_fold"), F.col(f"_r{k}").alias("raw"), F.col(f"_f{k}").alias("fdr")) for k, (a, f) in enumerate(cells))
+    return one.select(F.inline(F.array(*rows)), "of")

@@ -169,10 +169,13 @@ def rank_sums(t):
     return ST.rank_sum(arms(t), ["gene"], "value", "g", {"a": F.lit(n.na), "b": F.lit(n.nb)})
 
 
-@query("m11_rank_sum", f"""WITH {CELLS}, {COO}, u AS (SELECT cell, tissue FROM cells WHERE tissue IN ('ASIA', 'EUROPE')), g AS (SELECT DISTINCT gene FROM coo JOIN u USING (cell)),
+RANKS = f"""{CELLS}, {COO}, u AS (SELECT cell, tissue FROM cells WHERE tissue IN ('ASIA', 'EUROPE')), g AS (SELECT DISTINCT gene FROM coo JOIN u USING (cell)),
  d AS (SELECT g.gene, u.tissue, coalesce(value, 0) AS v FROM g CROSS JOIN u LEFT JOIN coo ON coo.cell = u.cell AND coo.gene = g.gene),
  r AS (SELECT gene, tissue, v, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2.0 AS rk FROM d),
- s AS (SELECT gene, sum(rk) FILTER (tissue = 'ASIA') AS ra, count(*) FILTER (tissue = 'ASIA') AS na, count(*) FILTER (tissue = 'EUROPE') AS nb, avg(v) FILTER (tissue = 'ASIA') AS ma, avg(v) FILTER (tissue = 'EUROPE') AS mb FROM r GROUP BY 1)
+ s AS (SELECT gene, sum(rk) FILTER (tissue = 'ASIA') AS ra, count(*) FILTER (tissue = 'ASIA') AS na, count(*) FILTER (tissue = 'EUROPE') AS nb, avg(v) FILTER (tissue = 'ASIA') AS ma, avg(v) FILTER (tissue = 'EUROPE') AS mb FROM r GROUP BY 1)"""
+
+
+@query("m11_rank_sum", f"""WITH {RANKS}
  SELECT gene, round(log2((exp(ma) - 1 + 1e-9) / (exp(mb) - 1 + 1e-9)), 5) AS log2fc, round(ra - na * (na + 1) / 2.0, 6) AS u, round((ra - na * (na + 1) / 2.0 - na * nb / 2.0) / sqrt(na * nb * (na + nb + 1) / 12.0), 6) AS z FROM s""")
 def m11(t):
     return rank_sums(t).select("gene", F.round("log2fc", 5).alias("log2fc"), r6("u").alias("u"), r6("z").alias("z"))

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import scalars as S
 from lacuna.functions import sequences as Q
+from lacuna.operators import audit as A
 from lacuna.operators import graph as G
 from lacuna.operators import intervals as I
 from lacuna.operators import matrix as M
 from lacuna.operators import molecules as MO
 from lacuna.operators import relational as R
 from lacuna.operators import stats as ST
+from lacuna.operators import subtypes as SU
 from lacuna.sources import sinks
 from lacuna.sources import text_formats as T
 
@@ -250,3 +252,32 @@ def test_partition_count_does_not_matter(spark, data):
         rows.append(sorted(map(tuple, catalog.queries()["q2_qc_ledger"](spark, data).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert rows[0] == rows[1]
+
+
+def test_gates_and_grid(spark):
+    rows = [("a", 2.0, 0.001, 0.004), ("b", -1.5, 0.01, 0.02), ("c", 0.4, 0.01, 0.02), ("d", 3.0, 0.04, 0.2), ("e", 0.0, 0.0, 0.0), ("f", 1.0, None, None)]
+    tested = spark.createDataFrame(rows, "gene string, log2fc double, pval double, padj double")
+    got = ST.gate_lists(tested, "gene", 0.05, 0.5, 2).collect()
+    assert {(r.gate, r.direction, r.gene, r.ready) for r in got} == {("raw", "up", "a", True), ("raw", "up", "d", True), ("raw", "down", "b", False), ("fdr", "up", "a", False), ("fdr", "down", "b", False)}
+    grid = {(r.alpha, r.least_fold): (r.raw, r.fdr, r.of) for r in ST.threshold_grid(tested, [0.05, 0.005], [0.0, 1.0]).collect()}
+    assert grid == {(0.05, 0.0): (5, 4, 5), (0.05, 1.0): (3, 2, 5), (0.005, 0.0): (2, 2, 5), (0.005, 1.0): (1, 1, 5)}
+
+
+def test_subtype_calls(spark):
+    means = spark.createDataFrame([("x", "A1", 1.0), ("x", "A2", 0.6), ("x", "B", 0.1), ("y", "A1", 0.2), ("y", "A2", 0.2), ("y", "B", 0.21), ("z", "B", -0.1), ("z", "A1", -0.5)], "c string, p string, v double")
+    calls = SU.call(SU.family_means(means, "c", "p", "v", {"A": ["A1", "A2"]}), "c", 0.05)
+    assert {r.c: (r.top, r.subtype) for r in calls.collect()} == {"x": ("A", "A"), "y": ("B", "Unresolved"), "z": ("B", "Unresolved")}
+    split = SU.split(calls, means, "c", "p", "v", "A", ("A1", "A high"), ("A2", "A low"), 0.3)
+    assert {r.c: r.subtype for r in split.collect()} == {"x": "A high", "y": "Unresolved", "z": "Unresolved"}
+    flags = spark.createDataFrame([("x", 20.0), ("y", None)], "c string, m double")
+    assert {r.c: r.subtype for r in SU.overridden(split, flags, "c", [(F.col("m") > 17, "QC")]).collect()} == {"x": "QC", "y": "Unresolved", "z": "Unresolved"}
+    scores = spark.createDataFrame([("x", 1, "A", 1.0), ("x", 1, "B", 1.0), ("x", 2, "B", 3.0), ("x", 3, "A", 2.0)], "c string, u int, p string, v double")
+    assert [(r.vote, round(r.dominant_frac, 3)) for r in SU.votes(scores, "c", "u", "p", "v").collect()] == [("A", 0.667)]
+
+
+def test_arms_within_batches(spark):
+    rows = [("l1", "k", "t1")] * 3 + [("l1", "i", "t2")] * 2 + [("l2", "i", "t1")] * 4 + [("unknown", "k", "t1"), ("l2", "p", "t1")]
+    df = spark.createDataFrame(rows, "lib string, who string, tp string")
+    arm = F.when(F.col("who") == "k", "b").when(F.col("who") == "i", "a")
+    assert {tuple(r) for r in A.within_batch(df, arm, "lib", 2).collect()} == {("l1", 2, 3, True), ("l2", 4, 0, False)}
+    assert {tuple(r) for r in A.shared_levels(df, arm, "who", "tp", 3).collect()} == {("t1", 1, 1, True), ("t2", 0, 0, False)}
