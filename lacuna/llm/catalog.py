@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lacuna.llm import language_id, line_dedup, mixing, ngram_join, packing, quality_model, quality_rules, substring_dedup, topk, warc
+from lacuna.llm import language_id, line_dedup, mixing, ngram_join, packing, quality_model, quality_rules, spelling, substring_dedup, topk, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_language_id": language_id.op9_language_id,
     "op10_topk": topk.op10_topk,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLE_SQL = {
