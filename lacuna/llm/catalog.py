@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lacuna.llm import language_id, line_dedup, mixing, ngram_join, packing, quality_model, quality_rules, spelling, substring_dedup, topk, warc
+from lacuna.llm import conversation, language_id, line_dedup, mixing, ngram_join, packing, quality_model, quality_rules, spelling, substring_dedup, topk, url_filter, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_language_id": language_id.op9_language_id,
     "op10_topk": topk.op10_topk,
+    "op11_url_filter": url_filter.op11_url_filter,
+    "op12_conversation_repair": conversation.op12_conversation_repair,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
@@ -25,4 +27,5 @@ ORACLE_SQL = {
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
     "op10_topk": topk.OP10_SQL,
+    "op11_url_filter": url_filter.OP11_SQL,
 }
