@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.operators import neighbours
 from lacuna.operators.ranges import ntile
-from lacuna.operators.relational import small
 
 
 def qc_metrics(coo: DataFrame, flags: DataFrame | None = None, top: int = 20) -> DataFrame:
@@ -111,17 +111,10 @@ def fraction_expressing(coo: DataFrame, cells: DataFrame, by: str) -> DataFrame:
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, batch: str | None = None) -> DataFrame:
-    """The k nearest rows (squared distance, ties by id) in each batch, itself excluded.
-
-    A stated query set against all rows: the queries are broadcast while they are few,
-    and each task keeps its best of a query before the shuffle.
-    """
-    q = queries.select(F.col("id").alias("q_id"), F.col("v").alias("q_v"))
-    rows = vectors.select("id", "v", *([batch] if batch else []))
-    pairs = rows.join(small(q), F.col("id") != F.col("q_id"))
-    square = F.aggregate(F.zip_with("v", "q_v", lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda a, x: a + x)
-    w = Window.partitionBy("q_id", *([batch] if batch else [])).orderBy("dist2", "id")
-    return pairs.withColumn("dist2", square).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "id", *([batch] if batch else []), "rank", "dist2")
+    """The k nearest rows (squared distance, ties by id) in each batch, itself excluded:
+    exact, through an index of all rows that leaves most pairs unread."""
+    found, _ = neighbours.search(queries, neighbours.build(vectors, batch), k)
+    return found.select("q_id", "id", *([F.col("batch").alias(batch)] if batch else []), "rank", "dist2")
 
 
 def pca(vectors: DataFrame, k: int, column: str = "v") -> DataFrame:
