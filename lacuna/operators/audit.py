@@ -31,6 +31,57 @@ def identical_columns(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return one.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.col(f"_{k}"), F.lit(True)).alias("identical")) for k, (a, b) in enumerate(pairs)))))
 
 
+def twin_columns(df: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
+    """``a, b, all_null``: columns ``b`` equal to an earlier column ``a``, or null together
+    with it, in each row; ``a`` is the first of its like.
+
+    One pass sums hashes of row key and value for every column, in no order; columns whose
+    sums meet are then compared row by row in a second pass, so equal sums alone name no
+    twins.  Numbers of different types are compared as doubles, all else as text.
+    """
+    columns = [c for c in df.columns if c not in keys] if columns is None else columns
+
+    def plain(c: str) -> Column:
+        kind = dict(df.dtypes)[c].split("(")[0]
+        v = F.col(f"`{c}`")
+        return v.cast("double") if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal") else v.cast("string")
+
+    def mark(c: str, seed: int) -> Column:
+        return F.xxhash64(F.lit(seed), *(F.col(f"`{k}`") for k in keys), plain(c).isNull(), F.coalesce(plain(c).cast("string"), F.lit("")))
+
+    sums = [F.sum(mark(c, seed).cast("decimal(38,0)")) for c in columns for seed in (0, 1)]
+    one = df.agg(*sums, *(F.count(F.col(f"`{c}`")) for c in columns)).first()
+    first: dict[tuple, list[str]] = {}
+    for k, c in enumerate(columns):
+        first.setdefault((one[2 * k], one[2 * k + 1]), []).append(c)
+    pairs = [(a, b) for names in first.values() for i, a in enumerate(names) for b in names[i + 1 :]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, all_null boolean")
+    same = df.agg(*(F.coalesce(F.bool_and(plain(a).eqNullSafe(plain(b))), F.lit(True)) for a, b in pairs)).first()
+    filled, found = dict(zip(columns, one[2 * len(columns) :], strict=True)), {}
+    for (a, b), equal in zip(pairs, same, strict=True):
+        if equal and a not in found:
+            found.setdefault(b, a)
+    return df.sparkSession.createDataFrame([(a, b, filled[b] == 0) for b, a in found.items()], "a string, b string, all_null boolean")
+
+
+def twin_verdicts(twins: DataFrame, aliases: list[tuple[str, str, str]], measured: str) -> DataFrame:
+    """Groups of twins with ``verdict`` and ``reason``: 'expected alias' where two of their
+    names match the two patterns of one of ``aliases`` (pattern, pattern, why), 'BUG' where
+    all match ``measured`` (different measurements cannot agree), else 'REVIEW'."""
+    groups = twins.groupBy("a").agg(F.concat(F.array("a"), F.array_sort(F.collect_list("b"))).alias("names"), F.bool_and("all_null").alias("all_null"))
+
+    def some(pattern: str) -> Column:
+        return F.exists("names", lambda n: n.rlike(pattern))
+
+    bug = F.forall("names", lambda n: n.rlike(measured))
+    verdict, reason = F.when(bug, "BUG").otherwise("REVIEW"), F.when(bug, "different measurements agree in every row").otherwise("no known reason to be identical")
+    for x, y, why in reversed(aliases):
+        hit = some(x) & some(y)
+        verdict, reason = F.when(hit, "expected alias").otherwise(verdict), F.when(hit, why).otherwise(reason)
+    return groups.select(F.array_join("names", " == ").alias("group"), F.size("names").alias("n_columns"), "all_null", verdict.alias("verdict"), reason.alias("reason"))
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

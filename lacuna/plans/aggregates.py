@@ -303,6 +303,26 @@ def so7(t):
     return A.identical_columns(df, [("l_linenumber", "copy"), ("l_quantity", "same_sum")])
 
 
+TWINS = {"l_quantity": "l_quantity", "other": "51 - l_quantity", "amount": "CAST(l_quantity AS DECIMAL(20, 2))", "rare": "CASE WHEN l_partkey % 7 = 0 THEN l_returnflag END", "rare_too": "CASE WHEN l_partkey % 7 <> 0 THEN NULL ELSE l_returnflag END", "rarer": "CASE WHEN l_partkey % 14 = 0 THEN l_returnflag END", "none": "CASE WHEN l_partkey < 0 THEN 1 END", "none_too": "CASE WHEN l_suppkey < 0 THEN 'x' END"}
+ALIASES = [("^rare$", "^rare_", "a flag under two names")]
+
+
+def _twin_sql() -> str:
+    names = list(TWINS)
+    pairs = [f"SELECT '{a}' AS a, '{b}' AS b, {i} AS i, {i + k + 1} AS j FROM c HAVING bool_and(CAST({a} AS VARCHAR) IS NOT DISTINCT FROM CAST({b} AS VARCHAR) OR coalesce(try_cast({a} AS DOUBLE) = try_cast({b} AS DOUBLE), false))" for i, a in enumerate(names) for k, b in enumerate(names[i + 1 :])]
+    columns = ", ".join(f"{v} AS {k}" for k, v in TWINS.items())
+    return f"""WITH c AS (SELECT {columns} FROM lineitem), p AS ({" UNION ALL ".join(pairs)}), f AS (SELECT * FROM p WHERE a NOT IN (SELECT b FROM p)),
+ g AS (SELECT a, concat(a, ' == ', string_agg(b, ' == ' ORDER BY b)) AS "group", CAST(count(*) + 1 AS INTEGER) AS n_columns FROM f GROUP BY 1)
+ SELECT "group", n_columns, a = 'none' AS all_null, CASE WHEN a = 'rare' THEN 'expected alias' ELSE 'REVIEW' END AS verdict FROM g"""
+
+
+@query("so7b_twin_columns", _twin_sql())
+def so7b(t):
+    """All columns that agree in every row, null patterns too, with a verdict."""
+    df = t.lineitem.selectExpr("l_orderkey", "l_linenumber", *(f"{v} AS {k}" for k, v in TWINS.items()))
+    return A.twin_verdicts(A.twin_columns(df, ["l_orderkey", "l_linenumber"]), ALIASES, "^ADT_").drop("reason")
+
+
 @query("so8_column_census", "SELECT 'c_mktsegment' AS name, count(*) - count(c_mktsegment) AS missing, count(*) FILTER (lower(trim(c_mktsegment)) IN ('', 'unknown', 'na', 'n/a', 'nan', 'none', 'null', 'unassigned')) AS placeholder, count(DISTINCT c_mktsegment) AS levels, count(DISTINCT c_mktsegment) <= 1 AS constant FROM customer UNION ALL SELECT 'c_name', count(*) - count(c_name), 0, count(DISTINCT c_name), count(DISTINCT c_name) <= 1 FROM customer")
 def so8(t):
     return A.census(t.customer.select("c_mktsegment", "c_name"))

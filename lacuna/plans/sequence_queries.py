@@ -9,6 +9,7 @@ from lacuna.functions import scalars as S
 from lacuna.functions import sequences as Q
 from lacuna.operators import intervals as I
 from lacuna.operators import molecules as MO
+from lacuna.operators import probes as PR
 from lacuna.operators import relational as R
 from lacuna.plans.bindings import ALN, MOL, READS, SEQ, alignments, molecules, reads, sequences
 from lacuna.plans.registry import query
@@ -122,8 +123,10 @@ def numbered(t):
     return reads(t).select(F.concat_ws(".", "doc_id", "read_no").alias("read_id"), "seq")
 
 
-@query("sp15_seeded_mismatch", f"""WITH {READS}, {CORES}, s AS (SELECT core, k, substr(core, CAST(k * 6 + 1 AS BIGINT), 6) AS seed FROM cores, range(0, 2) r(k)), w AS (SELECT concat(doc_id, '.', read_no) AS read_id, i, substr(seq, CAST(i + 1 AS BIGINT), 12) AS win FROM reads, range(0, 89) r(i) WHERE i + 12 <= length(seq))
- SELECT DISTINCT read_id, core, CAST(i AS INTEGER) AS "offset", CAST(hamming(win, core) AS INTEGER) AS mismatches FROM w JOIN s ON substr(win, CAST(k * 6 + 1 AS BIGINT), 6) = seed WHERE hamming(win, core) <= 1""")
+@query("sp15_seeded_mismatch", f"""WITH {READS}, {CORES},
+ v AS (SELECT DISTINCT core, concat(substr(core, 1, i), l, substr(core, i + 2)) AS win FROM cores, (SELECT CAST(unnest(range(0, 12)) AS BIGINT) AS i), (VALUES ('A'), ('C'), ('G'), ('T')) x(l)),
+ w AS (SELECT concat(doc_id, '.', read_no) AS read_id, i, substr(seq, CAST(i + 1 AS BIGINT), 12) AS win FROM reads, range(0, 89) r(i) WHERE i + 12 <= length(seq))
+ SELECT read_id, core, CAST(i AS INTEGER) AS "offset", CAST(CASE WHEN win = core THEN 0 ELSE 1 END AS INTEGER) AS mismatches FROM w JOIN v USING (win)""")
 def sp15(t):
     return MO.seed_matches(numbered(t), catalog(t), 12, 1)
 
@@ -271,6 +274,17 @@ def sh8(t):
     return reads(t).where(F.col("seq").rlike("|".join(probes))).select((F.col("doc_id") * 100000 + F.col("read_no")).alias("k"), F.explode(hits).alias("probe")).groupBy("probe").agg(F.count(F.lit(1)).alias("hits"), F.min("k").alias("first"))
 
 
+@query("sh8b_probe_table", f"""WITH {READS}, {CORES},
+ p AS (SELECT core AS probe, core AS text, '+' AS strand FROM cores UNION ALL SELECT core, translate(reverse(core), 'ACGT', 'TGCA'), '-' FROM cores WHERE translate(reverse(core), 'ACGT', 'TGCA') <> core),
+ w AS (SELECT doc_id * 100000 + read_no AS k, substr(seq, CAST(i + 1 AS BIGINT), 12) AS text FROM reads, range(0, 89) r(i) WHERE i + 12 <= length(seq))
+ SELECT probe, strand, count(*) AS hits, min(k) AS first FROM w JOIN p USING (text) GROUP BY 1, 2""")
+def sh8b(t):
+    """Every core of the table as a probe, on both strands, in one pass over the reads."""
+    rows = reads(t).select((F.col("doc_id") * 100000 + F.col("read_no")).alias("k"), "seq")
+    found = PR.find_all(rows, catalog(t).withColumnRenamed("core", "probe"), key="k")
+    return found.groupBy("probe", "strand").agg(F.count(F.lit(1)).alias("hits"), F.min("k").alias("first"))
+
+
 @query("sh9_alignment_summary", f"WITH {ALN} SELECT library, count(*) FILTER (flag & 2308 = 0) AS aligned, count(*) FILTER (flag & 4 = 0) - count(*) FILTER (flag & 2308 = 0) AS secondary, count(*) FILTER (flag & 2308 = 0 AND mapq >= 30) AS confident, count(*) FILTER ((pos - 1 <= 100 AND pos - 1 + m1 >= 120) OR (pos - 1 + m1 + d <= 100 AND pos - 1 + m1 + d + 30 >= 120)) AS spanning FROM aln GROUP BY 1")
 def sh9(t):
     f = F.col("flag")
