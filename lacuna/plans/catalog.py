@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lacuna.plans import aggregates, basic, composite, embedding_queries, reports, sequence_queries, statistics_queries  # noqa: F401
+from lacuna.plans import aggregates, basic, composite, embedding_queries, file_queries, reports, sequence_queries, statistics_queries  # noqa: F401
 from lacuna.plans.registry import ORACLE, QUERIES
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,6 +50,32 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.select("value").write.mode("overwrite").text(path)
 
 
+def write_headed(df: DataFrame, head: list[str], path: str) -> None:
+    """The column ``value`` as lines, each file of the folder beginning with ``head``."""
+
+    def with_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns, ["value"])
+
+    write_lines(df.select("value").mapInArrow(with_head, "value string"), path)
+
+
+def write_matrix(coo: DataFrame, path: str) -> None:
+    """MatrixMarket files of ``i, j, value`` (1-based): each has the head of the whole."""
+    rows, columns, n = coo.agg(F.max("i"), F.max("j"), F.count(F.lit(1))).first()
+    write_headed(coo.select(F.concat_ws(" ", "i", "j", "value").alias("value")), ["%%MatrixMarket matrix coordinate real general", f"{rows or 0} {columns or 0} {n}"], path)
+
+
+def write_numbered(df: DataFrame, path: str) -> None:
+    """``line, value`` as one file whose lines are numbered from 0, gaps as empty lines:
+    names by line number are one file in their format."""
+    turn = Window.orderBy("line")
+    after, before = F.lead("line").over(turn), F.when(F.isnull(F.lag("line").over(turn)), F.col("line")).otherwise(0)
+    gaps = F.concat(F.repeat(F.lit("\n"), before.cast("int")), "value", F.repeat(F.lit("\n"), (F.coalesce(after, F.col("line") + 1) - F.col("line") - 1).cast("int")))
+    write_lines(df.select(gaps.alias("value"), "line").orderBy("line").coalesce(1), path)
+
+
 def markdown_rows(df: DataFrame) -> DataFrame:
     """``turn, value``: the Markdown lines of a table, all rows, a cell's bars escaped."""
     head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + "---|" * len(df.columns))], "turn int, value string")

@@ -142,6 +142,13 @@ def inventory(spark: SparkSession, folder: str, classes: list[tuple[str, str]],
     return files.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= newest).drop("_n")
 
 
+def sheets(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Rows of all CSV files below ``folder``, ``sheet`` being the name of their folder
+    (what follows ``=``, if it has one)."""
+    read = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(folder)
+    return read.select("*", F.regexp_extract("_metadata.file_path", r"/(?:[^/=]*=)?([^/]*)/[^/]*$", 1).alias("_s")).withColumn("sheet", F.url_decode("_s")).drop("_s")
+
+
 def hash_sample(df: DataFrame, key: str, percent: int) -> DataFrame:
     """A repeatable sample of about ``percent`` of the keys."""
     return df.where(F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 7), 16, 10).cast("int"), F.lit(100)) < percent)
