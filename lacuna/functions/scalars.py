@@ -112,16 +112,54 @@ def log_choose(n: Column, k: Column) -> Column:
     return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
 
 
+#: Standard deviations over which the terms of a tail are summed; what lies beyond is less
+#: than a double can tell from nothing.
+FAR = 40
+
+
+def _tail(k: Column, low: Column, high: Column, mode: Column, spread: Column, log_of, up, down) -> Column:
+    """P(X >= k) from the terms on the far side of ``mode``, each the one before it times
+    ``up(i)`` (from i to i + 1) or ``down(i)`` (from i to i - 1): only the first takes
+    logarithms, terms fall, and their number grows with the spread and not with the range."""
+    most = F.ceil(spread * FAR).cast("long") + 100
+
+    def total(start: Column, room: Column, way: int, ratio) -> Column:
+        steps = F.least(room, most)
+        nothing = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+
+        def add(state: Column, j: Column) -> Column:
+            term = state["t"] * ratio((start + way * (j - 1)).cast("double"))
+            return F.when(j > steps, state).otherwise(F.struct(term.alias("t"), (state["s"] + term).alias("s")))
+
+        sums = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(steps, F.lit(1).cast("long"))), nothing, add, lambda x: x["s"])
+        return F.exp(log_of(start)) * sums
+
+    above, below = total(k, high - k, 1, up), total(k - 1, k - 1 - low, -1, down)
+    inside = F.when(k > mode, F.least(F.lit(1.0), above)).otherwise(F.greatest(F.lit(0.0), 1.0 - below))
+    return F.when(k > high, F.lit(0.0)).when(k <= low, F.lit(1.0)).otherwise(inside)
+
+
 def hypergeom_tail(k: Column, population: Column, marked: Column, drawn: Column) -> Column:
     """P(X >= k) when ``drawn`` of ``population`` hold ``marked`` successes at most."""
-    low = F.greatest(k, F.lit(0), drawn + marked - population).cast("long")
-    high = F.least(marked, drawn).cast("long")
-    terms = F.transform(F.sequence(low, high), lambda i: F.exp(log_choose(marked, i) + log_choose(population - marked, drawn - i) - log_choose(population, drawn)))
-    return F.when(low > high, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
+    k, m, n, q = (c.cast("long") for c in (k, population, marked, drawn))
+    low, high = F.greatest(F.lit(0).cast("long"), q + n - m), F.least(n, q)
+    share = F.coalesce(F.try_divide(n, m), F.lit(0.0))
+    # Rounding may put the mode one off; terms then rise once before they fall.
+    mode = F.floor(F.coalesce(F.try_divide((q + 1).cast("double") * (n + 1), m + 2), F.lit(0.0)))
+    return _tail(
+        k, low, high, mode, F.sqrt(q * share * (1 - share)),
+        lambda i: log_choose(n, i) + log_choose(m - n, q - i) - log_choose(m, q),
+        lambda i: (n - i) * (q - i) / ((i + 1) * (m - n - q + i + 1)), lambda i: i * (m - n - q + i) / ((n - i + 1) * (q - i + 1)),
+    )
 
 
 def binom_tail(k: Column, n: Column, p: Column) -> Column:
     """P(X >= k) of n trials with chance p."""
-    terms = F.transform(F.sequence(k.cast("long"), n.cast("long")), lambda i: F.exp(log_choose(n, i) + i * F.log(p) + (n - i) * F.log1p(-p)))
-    inside = F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
+    k, n = k.cast("long"), n.cast("long")
+    odds = F.try_divide(p, 1 - p)
+    inside = _tail(
+        k, F.lit(0).cast("long"), n, F.floor((n + 1) * p), F.sqrt(n * p * (1 - p)),
+        lambda i: log_choose(n, i) + i * F.log(p) + (n - i) * F.log1p(-p),
+        lambda i: (n - i) / (i + 1) * odds, lambda i: i / (n - i + 1) / odds,
+    )
     return F.when(k <= 0, F.lit(1.0)).when((k > n) | (p <= 0), F.lit(0.0)).when(p >= 1, F.lit(1.0)).otherwise(inside)

@@ -189,6 +189,23 @@ def registered_core(s: Column, markers: list[str], centre: Column, tolerance: in
     return F.when(best.isNotNull(), F.struct(best["core"].alias("core"), (~best["short"]).alias("complete"), best["marker"].alias("marker"), best["offset"].alias("offset")))
 
 
+def tolerant_core(s: Column, five: str, three: str, size: int, least: int, most: int) -> Column:
+    """The ``size`` letters after the first ``five``, if what follows them begins like
+    ``three``: from its first or second letter on, at least ``least`` letters compared, at
+    most ``most`` of them different.  Null otherwise, or if the core is cut short."""
+    at = F.instr(s, five)
+    core = F.substring(s, at + len(five), F.lit(size))
+    after = F.substring(s, at + len(five) + size, F.lit(len(three)))
+
+    def fits(shift: int) -> Column:
+        wanted = three[shift:]
+        n = F.least(F.length(after), F.lit(len(wanted)))
+        wrong = F.aggregate(F.sequence(F.lit(1), F.lit(len(wanted))), F.lit(0), lambda a, k: a + F.when((k <= n) & (F.substring(after, k, F.lit(1)) != F.substring(F.lit(wanted), k, F.lit(1))), 1).otherwise(0))
+        return (n >= least) & (wrong <= most)
+
+    return F.when((at > 0) & (F.length(core) == size) & (fits(0) | fits(1)), core)
+
+
 def one_off(s: Column, alphabet: str = "ACGT") -> Column:
     """``(turn, variant)``: the string and all its one-letter variants over the alphabet,
     in the order of position and letter."""

@@ -10,14 +10,25 @@ from pyspark.sql import functions as F
 LOCAL_SCRATCH = "/tmp/checkpoints/lacuna"
 
 
+_swept: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``, which all executors share."""
+    """A new path in the folder of ``spark.checkpoint.dir``, which all executors share; it
+    goes when the session ends."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = LOCAL_SCRATCH
-    return f"{base.rstrip('/')}/lacuna/{uuid.uuid4().hex}/{name}"
+    own = f"{base.rstrip('/')}/lacuna/core-{spark.sparkContext.applicationId}"
+    if own not in _swept:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _swept.add(own)
+    return f"{own}/{uuid.uuid4().hex}/{name}"
 
 
 def saved(df: DataFrame) -> DataFrame:

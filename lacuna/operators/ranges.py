@@ -1,4 +1,4 @@
-"""Ranks over a whole table, by ranges of a numeric column instead of one window."""
+"""Ranks over a whole table, by ranges of rows instead of one window."""
 
 from __future__ import annotations
 
@@ -7,11 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.operators.graph import saved
 from lacuna.operators.relational import small
 
-#: Ranges that a column is cut into.
-RANGES = 256
-
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """An equi-join on ``keys`` in which null meets null; keys of ``left`` stay."""
@@ -20,20 +18,20 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, met, how).drop(*(f"_r_{c}" for c in keys))
 
 
-def cut_ranges(df: DataFrame, column: str, out: str = "_range") -> DataFrame:
-    """``df`` with the number of the range that ``column`` falls in, by its quantiles."""
-    edges = sorted(set(df.approxQuantile(column, [k / RANGES for k in range(1, RANGES)], 1 / (4 * RANGES))))
-    above = F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e < F.col(column))
-    return df.withColumn(out, F.size(above))
-
-
 def global_rank(df: DataFrame, column: str, ties: list[str], out: str) -> DataFrame:
-    """``df`` with the row's place, from 1, in the order of ``column`` and ``ties``."""
-    cut = cut_ranges(df, column)
+    """``df`` with the row's place, from 1, in the order of ``column`` and ``ties``.
+
+    Rows are dealt into ranges of both, so that one frequent value of ``column`` is many
+    ranges too, and counted within them.
+    """
+    order = [column, *ties]
+    dealt = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    # The upper bits are the number of the range, the others the place in it.
+    cut = dealt.withColumn("_range", F.shiftright("_at", 33))
     sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_in"))
     before = sizes.select("_range", (F.sum("_in").over(Window.orderBy("_range")) - F.col("_in")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(column, *ties))
-    return cut.withColumn("_k", inside).join(small(before), "_range").withColumn(out, F.col("_before") + F.col("_k")).drop("_range", "_k", "_before")
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return cut.join(small(before), "_range").withColumn(out, F.col("_before") + inside).drop("_range", "_at", "_before")
 
 
 def ntile(df: DataFrame, n: int, column: str, ties: list[str], out: str) -> DataFrame:

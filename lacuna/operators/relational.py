@@ -37,6 +37,23 @@ def ranked_lookup(df: DataFrame, tiers: Sequence[tuple[str, DataFrame, list[str]
     return joined.withColumn(out, F.coalesce(*(F.col(c) for _, c in found))).withColumn(source, label.otherwise(missing)).drop(*(c for _, c in found))
 
 
+def resolve_tags(wanted: DataFrame, names: DataFrame, tag: str = "tag", name: str = "name", separator: str = "_") -> DataFrame:
+    """``tag, name, rank`` of every wanted tag: the name that equals it ('exact'), else the
+    first in order whose part before the separator does ('stem'), else the first that
+    begins with it ('prefix'), else none ('missing').
+
+    Beginnings are cut to the lengths that tags have, so all three are equi-joins.
+    """
+    tags = wanted.select(F.col(tag).alias("t")).where("t IS NOT NULL").distinct()
+    known = names.select(F.col(name).alias("n")).where("n IS NOT NULL").distinct()
+    lengths = tags.where("t <> ''").select(F.length("t").alias("k")).distinct()
+    begins = known.join(F.broadcast(lengths), F.length("n") >= F.col("k")).groupBy(F.substring("n", F.lit(1), F.col("k")).alias("t")).agg(F.min("n").alias("prefix"))
+    stems = known.groupBy(F.substring_index("n", separator, 1).alias("t")).agg(F.min("n").alias("stem"))
+    found = tags.join(known.select(F.col("n").alias("t"), F.col("n").alias("exact")), "t", "left").join(stems, "t", "left").join(begins, "t", "left")
+    rank = F.when(F.col("exact").isNotNull(), "exact").when(F.col("stem").isNotNull(), "stem").when(F.col("prefix").isNotNull(), "prefix").otherwise("missing")
+    return found.select(F.col("t").alias(tag), F.coalesce("exact", "stem", "prefix").alias(name), rank.alias("rank"))
+
+
 def best_per_key(df: DataFrame, keys: list[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each key in a total order."""
     numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n)

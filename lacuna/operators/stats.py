@@ -205,6 +205,33 @@ def rank_sum(df: DataFrame, by: list[str], value: str, group: str, sizes: dict[s
     return sums.withColumn("u", u).withColumn("z", (F.col("u") - na * nb / 2.0) / F.sqrt(na * nb * (na + nb + 1) / 12.0)).withColumn("log2fc", F.log2((F.expm1(F.col("sa") / na) + 1e-9) / (F.expm1(F.col("sb") / nb) + 1e-9))).select(*by, "u", "z", "log2fc")
 
 
+def elite_panel(coo: DataFrame, units: DataFrame, unit: str, elite: str, alpha: float, least_fold: float, least_share: float) -> DataFrame:
+    """Genes in which one unit stands out from all others: ``gene, direction, log2fc, pval,
+    padj, pct_elite, pct_other, consistency, of``.
+
+    Cells of the elite are held against those of all others by rank sums and BH; a gene
+    stays if its fold, adjusted p and the share of expressing cells on its higher side all
+    pass.  ``consistency`` counts the ``of`` other units whose own mean lies on the other
+    side of the elite's: many cells of one unit cannot carry it.
+    """
+    arm = F.when(F.col(unit) == elite, "a").otherwise("b")
+    sizes = units.groupBy(unit).agg(F.count(F.lit(1)).alias("n"))
+    n = sizes.agg(F.coalesce(F.sum(F.when(F.col(unit) == elite, F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col(unit) != elite, F.col("n"))), F.lit(0)).alias("b"), F.count_if(F.col(unit) != elite).alias("of")).first()
+    rows = coo.join(units.select("cell", unit), "cell").where("value > 0")
+    ranked = rank_sum(rows.withColumn("g", arm), ["gene"], "value", "g", {"a": F.lit(n.a), "b": F.lit(n.b)})
+    tested = bh_fdr(ranked.withColumn("pval", normal_two_sided(F.col("z"))), "pval").select("gene", "log2fc", "pval", "padj")
+    own = F.col(unit) == elite
+    shares = rows.groupBy("gene").agg((F.count_if(own) / F.lit(float(n.a or 1))).alias("pct_elite"), (F.count_if(~own) / F.lit(float(n.b or 1))).alias("pct_other"), (F.coalesce(F.sum(F.when(own, F.col("value"))), F.lit(0.0)) / F.lit(float(n.a or 1))).alias("mean"))
+    means = rows.where(~own).groupBy("gene", unit).agg(F.sum("value").alias("s")).join(sizes, unit).select("gene", (F.col("s") / F.col("n")).alias("m"))
+    met = means.join(shares.select("gene", "mean"), "gene").groupBy("gene").agg(F.count_if(F.col("m") < F.col("mean")).alias("below"), F.count_if(F.col("m") > F.col("mean")).alias("above"), F.count(F.lit(1)).alias("seen"))
+    up = F.col("log2fc") > 0
+    # Units without the gene have mean 0: below a positive mean, never above one.
+    absent = F.when(F.col("mean") > 0, F.lit(n.of) - F.coalesce("seen", F.lit(0))).otherwise(0)
+    steady = F.when(up, F.coalesce("below", F.lit(0)) + absent).otherwise(F.coalesce("above", F.lit(0)))
+    joined = tested.join(shares, "gene").join(met, "gene", "left").where((F.abs("log2fc") >= least_fold) & (F.col("padj") < alpha) & (F.when(up, F.col("pct_elite")).otherwise(F.col("pct_other")) >= least_share))
+    return joined.select("gene", F.when(up, "up").otherwise("down").alias("direction"), "log2fc", "pval", "padj", "pct_elite", "pct_other", steady.alias("consistency"), F.lit(n.of).alias("of"))
+
+
 def gate_lists(tested: DataFrame, item: str, alpha: float, least_fold: float, least_items: int, fold: str = "log2fc") -> DataFrame:
     """``gate, direction, item, fold, pval, padj, ready``: items beyond both thresholds, by
     raw p and by adjusted p, up and down; ``ready`` where the list has ``least_items``."""

@@ -303,6 +303,19 @@ def pf18(t):
     return t.part.select(F.col("p_name").alias("tag"), stem.alias("stem"), F.count(F.lit(1)).over(Window.partitionBy(stem)).alias("alike"))
 
 
+TAGS = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN {stem} WHEN 2 THEN substr(p_name, 1, 3) ELSE concat('zz', p_name) END"
+
+
+@query("pf18b_tags_in_three_ranks", f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT DISTINCT {TAGS.format(stem="split_part(p_name, ' ', 1)")} AS tag FROM part),
+ c AS (SELECT tag, name, CASE WHEN name = tag THEN 0 WHEN split_part(name, ' ', 1) = tag THEN 1 ELSE 2 END AS r FROM w JOIN n ON name = tag OR split_part(name, ' ', 1) = tag OR starts_with(name, tag)),
+ b AS (SELECT tag, name, r FROM c QUALIFY row_number() OVER (PARTITION BY tag ORDER BY r, name) = 1)
+ SELECT w.tag, name, CASE r WHEN 0 THEN 'exact' WHEN 1 THEN 'stem' WHEN 2 THEN 'prefix' ELSE 'missing' END AS rank FROM w LEFT JOIN b ON w.tag = b.tag""")
+def pf18b(t):
+    """Whole names, stems, beginnings and unknown tags, each resolved among all names."""
+    wanted = t.part.selectExpr(TAGS.format(stem="substring_index(p_name, ' ', 1)") + " AS tag")
+    return R.resolve_tags(wanted, t.part.select(F.col("p_name").alias("name")), separator=" ")
+
+
 @query("j1_lookup_default", "SELECT o_orderkey, coalesce(c_mktsegment, 'none') AS segment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
 def j1(t):
     dim = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))

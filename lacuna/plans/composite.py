@@ -12,6 +12,8 @@ from lacuna.operators import graph as G
 from lacuna.operators import intervals as I
 from lacuna.operators import matrix as M
 from lacuna.operators import molecules as MO
+from lacuna.operators import probes as PR
+from lacuna.operators import read_audit as RA
 from lacuna.operators import receptors as RC
 from lacuna.operators import relational as R
 from lacuna.operators import stats as ST
@@ -194,6 +196,28 @@ def q20(t):
     return alignments(t).groupBy("library", kind.alias("class")).agg(F.count(F.lit(1)).alias("n"), F.count_if(low).alias("lost_mapq"), F.count_if(~low & ~S.lacks_bits(F.col("flag"), S.SECONDARY)).alias("lost_secondary"))
 
 
+GENES = (("one", 20, 60), ("two", 55, 90), ("three", 110, 150))
+
+
+@query("q20b_mapping_losses", f"""WITH {ALN}, g(name, lo, hi) AS (VALUES {", ".join(str(g) for g in GENES)}), a AS (SELECT *, row_number() OVER () AS i, pos + m1 + d + 35 - 1 AS last FROM aln),
+ h AS (SELECT i, count(*) AS n, min(name) AS name FROM a JOIN g ON pos <= hi AND last >= lo GROUP BY 1),
+ c AS (SELECT a.*, CASE WHEN n = 1 THEN concat('single:', h.name) WHEN n > 1 THEN 'multi overlap' WHEN last < 20 THEN '5prime' WHEN pos > 150 THEN '3prime' ELSE 'gap' END AS class FROM a LEFT JOIN h USING (i))
+ SELECT library, class, count(*) AS reads, count(*) FILTER (flag & 2304 <> 0) AS lost_not_primary, count(*) FILTER (flag & 2304 = 0 AND mapq < 10) AS lost_mapq, count(*) FILTER (flag & 2304 = 0 AND mapq >= 10 AND class IN ('5prime', '3prime', 'gap')) AS lost_no_gene,
+ count(*) FILTER (flag & 2304 = 0 AND mapq >= 10 AND class = 'multi overlap') AS lost_multi, count(*) FILTER (flag & 2304 = 0 AND mapq >= 10 AND starts_with(class, 'single')) AS counted FROM c GROUP BY 1, 2""")
+def q20b(t):
+    """Reads by what their span meets, each lost at the first of the steps or counted."""
+    f = F.col("flag")
+    last = F.col("pos") + Q.ref_length(F.col("cigar")) - 1
+    a = alignments(t).withColumn("class", I.position_class(F.col("pos"), last, list(GENES)))
+    primary, sure = f.bitwiseAND(F.lit(0x900)) == 0, F.col("mapq") >= 10
+    single, multi = F.col("class").startswith("single"), F.col("class") == "multi overlap"
+    kept = primary & sure
+    return a.groupBy("library", "class").agg(
+        F.count(F.lit(1)).alias("reads"), F.count_if(~primary).alias("lost_not_primary"), F.count_if(primary & ~sure).alias("lost_mapq"), F.count_if(kept & ~single & ~multi).alias("lost_no_gene"),
+        F.count_if(kept & multi).alias("lost_multi"), F.count_if(kept & single).alias("counted"),
+    )
+
+
 @query("q21_candidate_triage", f"WITH a AS (SELECT * FROM lineitem WHERE l_returnflag = 'A' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_linenumber) = 1), b AS (SELECT * FROM lineitem WHERE l_returnflag = 'R' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_linenumber) = 1), p AS (SELECT p_partkey, {RULES_SQL} AS class FROM part) SELECT CASE WHEN a.l_orderkey IS NULL THEN 'second only' WHEN b.l_orderkey IS NULL THEN 'first only' WHEN x.class = y.class THEN 'agree' ELSE 'differ' END AS verdict, count(*) AS n FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey LEFT JOIN p x ON a.l_partkey = x.p_partkey LEFT JOIN p y ON b.l_partkey = y.p_partkey GROUP BY 1")
 def q21(t):
     classes = t.part.select(F.col("p_partkey").alias("l_partkey"), S.first_match(F.col("p_brand"), RULES, "other").alias("class"))
@@ -228,11 +252,63 @@ def q24(t):
     return f.join(least, "pair").where("rec < least").groupBy("pair", "mate").agg(F.count(F.lit(1)).alias("kept"), (F.max("rec") + 1).cast("long").alias("records"))
 
 
-@query("q25_chemistry_inference", f"WITH {READS}, w AS (SELECT DISTINCT substr(seq, 1, 6) AS b FROM reads WHERE read_no = 0) SELECT doc_id, mode(length(seq)) AS len, round(count(*) FILTER (substr(seq, 1, 6) IN (SELECT b FROM w)) / count(*), 6) AS hit_rate FROM (SELECT doc_id, 100 AS l, seq FROM reads WHERE length(seq) = 100) GROUP BY 1")
+PROBES = (("a1", "one", "sense", "anchor", "ACGTA"), ("a2", "one", "sense", "anchor", "GGTTA"), ("f1", "one", "sense", "full", "ACGTACG"), ("b1", "two", "sense", "anchor", "CATTC"), ("b2", "two", "antisense", "anchor", "TTGCA"), ("f2", "two", "antisense", "full", "CATTCGA"))
+CONTROLS = (("c1", "AAAA"), ("c2", "ACGTACGTACGT"))
+
+
+_PROBE_SQL = ", ".join(str(p) for p in PROBES)
+
+
+def _probe_hits(t, rows, schema):
+    """Every place of the probes ``rows``, whose last column is ``letters``."""
+    probes = t.spark.createDataFrame(list(rows), schema)
+    tagged = reads(t).join(t.documents.select("doc_id", "lang"), "doc_id").select(F.struct("lang", (F.col("doc_id") * 100000 + F.col("read_no")).alias("k")).alias("r"), "seq")
+    found = PR.find_all(tagged, probes, key="r", pattern="letters", strands=False)
+    return found.join(F.broadcast(probes), "letters").select("r.*", "*").drop("r", "strand")
+
+
+@query("q22b_confident_probes", f"""WITH {READS}, h AS (SELECT lang, doc_id * 100000 + read_no AS k, p.probe, p.target, p.orientation, p.kind FROM reads JOIN documents USING (doc_id), (VALUES {_PROBE_SQL}) p(probe, target, orientation, kind, letters), range(0, 100) r(i) WHERE substr(seq, CAST(i + 1 AS BIGINT), length(letters)) = letters),
+ g AS (SELECT lang, target, orientation, k FROM h GROUP BY ALL HAVING bool_or(kind = 'full') OR count(DISTINCT probe) FILTER (kind = 'anchor') >= 2) SELECT lang, target, orientation, count(*) AS reads FROM g GROUP BY ALL""")
+def q22b(t):
+    """Reads with a whole probe of a target, or two of its anchors."""
+    return RA.confident_reads(_probe_hits(t, PROBES, "probe string, target string, orientation string, kind string, letters string"), ["lang"], "k")
+
+
+@query("q22c_control_verdicts", f"""WITH {READS}, h AS (SELECT lang, p.probe, i FROM reads JOIN documents USING (doc_id), (VALUES {", ".join(str(c) for c in CONTROLS)}) p(probe, letters), range(0, 100) r(i) WHERE substr(seq, CAST(i + 1 AS BIGINT), length(letters)) = letters),
+ c AS (SELECT lang, probe, i, count(*) AS n FROM h GROUP BY ALL), m AS (SELECT lang, probe, sum(n) OVER w AS hits, count(*) OVER w AS offsets, i AS mode, n FROM c WINDOW w AS (PARTITION BY lang, probe) QUALIFY row_number() OVER (PARTITION BY lang, probe ORDER BY n DESC, i) = 1)
+ SELECT lang, probe, CAST(hits AS BIGINT) AS hits, offsets, CAST(mode AS INTEGER) AS mode, round(n / hits, 6) AS at_mode, CASE WHEN hits < 20 THEN 'absent' WHEN n / hits >= 0.5 THEN 'fixed' ELSE 'scattered' END AS verdict FROM m""")
+def q22c(t):
+    """Where control probes stand, and whether always in one place."""
+    found = RA.offset_summary(_probe_hits(t, CONTROLS, "probe string, letters string"), ["lang"])
+    return found.select("lang", "probe", "hits", "offsets", "mode", r6(F.col("at_mode")).alias("at_mode"), RA.control_verdict(F.col("hits"), F.col("at_mode"), 20, 0.5).alias("verdict"))
+
+
+@query("q23b_read_layout", f"""WITH {READS}, p AS (SELECT lang, unnest(range(0, length(seq))) AS place, unnest(string_split(seq, '')) AS letter FROM reads JOIN documents USING (doc_id) WHERE seq <> ''), c AS (SELECT lang, place, letter, count(*) AS n FROM p GROUP BY ALL),
+ e AS (SELECT lang, place, sum(n) AS total, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS bits FROM c GROUP BY ALL) SELECT lang, CAST(place // 10 AS INTEGER) AS block, round(avg(greatest(0, bits)), 6) AS entropy, CAST(sum(total) AS BIGINT) AS letters FROM e GROUP BY 1, 2""")
+def q23b(t):
+    """Entropy of the letters by blocks of ten places: constant parts of reads are low."""
+    rows = reads(t).join(t.documents.select("doc_id", "lang"), "doc_id")
+    return RA.block_entropy(rows, ["lang"], 10).withColumn("entropy", r6(F.col("entropy")))
+
+
+@query("q23c_list_orientation", f"""WITH {READS}, w AS (SELECT DISTINCT substr(seq, 1, 6) AS b FROM reads WHERE read_no = 0 AND length(seq) >= 6), s AS (SELECT lang, substr(seq, 1, 6) AS b FROM reads JOIN documents USING (doc_id) WHERE length(seq) >= 6),
+ c AS (SELECT lang, count(*) AS reads, count(*) FILTER (b IN (SELECT b FROM w)) AS forward, count(*) FILTER (translate(reverse(b), 'ACGT', 'TGCA') IN (SELECT b FROM w)) AS reverse FROM s GROUP BY 1)
+ SELECT *, CASE WHEN forward > reverse THEN 'forward' WHEN reverse > forward THEN 'reverse' ELSE 'either' END AS orientation FROM c""")
+def q23c(t):
+    """Whether reads begin with listed words as they are or turned round."""
+    listed = reads(t).where("read_no = 0 AND length(seq) >= 6").select(F.substring("seq", 1, 6).alias("word"))
+    return RA.list_orientation(reads(t).join(t.documents.select("doc_id", "lang"), "doc_id"), listed, ["lang"], 6)
+
+
+@query("q25_chemistry_inference", f"""WITH {READS}, w AS (SELECT DISTINCT substr(seq, 1, 6) AS b FROM reads WHERE read_no = 0), c AS (SELECT doc_id, length(seq) AS len, count(*) AS n FROM reads GROUP BY 1, 2),
+ m AS (SELECT doc_id, len FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, len DESC) = 1), h AS (SELECT doc_id, round(count(*) FILTER (substr(seq, 1, 6) IN (SELECT b FROM w)) / count(*), 6) AS hit_rate FROM reads GROUP BY 1)
+ SELECT doc_id, len, hit_rate FROM m JOIN h USING (doc_id)""")
 def q25(t):
+    """The usual length of a document's reads, and how many of all begin with a listed word."""
     listed = reads(t).where("read_no = 0").select(F.substring("seq", 1, 6).alias("b")).distinct().withColumn("hit", F.lit(1))
-    full = reads(t).where("length(seq) = 100").withColumn("b", F.substring("seq", 1, 6)).join(listed, "b", "left")
-    return full.groupBy("doc_id").agg(F.max(F.length("seq")).cast("long").alias("len"), r6(F.count("hit") / F.count(F.lit(1))).alias("hit_rate"))
+    every = reads(t).withColumn("b", F.substring("seq", 1, 6)).join(listed, "b", "left")
+    rates = every.groupBy("doc_id").agg(r6(F.count("hit") / F.count(F.lit(1))).alias("hit_rate"))
+    return RA.usual_length(reads(t), ["doc_id"]).join(rates, "doc_id").select("doc_id", "len", "hit_rate")
 
 
 @query("q26_recovery_calls", f"WITH {CONTIGS}, c AS (SELECT user_id, day, count(DISTINCT chain) FILTER (productive) AS n, bool_or(NOT productive) AS bad FROM contigs GROUP BY 1, 2) SELECT CASE WHEN bad THEN 'quarantine' WHEN n >= 2 THEN 'confident' ELSE 'provisional' END AS call, CAST(n AS BIGINT) AS chains, count(*) AS cells FROM c GROUP BY 1, 2")
@@ -276,10 +352,13 @@ def q30(t):
     return v.select(F.inline(F.array(verdict("reads", F.col("new"), F.col("old"), 0.5), verdict("quality", rate("new_ok", "new"), rate("old_ok", "old"), 0.9))))
 
 
-@query("q31_recipe_drift", "SELECT 'min_genes' AS key, '200' AS stored, '300' AS wanted")
+@query("q31_recipe_drift", "WITH s AS (SELECT event_type AS key, CAST(count(*) AS VARCHAR) AS stored FROM events GROUP BY 1 UNION ALL SELECT 'types', CAST(count(DISTINCT event_type) AS VARCHAR) FROM events), w AS (SELECT event_type AS key, CAST(count(value) FILTER (value >= 1) AS VARCHAR) AS wanted FROM events GROUP BY 1 UNION ALL SELECT 'types', CAST(count(DISTINCT event_type) AS VARCHAR) FROM events) SELECT s.key, stored, wanted FROM s FULL JOIN w ON s.key = w.key WHERE stored IS DISTINCT FROM wanted")
 def q31(t):
-    stored = t.spark.createDataFrame([("min_genes", "200"), ("target", "1e4")], "key string, stored string")
-    wanted = t.spark.createDataFrame([("min_genes", "300"), ("target", "1e4")], "key string, wanted string")
+    """A recipe of counts by event type against that of the larger values alone: the keys
+    on which they differ."""
+    types = t.events.select(F.lit("types").alias("key"), "event_type").groupBy("key").agg(F.count_distinct("event_type").cast("string").alias("n"))
+    counts = t.events.groupBy(F.col("event_type").alias("key")).agg(F.count(F.lit(1)).cast("string").alias("stored"), F.count_if(F.col("value") >= 1).cast("string").alias("wanted"))
+    stored, wanted = counts.select("key", "stored").union(types), counts.select("key", "wanted").union(types)
     return stored.join(wanted, "key", "full").where(~F.col("stored").eqNullSafe(F.col("wanted")))
 
 

@@ -133,6 +133,21 @@ def q15c(t):
     return ST.threshold_grid(tested(t), ALPHAS, FOLDS)
 
 
+ELITE = TESTED.replace("u AS (SELECT cell, tissue FROM cells WHERE tissue IN ('ASIA', 'EUROPE'))", "u AS (SELECT cell, CASE WHEN tissue = 'AFRICA' THEN 'ASIA' ELSE 'EUROPE' END AS tissue FROM cells)")
+
+
+@query("q28b_elite_rank_sums", f"""{ELITE}, n AS (SELECT tissue, count(*) AS n FROM cells GROUP BY 1), e AS (SELECT gene, count(*) FILTER (tissue = 'AFRICA') AS ca, count(*) FILTER (tissue <> 'AFRICA') AS cb FROM coo JOIN cells USING (cell) GROUP BY 1),
+ m AS (SELECT k.gene, n.tissue, coalesce(sum(value), 0) / any_value(n.n) AS v FROM (SELECT DISTINCT gene FROM coo) k CROSS JOIN n LEFT JOIN (SELECT gene, tissue, value FROM coo JOIN cells USING (cell)) x ON x.gene = k.gene AND x.tissue = n.tissue GROUP BY 1, 2),
+ c AS (SELECT a.gene, count(*) FILTER (b.v < a.v) AS below, count(*) FILTER (b.v > a.v) AS above FROM m a JOIN m b ON a.gene = b.gene AND a.tissue = 'AFRICA' AND b.tissue <> 'AFRICA' GROUP BY 1)
+ SELECT gene, CASE WHEN log2fc > 0 THEN 'up' ELSE 'down' END AS direction, round(log2fc, 5) AS log2fc, round(pval, 7) AS pval, round(ca / (SELECT n FROM n WHERE tissue = 'AFRICA'), 6) AS pct_elite, round(cb / (SELECT sum(n) FROM n WHERE tissue <> 'AFRICA'), 6) AS pct_other, CASE WHEN log2fc > 0 THEN below ELSE above END AS consistency
+ FROM tested JOIN e USING (gene) JOIN c USING (gene) WHERE abs(log2fc) >= {FOLD} AND CASE WHEN log2fc > 0 THEN ca / (SELECT n FROM n WHERE tissue = 'AFRICA') ELSE cb / (SELECT sum(n) FROM n WHERE tissue <> 'AFRICA') END >= 0.01""")
+def q28b(t):
+    """One region against all others by rank sums, fold and share, and in how many of the
+    others the sign holds (adjusted p of 1 at most: every gene is let through it)."""
+    found = ST.elite_panel(coo(t), cells(t), "tissue", "AFRICA", 1.1, FOLD, 0.01)
+    return found.select("gene", "direction", F.round("log2fc", 5).alias("log2fc"), F.round("pval", 7).alias("pval"), F.round("pct_elite", 6).alias("pct_elite"), F.round("pct_other", 6).alias("pct_other"), "consistency")
+
+
 @query("q30b_ratio_gate", f"""WITH {ALN}, v AS (SELECT count(*) FILTER (l_linenumber <= 3 AND library % 2 = 0) AS a0, count(*) FILTER (l_linenumber <= 3 AND library % 2 = 1) AS b0, count(*) FILTER (l_linenumber > 3 AND library % 2 = 0) AS a1, count(*) FILTER (l_linenumber > 3 AND library % 2 = 1) AS b1, count(*) FILTER (flag & 16 <> 0) AS minus, count(*) AS n FROM aln)
  SELECT 'separation' AS gate, CASE WHEN b1 = 0 OR a1 / b1 >= a0 / b0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM v UNION ALL SELECT 'strand', CASE WHEN minus / n > 0.8 THEN 'FAIL' ELSE 'PASS' END FROM v UNION ALL SELECT 'floor', CASE WHEN a1 >= 100 THEN 'PASS' ELSE 'FAIL' END FROM v""")
 def q30b(t):

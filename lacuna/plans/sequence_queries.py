@@ -86,6 +86,21 @@ def sp10(t):
     return reads(t).where("length(seq) >= 34").select("doc_id", "read_no", F.substring("seq", 13, 10).alias("fixed"), F.regexp_extract("seq", "ACG(.{10})CGT", 1).alias("flanked"))
 
 
+def _core_sql(seq: str) -> str:
+    after = f"substr({seq}, strpos({seq}, 'ACGC') + 14, 6)"
+    fits = " OR ".join(f"(least(length({after}), {len(three)}) >= 4 AND hamming(left({after}, least(length({after}), {len(three)})::INT), left('{three}', least(length({after}), {len(three)})::INT)) <= 1)" for three in ("GCGTAC", "CGTAC"))
+    return f"CASE WHEN strpos({seq}, 'ACGC') > 0 AND length(substr({seq}, strpos({seq}, 'ACGC') + 4, 10)) = 10 AND ({fits}) THEN substr({seq}, strpos({seq}, 'ACGC') + 4, 10) END"
+
+
+@query("sp10b_tolerant_flanks", f"""WITH {READS}, b AS (SELECT doc_id, read_no, seq, translate(reverse(seq), 'ACGT', 'TGCA') AS turned FROM reads), c AS (SELECT doc_id, read_no, {_core_sql("seq")} AS own, {_core_sql("turned")} AS other FROM b)
+ SELECT doc_id, read_no, coalesce(own, other) AS core, CASE WHEN own IS NOT NULL THEN 'forward' ELSE 'reverse' END AS strand FROM c WHERE own IS NOT NULL OR other IS NOT NULL""")
+def sp10b(t):
+    """Cores by an exact flank before and a tolerant one behind, on either strand."""
+    own, other = (Q.tolerant_core(s, "ACGC", "GCGTAC", 10, 4, 1) for s in (F.col("seq"), Q.revcomp(F.col("seq"))))
+    found = reads(t).select("doc_id", "read_no", own.alias("own"), other.alias("other")).where("own IS NOT NULL OR other IS NOT NULL")
+    return found.select("doc_id", "read_no", F.coalesce("own", "other").alias("core"), F.when(F.col("own").isNotNull(), "forward").otherwise("reverse").alias("strand"))
+
+
 @query("sp11_anchor_either_strand", f"WITH {READS} SELECT doc_id, read_no, coalesce(nullif(regexp_extract(seq, 'ACGC(.{{8}})GC', 1), ''), regexp_extract({RC}, 'ACGC(.{{8}})GC', 1)) AS core FROM reads")
 def sp11(t):
     return reads(t).select("doc_id", "read_no", Q.between_flanks(F.col("seq"), "ACGC", "GC", 8).alias("core"))
@@ -244,9 +259,12 @@ def sh3(t):
 
 @query("sh4_n50", "WITH l AS (SELECT source, doc_id, length(text) AS n FROM documents), r AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY n DESC, doc_id) AS run, sum(n) OVER (PARTITION BY source) AS tot FROM l) SELECT source, count(*) AS contigs, CAST(max(tot) AS BIGINT) AS total, max(n) AS longest, min(n) AS shortest, max(n) FILTER (run >= tot / 2.0) AS n50 FROM r GROUP BY 1")
 def sh4(t):
+    """Lengths repeat: they are counted first, and the counts summed from the longest."""
     w = Window.partitionBy("source")
-    r = t.documents.select("source", "doc_id", F.length("text").cast("long").alias("n")).withColumn("run", F.sum("n").over(w.orderBy(F.desc("n"), "doc_id"))).withColumn("tot", F.sum("n").over(w))
-    return r.groupBy("source").agg(F.count(F.lit(1)).alias("contigs"), F.max("tot").alias("total"), F.max("n").alias("longest"), F.min("n").alias("shortest"), F.max(F.when(F.col("run") >= F.col("tot") / 2.0, F.col("n"))).alias("n50"))
+    counts = t.documents.groupBy("source", F.length("text").cast("long").alias("n")).agg(F.count(F.lit(1)).alias("c"))
+    letters = F.col("c") * F.col("n")
+    r = counts.withColumn("run", F.sum(letters).over(w.orderBy(F.desc("n")))).withColumn("tot", F.sum(letters).over(w))
+    return r.groupBy("source").agg(F.sum("c").alias("contigs"), F.max("tot").alias("total"), F.max("n").alias("longest"), F.min("n").alias("shortest"), F.max(F.when(F.col("run") >= F.col("tot") / 2.0, F.col("n"))).alias("n50"))
 
 
 @query("sh5_weighted_identity", f"WITH {ALN} SELECT library, CAST(sum(m1 + 35) AS BIGINT) AS aligned, CAST(sum(d) AS BIGINT) AS gaps, CAST(sum(l_linenumber) AS BIGINT) AS mismatches, round(100.0 * (sum(m1 + 35) - sum(l_linenumber) - sum(d)) / sum(m1 + 35), 6) AS identity FROM aln GROUP BY 1")

@@ -13,7 +13,7 @@ from lacuna.operators import receptors as RC
 from lacuna.operators import relational as R
 from lacuna.operators import stats as ST
 from lacuna.plans.aggregates import QC, TYPED, labels, part_gene, qc
-from lacuna.plans.bindings import CELLS, CONTIGS, COO, MOL, cells, contigs, coo, molecules
+from lacuna.plans.bindings import CELLS, CONTIGS, COO, MOL, READS, cells, contigs, coo, molecules, reads
 from lacuna.plans.registry import query
 
 W = Window
@@ -234,11 +234,13 @@ def m17(t):
     return c.withColumn("fp_rate", r6(S.ratio(F.col("neg"), F.col("inf")))).withColumn("verdict", F.when(F.col("inf") > 3 * F.col("neg"), "signal").when(F.col("inf") > F.col("neg"), "weak").otherwise("floor"))
 
 
-@query("m18_expected_yield", "SELECT CAST(l AS BIGINT) AS read_length, greatest(0, l - 34 + 1) AS starts, round(greatest(0, l - 34 + 1) / (CAST(9000 AS DOUBLE) - l + 1), 9) AS chance FROM range(26, 151) r(l)")
+@query("m18_expected_yield", f"WITH {READS} SELECT length(seq) AS read_length, count(*) AS reads, greatest(0, length(seq) - 34 + 1) AS starts, round(count(*) * greatest(0, length(seq) - 34 + 1) / (CAST(9000 AS DOUBLE) - length(seq) + 1), 6) AS expected FROM reads GROUP BY 1")
 def m18(t):
-    df = t.spark.range(26, 151).withColumnRenamed("id", "read_length")
-    starts = F.greatest(F.lit(0), F.col("read_length") - 33)
-    return df.select("read_length", starts.alias("starts"), F.round(starts / (F.lit(9000.0) - F.col("read_length") + 1), 9).alias("chance"))
+    """Reads by length, and how many of each are expected to hold a window of 34 letters."""
+    n = F.col("read_length")
+    starts = F.greatest(F.lit(0).cast("long"), n - 33)
+    by_length = reads(t).groupBy(F.length("seq").cast("long").alias("read_length")).agg(F.count(F.lit(1)).alias("reads"))
+    return by_length.select("read_length", "reads", starts.alias("starts"), r6(F.col("reads") * starts / (F.lit(9000.0) - n + 1)).alias("expected"))
 
 
 @query("mx1_filter_matrix", f"WITH {COO}, c AS (SELECT cell FROM coo WHERE value > 0 GROUP BY 1 HAVING count(*) >= 30), k AS (SELECT * FROM coo WHERE cell IN (SELECT cell FROM c)), g AS (SELECT gene FROM k WHERE value > 0 GROUP BY 1 HAVING count(*) >= 20) SELECT cell, gene, value FROM k WHERE gene IN (SELECT gene FROM g)")
