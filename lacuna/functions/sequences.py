@@ -78,13 +78,20 @@ def extract_window(pos: Column, cigar: Column, seq: Column, lo: int, hi: int, mi
     One piece of the sequence for each run that meets the window, and ``missing`` in
     the gaps between them.
     """
+    return window_of(cigar_blocks(F.lit(1), cigar), pos, seq, lo, hi, missing)
+
+
+def window_of(blocks: Column, pos: Column, seq: Column, lo: int, hi: int, missing: str = ".") -> Column:
+    """``extract_window`` from ``cigar_blocks`` that were laid out from position 1."""
+    shift = (pos - 1).cast("int")
     start = F.struct(F.lit(lo).alias("at"), F.lit("").alias("window"), F.lit("").alias("provenance"), F.lit(0).alias("n_aligned"))
 
     def step(acc, b):
-        first, last = F.greatest(b["ref"], acc["at"]), F.least(b["ref"] + b["n"], F.lit(hi))
+        ref = b["ref"] + shift
+        first, last = F.greatest(ref, acc["at"]), F.least(ref + b["n"], F.lit(hi))
         n, gap = last - first, F.repeat(F.lit(missing), first - acc["at"])
         grown = F.struct(
-            last.alias("at"), F.concat(acc["window"], gap, F.substring(seq, b["query"] + first - b["ref"] + 1, n)).alias("window"),
+            last.alias("at"), F.concat(acc["window"], gap, F.substring(seq, b["query"] + first - ref + 1, n)).alias("window"),
             F.concat(acc["provenance"], gap, F.repeat(b["src"], n)).alias("provenance"), (acc["n_aligned"] + F.when(b["src"] == "A", n).otherwise(0)).alias("n_aligned"),
         )
         return F.when(n > 0, grown).otherwise(acc)
@@ -93,7 +100,7 @@ def extract_window(pos: Column, cigar: Column, seq: Column, lo: int, hi: int, mi
         rest = F.repeat(F.lit(missing), F.lit(hi) - acc["at"])
         return F.struct(F.concat(acc["window"], rest).alias("window"), F.concat(acc["provenance"], rest).alias("provenance"), acc["n_aligned"].alias("n_aligned"))
 
-    return F.aggregate(cigar_blocks(pos, cigar), start, step, filled)
+    return F.aggregate(blocks, start, step, filled)
 
 
 def aligned_in(pos: Column, cigar: Column, lo: Column, hi: Column) -> Column:

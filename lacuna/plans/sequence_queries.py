@@ -51,8 +51,8 @@ def windows(t):
 
 @query("sp5_extract_window", f"WITH {WINDOWS} SELECT doc_id, read_no, string_agg(CASE WHEN q IS NULL THEN '.' ELSE substr(seq, q + 1, 1) END, '' ORDER BY ref) AS window, string_agg(CASE WHEN q IS NULL THEN '.' WHEN ref < pos - 1 THEN 'p' ELSE 'A' END, '' ORDER BY ref) AS provenance, CAST(count(*) FILTER (q IS NOT NULL AND ref >= pos - 1) AS INTEGER) AS n_aligned FROM b GROUP BY 1, 2")
 def sp5(t):
-    w = Q.extract_window(F.col("pos"), F.col("cigar"), F.col("seq"), 90, 124)
-    return windows(t).withColumn("w", w).select("doc_id", "read_no", F.col("w.window"), F.col("w.provenance"), F.col("w.n_aligned"))
+    laid = MO.with_cigars(windows(t), blocks=Q.cigar_blocks(F.lit(1), F.col("cigar")))
+    return laid.withColumn("w", Q.window_of(F.col("blocks"), F.col("pos"), F.col("seq"), 90, 124)).select("doc_id", "read_no", F.col("w.window"), F.col("w.provenance"), F.col("w.n_aligned"))
 
 
 @query("sp6_aligned_in", f"WITH {ALN} SELECT l_orderkey, l_linenumber, CAST(greatest(0, least(pos - 1 + m1, 134) - greatest(pos - 1, 100)) + greatest(0, least(pos - 1 + m1 + d + 35, 134) - greatest(pos - 1 + m1 + d, 100)) AS INTEGER) AS n FROM aln")
@@ -233,7 +233,8 @@ ALN_SPANS = "sp AS (SELECT library, pos - 1 AS s, pos - 1 + m1 + d + 35 AS e FRO
 
 
 def depth_runs(t):
-    spans = alignments(t).select("library", (F.col("pos") - 1).alias("s"), (F.col("pos") - 1 + Q.ref_length(F.col("cigar"))).alias("e"))
+    laid = MO.with_cigars(alignments(t).select("library", "pos", "cigar"), n=Q.ref_length(F.col("cigar")))
+    spans = laid.select("library", (F.col("pos") - 1).alias("s"), (F.col("pos") - 1 + F.col("n")).alias("e"))
     return I.depth(spans, ["library"], "s", "e")
 
 
@@ -253,8 +254,8 @@ def sh2(t):
 
 @query("sh3_mapq_histogram", f"WITH {ALN} SELECT mapq, count(*) AS n, round(avg(m1), 6) AS mean, median(m1) AS med, min(m1) AS lo, max(m1) AS hi FROM aln GROUP BY 1")
 def sh3(t):
-    m1 = Q.matched_length(F.col("cigar")) - 35
-    return alignments(t).withColumn("m1", m1).groupBy("mapq").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("m1"), 6).alias("mean"), F.median("m1").alias("med"), F.min("m1").alias("lo"), F.max("m1").alias("hi"))
+    laid = MO.with_cigars(alignments(t).select("mapq", "cigar"), m1=Q.matched_length(F.col("cigar")) - 35)
+    return laid.groupBy("mapq").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("m1"), 6).alias("mean"), F.median("m1").alias("med"), F.min("m1").alias("lo"), F.max("m1").alias("hi"))
 
 
 @query("sh4_n50", "WITH l AS (SELECT source, doc_id, length(text) AS n FROM documents), r AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY n DESC, doc_id) AS run, sum(n) OVER (PARTITION BY source) AS tot FROM l) SELECT source, count(*) AS contigs, CAST(max(tot) AS BIGINT) AS total, max(n) AS longest, min(n) AS shortest, max(n) FILTER (run >= tot / 2.0) AS n50 FROM r GROUP BY 1")
