@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_SCRATCH = "/tmp/checkpoints/lacuna"
@@ -66,18 +66,24 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFr
         labels = moved.select("a", "label")
 
 
-def propagate_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 10, node: str = "node") -> DataFrame:
-    """Deterministic label propagation: in each round a node takes the label with the
-    most edge weight around it (its own counts once), ties to the smallest label."""
+def propagate_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 100, node: str = "node") -> DataFrame:
+    """``node, label, settled``: in each round a node takes the label with the most edge
+    weight around it (its own counts once), ties to the smallest label.
+
+    Rounds end when no label changes (``settled``), or when labels are again those of two
+    rounds before, as they then alternate for ever, or after ``rounds``.
+    """
     both = saved(edges.select("a", "b", "weight").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
-    labels = saved(nodes.select(F.col(node).alias("a"), F.col(node).alias("label")))
+    labels = saved(nodes.select(F.col(node).alias("a"), F.col(node).alias("label"), F.lit(None).cast(nodes.schema[node].dataType).alias("before")))
+    settled = False
     for _ in range(rounds):
         votes = both.join(labels.select(F.col("a").alias("b"), "label"), "b").select("a", "label", "weight").union(labels.select("a", "label", F.lit(1.0).alias("weight")))
         summed = votes.groupBy("a", "label").agg(F.sum("weight").alias("w"))
-        best = summed.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "label"))).where("_n = 1").select("a", F.col("label").alias("new"))
+        best = summed.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("less"), "label")).getField("label").alias("new"))
         moved = saved(labels.join(best, "a"))
-        done = moved.where("new <> label").isEmpty()
-        labels = moved.select("a", F.col("new").alias("label"))
-        if done:
+        changed, other = moved.agg(F.count_if(F.col("new") != F.col("label")), F.count_if(~F.col("new").eqNullSafe(F.col("before")))).first()
+        labels = moved.select("a", F.col("new").alias("label"), F.col("label").alias("before"))
+        settled = not changed
+        if settled or not other:
             break
-    return labels.select(F.col("a").alias(node), "label")
+    return labels.select(F.col("a").alias(node), "label", F.lit(settled).alias("settled"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.operators import doublets
 from lacuna.operators.matrix import knn
 
 # The chains of the two receptor kinds.
@@ -30,11 +31,11 @@ def chain_qc(contigs: DataFrame, cell: list[str]) -> DataFrame:
 def doublet_scores(vectors: DataFrame, k: int = 10) -> DataFrame:
     """``id, score``: the share of synthetic doublets among the k nearest neighbours.
 
-    A doublet is the mean of two rows of a batch that follow each other in the order of
-    a hash of their ids, the same at every run.
+    A doublet is the mean of a row and the one that follows it in hash order in its pool
+    of the batch, the same at every run.
     """
-    order = Window.partitionBy("batch").orderBy(F.md5(F.col("id").cast("string")))
-    made = vectors.withColumn("w", F.lead("v").over(order)).where("w IS NOT NULL")
-    made = made.select((-F.col("id") - 1).alias("id"), F.zip_with("v", "w", lambda a, b: ((a + b) / 2).cast("float")).alias("v"), "batch")
-    near = knn(vectors, vectors.select("id", "v").union(made.select("id", "v")), k)
+    made = doublets.pairs(vectors.select(F.col("id").alias("cell"), F.col("batch").alias("library")), ratio=1)
+    ends = [made.select("a", "b").join(vectors.select(F.col("id").alias("a"), F.col("v").alias("v")), "a"), vectors.select(F.col("id").alias("b"), F.col("v").alias("w"))]
+    made = ends[0].join(ends[1], "b").select((-F.col("a") - 1).alias("id"), F.zip_with("v", "w", lambda a, b: ((a + b) / 2).cast("float")).alias("v"))
+    near = knn(vectors, vectors.select("id", "v").union(made), k)
     return near.groupBy(F.col("q_id").alias("id")).agg(F.round(F.count_if(F.col("id") < 0) / F.lit(float(k)), 6).alias("score"))

@@ -14,7 +14,7 @@ from lacuna.operators import subtypes as SU
 from lacuna.operators.graph import scratch
 from lacuna.plans.aggregates import QC, qc
 from lacuna.plans.bindings import ALN, CELLS, COO, alignments, cells, coo
-from lacuna.plans.registry import query
+from lacuna.plans.registry import ORACLE, query
 from lacuna.plans.statistics_queries import RANKS, r6, rank_sums
 from lacuna.sources import sinks
 
@@ -118,6 +118,11 @@ def tested(t):
     return ST.bh_fdr(w, "pval").select("gene", "log2fc", "pval", "padj")
 
 
+# The same series gives the p-values of the rank sums themselves.
+ORACLE["m11_rank_sum_p"] = f"""{TESTED}, signed AS (SELECT gene, (ra - na * (na + 1) / 2.0 - na * nb / 2.0) / sqrt(na * nb * (na + nb + 1) / 12.0) AS z FROM s)
+ SELECT gene, round(signed.z, 6) AS z, round(pval, 9) AS pval, round(padj, 9) AS padj FROM tested JOIN signed USING (gene)"""
+
+
 @query("q15b_gate_lists", f"""{TESTED}, gated AS (SELECT 'raw' AS gate, * FROM tested WHERE pval < {ALPHA} UNION ALL SELECT 'fdr', * FROM tested WHERE padj < {ALPHA})
  SELECT gate, CASE WHEN log2fc > 0 THEN 'up' ELSE 'down' END AS direction, gene, round(log2fc, 5) AS log2fc, round(pval, 9) AS pval, round(padj, 9) AS padj, count(*) OVER (PARTITION BY gate, log2fc > 0) >= {READY} AS ready
  FROM gated WHERE abs(log2fc) >= {FOLD}""")
