@@ -28,6 +28,20 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select("file", (F.col("_ahead") + F.col("_k") - 1).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
+#: Lines of a file that are counted together.
+RUN_LINES = 1 << 16
+
+
+def running(df: DataFrame, flag: Column, out: str) -> DataFrame:
+    """``df`` (file, line, ...) with how many lines up to this one of its file have ``flag``:
+    counted within runs of lines, the runs before added, so a large file is many tasks."""
+    rows = df.withColumn("_f", flag.cast("int")).withColumn("_run", F.expr(f"line div {RUN_LINES}"))
+    sizes = rows.groupBy("file", "_run").agg(F.sum("_f").alias("_in"))
+    ahead = sizes.select("file", "_run", (F.sum("_in").over(Window.partitionBy("file").orderBy("_run")) - F.col("_in")).alias("_ahead"))
+    inside = F.sum("_f").over(Window.partitionBy("file", "_run").orderBy("line"))
+    return rows.withColumn("_inside", inside).join(ahead, ["file", "_run"]).withColumn(out, F.col("_ahead") + F.col("_inside")).drop("_f", "_run", "_inside", "_ahead")
+
+
 def parse_delimited(df: DataFrame, schema: str, sep: str = "\t", keep: list[str] | None = None) -> DataFrame:
     """Typed columns from headerless delimited lines, ``keep`` of them if given."""
     names = [part.strip().split(" ") for part in schema.split(",")]
@@ -81,8 +95,7 @@ def parse_matrix(entries: DataFrame, barcodes: DataFrame, features: DataFrame) -
 
 def parse_fasta(df: DataFrame) -> DataFrame:
     """``name, seq`` per contig; a sequence may follow its name on the header line."""
-    w = Window.partitionBy("file").orderBy("line")
-    rows = df.withColumn("_h", F.col("value").startswith(">")).withColumn("_k", F.sum(F.col("_h").cast("int")).over(w))
+    rows = running(df.withColumn("_h", F.col("value").startswith(">")), F.col("_h"), "_k")
     inline = F.regexp_extract("value", r"^>\S+\s+([ACGTNacgtn]{20,})$", 1)
     parts = rows.withColumn("part", F.when(F.col("_h"), inline).otherwise(F.trim("value")))
     head = F.max(F.when(F.col("_h"), F.regexp_extract("value", r"^>(\S+)", 1))).alias("name")
@@ -117,9 +130,8 @@ def pair_reads(r1: DataFrame, r2: DataFrame) -> DataFrame:
 
 def parse_genbank_features(df: DataFrame) -> DataFrame:
     """``kind, start0, end0, name`` of feature lines and their /gene or /product."""
-    w = Window.partitionBy("file").orderBy("line")
     head = r"^ {5}(\S+) +(?:complement\()?<?(\d+)\.\.>?(\d+)\)?"
-    rows = df.withColumn("_h", F.col("value").rlike(head)).withColumn("_k", F.sum(F.col("_h").cast("int")).over(w)).where("_k > 0")
+    rows = running(df.withColumn("_h", F.col("value").rlike(head)), F.col("_h"), "_k").where("_k > 0")
     name = F.nullif(F.regexp_extract("value", r'/(?:gene|product|note)="([^"]*)"', 1), F.lit(""))
     first = F.when(F.col("_h"), F.struct(F.regexp_extract("value", head, 1).alias("kind"), (F.regexp_extract("value", head, 2).try_cast("int") - 1).alias("start0"), F.regexp_extract("value", head, 3).try_cast("int").alias("end0")))
     got = rows.groupBy("file", "_k").agg(F.max(first).alias("h"), F.min_by(name, F.when(name.isNotNull(), F.col("line"))).alias("name"))

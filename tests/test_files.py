@@ -100,3 +100,24 @@ def test_matrix_and_numbered_files(spark, tmp_path):
     assert {(r.line, r.value) for r in T.lines(spark, str(tmp_path / "f")).collect()} == {(0, ""), (1, "g2"), (2, "g3"), (3, "g4")}
     got = T.parse_matrix(*(T.lines(spark, str(tmp_path / x)) for x in "mbf")).collect()
     assert {tuple(r) for r in got} == {("c2", "", 5.0), ("c1", "g3", 2.0)}
+
+
+def test_heads_are_counted_over_runs_of_lines(spark, monkeypatch):
+    """Contigs and features that cross runs of lines, in several files."""
+    monkeypatch.setattr(T, "RUN_LINES", 4)
+    rows, want = [], {}
+    for file in "ab":
+        line = 0
+        for k in range(9):
+            seq = ["ACGT"[(k + j) % 4] * (j + 1) for j in range(k % 6)]
+            want[f"{file}{k}"] = "".join(seq)
+            for value in [f">{file}{k} x", *seq]:
+                rows.append((file, line, value))
+                line += 1
+    got = T.parse_fasta(spark.createDataFrame(rows, "file string, line long, value string").repartition(5))
+    assert {r.name: r.seq for r in got.collect()} == want
+    table = [("f", 0, "FEATURES")]
+    for k in range(7):
+        table += [("f", 3 * k + 1, f"     CDS             {k + 1}..{k + 9}"), ("f", 3 * k + 2, f'                     /gene="g{k}"'), ("f", 3 * k + 3, '                     /note="n"')]
+    found = T.parse_genbank_features(spark.createDataFrame(table, "file string, line long, value string"))
+    assert {tuple(r) for r in found.collect()} == {("CDS", k, k + 9, f"g{k}") for k in range(7)}
