@@ -17,7 +17,9 @@ Defined results
     null or empty pages have flat text evidence and are decided by the rest; a missing
     declaration, host or suffix is a value of its own ('') ; ties go to the language
     first in order; rows that repeat count each; a null id passes through; without any
-    labelled document the result has null languages; empty tables give empty results.
+    labelled document the result has null languages; more than ``MOST_LANGUAGES`` of them
+    are an error; texts of any length are read whole; columns besides those named are not
+    read; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ from lacuna.llm.runtime import small_batches, spread_join, stash, table
 SLOTS = 1 << 16
 #: Labelled documents fitted of each language at most.
 LANGUAGE_ROWS = 500
+#: Languages of a model: it holds half a megabyte for each in every task.
+MOST_LANGUAGES = 400
 #: Range of the hash by which they are taken.
 HASHES = (1 << 31) - 1
 #: A text counts as so many independent trigrams at most.
@@ -66,13 +71,13 @@ class TextModel:
         self.languages, self.logs = languages, logs
 
     @classmethod
-    def fit(cls, languages: list[str], seen: list[tuple[str, int, int]]) -> TextModel:
-        """``seen``: (language, slot, count) of trigrams."""
+    def fit(cls, languages: list[str], seen: pa.Table) -> TextModel:
+        """``seen``: columns lang, slot, n, a row for each trigram slot of a language."""
         languages = sorted(languages)
         counts = np.full((len(languages), SLOTS), 0.5)
-        row = {lang: k for k, lang in enumerate(languages)}
-        for lang, slot, n in seen:
-            counts[row[lang], slot] += n
+        if languages and seen.num_rows:
+            lang = pc.index_in(seen.column("lang"), value_set=pa.array(languages, pa.string())).to_numpy()
+            counts[lang, seen.column("slot").to_numpy()] += seen.column("n").to_numpy()
         return cls(languages, np.log(counts / counts.sum(axis=1, keepdims=True)) if languages else counts)
 
     def posterior(self, text: str) -> np.ndarray:
@@ -106,7 +111,9 @@ def sample(docs: DataFrame, id_column: str, text: str, lang: str) -> tuple[list[
     named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     some = named.select(F.col(id_column).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     some = some.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(HASHES)))
-    found = some.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min("h").alias("least")).collect()
+    found = some.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min("h").alias("least")).limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: clean the column, or raise MOST_LANGUAGES with the tasks' memory")
     upto = [(r.lang, max(r.least, 4 * LANGUAGE_ROWS * HASHES // r.rows)) for r in found]
     limits = docs.sparkSession.createDataFrame(upto, "lang string, upto long")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
@@ -117,7 +124,8 @@ def sample(docs: DataFrame, id_column: str, text: str, lang: str) -> tuple[list[
 def fit_text(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> TextModel:
     languages, taken = sample(docs, id_column, text, lang)
     seen = taken.mapInArrow(_slots_seen, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    return TextModel.fit(languages, [(r.lang, r.slot, r.n) for r in seen.collect()] if languages else [])
+    # At most SLOTS rows a language, as columns and not as Row objects.
+    return TextModel.fit(languages, seen.toArrow())
 
 
 def _text_evidence(sent):
