@@ -8,7 +8,7 @@ n - ceil(t n) + EXTRA, so pairs whose accumulated count stays below that are dis
 What remains is multiplied block after block over all columns, and a pair is discarded
 as soon as its count and what is left of the shorter rest stay below what t needs.
 
-No step lists all pairs of a group, nor of a column that many documents share:
+Pairs are held back in these ways; what they leave open is said below:
 
 * Documents with equal sets are one class from the start.
 * An entry (document, column) is dropped before any pair is made if the document cannot
@@ -21,6 +21,10 @@ No step lists all pairs of a group, nor of a column that many documents share:
   the column can be the first common one, which leaves each a band of partner sizes.
   Texts made from one template, alike but below the threshold, do not meet at all.
 
+Texts that share long columns and not the order of their rarest ones (pages of the same
+few lines, shuffled) still meet in the square of their number: bounds are applied to the
+joined rows, not in the join's key.  2,000 such pages gave 251,050 joined rows for 3 links.
+
 Defined results
     null or blank texts have no n-grams and link with nothing; texts with fewer words
     than n have one n-gram; rows that share a ``doc_id`` must share the text; a null ``doc_id``
