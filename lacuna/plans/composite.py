@@ -152,7 +152,7 @@ def q14(t):
 
 @query("q15_contrast_run")
 def q15(t):
-    """Both layers of one contrast with BH and gates; the p-values need Python."""
+    """Both layers of one contrast with BH and gates."""
     bulk_layer = ST.bh_fdr(welch_parts(t).withColumn("pval", ST.t_two_sided(F.col("t"), F.col("df"))), "pval").select("gene", F.lit("pseudobulk").alias("layer"), "pval", "padj")
     cell_layer = ST.bh_fdr(rank_sums(t).withColumn("pval", ST.normal_two_sided(F.col("z"))), "pval").select("gene", F.lit("cell").alias("layer"), "pval", "padj")
     both = bulk_layer.union(cell_layer)

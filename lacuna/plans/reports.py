@@ -15,7 +15,7 @@ from lacuna.operators.graph import scratch
 from lacuna.plans.aggregates import QC, qc
 from lacuna.plans.bindings import ALN, CELLS, COO, alignments, cells, coo
 from lacuna.plans.registry import ORACLE, query
-from lacuna.plans.statistics_queries import RANKS, r6, rank_sums
+from lacuna.plans.statistics_queries import RANKS, WELCH, r6, rank_sums
 from lacuna.sources import sinks
 
 FAMILIES = {"plain": ["STANDARD", "ECONOMY"]}
@@ -123,6 +123,11 @@ ORACLE["m11_rank_sum_p"] = f"""{TESTED}, signed AS (SELECT gene, (ra - na * (na
  SELECT gene, round(signed.z, 6) AS z, round(pval, 9) AS pval, round(padj, 9) AS padj FROM tested JOIN signed USING (gene)"""
 
 
+LAYERS = f"{WELCH}, {TESTED.removeprefix(f'WITH {CELLS}, {COO}, ')}"
+ORACLE["q15_contrast_run"] = f"""{LAYERS}, layered AS (SELECT gene, 'pseudobulk' AS layer, pval, padj FROM welched UNION ALL SELECT gene, 'cell', pval, padj FROM tested)
+ SELECT gene, layer, round(pval, 9) AS pval, round(padj, 9) AS padj, padj < 0.05 AS significant FROM layered"""
+
+
 @query("q15b_gate_lists", f"""{TESTED}, gated AS (SELECT 'raw' AS gate, * FROM tested WHERE pval < {ALPHA} UNION ALL SELECT 'fdr', * FROM tested WHERE padj < {ALPHA})
  SELECT gate, CASE WHEN log2fc > 0 THEN 'up' ELSE 'down' END AS direction, gene, round(log2fc, 5) AS log2fc, round(pval, 9) AS pval, round(padj, 9) AS padj, count(*) OVER (PARTITION BY gate, log2fc > 0) >= {READY} AS ready
  FROM gated WHERE abs(log2fc) >= {FOLD}""")

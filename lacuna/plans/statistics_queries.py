@@ -109,9 +109,22 @@ def m9(t):
     return chi_square(t).withColumn("chi2", r6("chi2"))
 
 
-@query("m9_chi_square_p")
+# SQL has no incomplete gamma and beta: both are written as their series.
+def gamma_tail_sql(a: str, x: str) -> str:
+    return f"CASE WHEN {x} <= 0 THEN 1 ELSE 1 - list_sum(list_transform(range(0, 600), lambda k: exp(({a} + k) * ln({x}) - {x} - lgamma({a} + k + 1)))) END"
+
+
+def t_tail_sql(t: str, df: str) -> str:
+    def series(p: str, q: str, y: str) -> str:
+        return f"list_sum(list_transform(range(0, 600), lambda k: exp(lgamma({p} + {q} + k) - lgamma({q}) - lgamma({p} + k + 1) + ({p} + k) * ln({y}) + {q} * ln(1 - {y}))))"
+
+    y, rest = f"({t} * {t} / ({df} + {t} * {t}))", f"({df} / ({df} + {t} * {t}))"
+    return f"CASE WHEN {t} IS NULL OR {df} IS NULL THEN NULL WHEN {t} = 0 THEN 1 WHEN {y} < 0.5 THEN 1 - {series('0.5', f'({df} / 2)', y)} ELSE {series(f'({df} / 2)', '0.5', rest)} END"
+
+
+@query("m9_chi_square_p", f"{CHI}, x AS (SELECT tissue, sum((n - e) * (n - e) / e) AS chi2, CAST(count(*) - 1 AS DOUBLE) AS df FROM s WHERE e >= 1 GROUP BY 1) SELECT tissue, round(chi2, 6) AS chi2, round({gamma_tail_sql('(df / 2)', '(chi2 / 2)')}, 9) AS p FROM x")
 def m9p(t):
-    """The p-value of the statistic; SQL has no incomplete gamma."""
+    """The p-value of the statistic."""
     c = chi_square(t)
     return c.select("tissue", r6("chi2").alias("chi2"), F.round(ST.chi2_upper(F.col("chi2"), F.col("df").cast("double")), 9).alias("p"))
 
@@ -152,9 +165,17 @@ def m10_paired(t):
     return got.select("gene", r6("log2fc").alias("log2fc"), F.round("t", 5).alias("t"), "df")
 
 
-@query("m10_welch_p")
+WELCH = f"""WITH {CELLS}, {COO}, b AS (SELECT tissue, library, gene, sum(value) AS v FROM coo JOIN cells USING (cell) WHERE tissue IN ('ASIA', 'EUROPE') GROUP BY 1, 2, 3), l AS (SELECT *, log2(v / sum(v) OVER (PARTITION BY library) * 1e6 + 1) AS x FROM b),
+ gs AS (SELECT gene, tissue, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM l GROUP BY 1, 2),
+ w AS (SELECT a.gene, a.m - b.m AS log2fc, (a.m - b.m) / nullif(sqrt(a.v / a.n + b.v / b.n), 0) AS t, pow(a.v / a.n + b.v / b.n, 2) / nullif(pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1), 0) AS df FROM gs a JOIN gs b ON a.gene = b.gene AND a.tissue = 'ASIA' AND b.tissue = 'EUROPE' WHERE a.n > 1 AND b.n > 1),
+ wp AS (SELECT *, {t_tail_sql('t', 'df')} AS pval FROM w),
+ wk AS (SELECT *, row_number() OVER (ORDER BY pval, gene) AS i, count(*) OVER () AS n FROM wp WHERE pval IS NOT NULL),
+ welched AS (SELECT wp.gene, wp.log2fc, wp.pval, padj FROM wp LEFT JOIN (SELECT gene, least(1.0, min(pval * n / i) OVER (ORDER BY i DESC)) AS padj FROM wk) k ON k.gene = wp.gene)"""
+
+
+@query("m10_welch_p", f"{WELCH} SELECT gene, round(log2fc, 6) AS log2fc, round(pval, 9) AS pval, round(padj, 9) AS padj FROM welched")
 def m10p(t):
-    """With two-sided p and BH; SQL has no incomplete beta."""
+    """With two-sided p and BH."""
     w = welch_parts(t).withColumn("pval", ST.t_two_sided(F.col("t"), F.col("df")))
     return ST.bh_fdr(w, "pval").select("gene", r6("log2fc").alias("log2fc"), F.round("pval", 9).alias("pval"), F.round("padj", 9).alias("padj"))
 
