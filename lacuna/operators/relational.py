@@ -46,8 +46,9 @@ def resolve_tags(wanted: DataFrame, names: DataFrame, tag: str = "tag", name: st
     """
     tags = wanted.select(F.col(tag).alias("t")).where("t IS NOT NULL").distinct()
     known = names.select(F.col(name).alias("n")).where("n IS NOT NULL").distinct()
-    lengths = tags.where("t <> ''").select(F.length("t").alias("k")).distinct()
-    begins = known.join(F.broadcast(lengths), F.length("n") >= F.col("k")).groupBy(F.substring("n", F.lit(1), F.col("k")).alias("t")).agg(F.min("n").alias("prefix"))
+    lengths = tags.where("t <> ''").agg(F.collect_set(F.length("t")).alias("ks"))  # one row
+    cut = known.join(F.broadcast(lengths)).select("n", F.explode(F.filter("ks", lambda k: k <= F.length("n"))).alias("k"))
+    begins = cut.groupBy(F.substring("n", F.lit(1), F.col("k")).alias("t")).agg(F.min("n").alias("prefix"))
     stems = known.groupBy(F.substring_index("n", separator, 1).alias("t")).agg(F.min("n").alias("stem"))
     found = tags.join(known.select(F.col("n").alias("t"), F.col("n").alias("exact")), "t", "left").join(stems, "t", "left").join(begins, "t", "left")
     rank = F.when(F.col("exact").isNotNull(), "exact").when(F.col("stem").isNotNull(), "stem").when(F.col("prefix").isNotNull(), "prefix").otherwise("missing")

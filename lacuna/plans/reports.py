@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import scalars as S
 from lacuna.operators import audit as A
+from lacuna.operators import relational as R
 from lacuna.operators import stats as ST
 from lacuna.operators import subtypes as SU
 from lacuna.operators.graph import scratch
@@ -29,7 +30,7 @@ TYPED_MEANS = """sizes AS (SELECT p_type AS type, count(*) AS size FROM part GRO
 def scores(t):
     """(library, cell, type, v): a panel's value in a cell by its genes."""
     sizes = t.part.groupBy("p_type").agg(F.count(F.lit(1)).alias("size"))
-    parts = t.part.join(F.broadcast(sizes), "p_type").select(F.col("p_partkey").alias("gene"), F.col("p_type").alias("type"), "size")
+    parts = t.part.join(R.small(sizes), "p_type").select(F.col("p_partkey").alias("gene"), F.col("p_type").alias("type"), "size")
     return coo(t).join(parts, "gene").join(cells(t), "cell").groupBy("library", "cell", "type").agg((F.sum("value") / F.first("size")).alias("v"))
 
 

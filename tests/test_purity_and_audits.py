@@ -98,3 +98,12 @@ def test_read_audits(spark):
     listed = spark.createDataFrame([("ACG",), ("TTT",)], "word string")
     assert tuple(RA.list_orientation(reads, listed, ["lib"], 3).first()) == ("x", 3, 1, 0, "forward")
     assert tuple(RA.usual_length(reads.where("seq <> ''"), ["lib"]).first()) == ("x", 5)
+
+
+def test_tags_resolve_in_three_ranks(spark):
+    from lacuna.operators.relational import resolve_tags
+
+    names = spark.createDataFrame([("CD3_a",), ("CD3_b",), ("CD3",), ("CD34_x",), ("CD8A",), (None,), ("HLA_DR",)], "name string")
+    wanted = spark.createDataFrame([("CD3",), ("CD34",), ("CD8",), ("HLA",), ("H",), ("none",), ("",), (None,), ("CD3",)], "tag string")
+    got = {tuple(r) for r in resolve_tags(wanted, names).collect()}
+    assert got == {("CD3", "CD3", "exact"), ("CD34", "CD34_x", "stem"), ("CD8", "CD8A", "prefix"), ("HLA", "HLA_DR", "stem"), ("H", "HLA_DR", "prefix"), ("none", None, "missing"), ("", None, "missing")}
