@@ -118,7 +118,7 @@ def q10(t):
     return own.groupBy("library").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.array_contains("owners", F.col("library")), F.lit(False))).alias("agree"))
 
 
-@query("q11_object_report", f"WITH {CELLS} SELECT 'cells' AS item, count(*) AS n FROM cells UNION ALL SELECT 'libraries', count(DISTINCT library) FROM cells UNION ALL SELECT 'duplicate keys', count(*) - count(DISTINCT cell) FROM cells UNION ALL SELECT 'placeholder levels', count(*) FILTER (lower(animal) IN ('', 'unknown', 'na')) FROM cells UNION ALL SELECT 'constant columns', 0")
+@query("q11_object_report", f"WITH {CELLS} SELECT 'cells' AS item, count(*) AS n FROM cells UNION ALL SELECT 'libraries', count(DISTINCT library) FROM cells UNION ALL SELECT 'duplicate keys', count(*) - count(DISTINCT cell) FROM cells UNION ALL SELECT 'placeholder levels', count(*) FILTER (lower(animal) IN ('', 'unknown', 'na')) FROM cells UNION ALL SELECT 'constant columns', " + " + ".join(f"CAST(count(DISTINCT {c}) <= 1 AS INTEGER)" for c in ("cell", "library", "tissue", "animal", "balance")) + " FROM cells")
 def q11(t):
     c = cells(t)
     one = c.agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("library").alias("libraries"), (F.count(F.lit(1)) - F.count_distinct("cell")).alias("duplicate keys"), F.count_if(S.is_placeholder(F.col("animal"))).alias("placeholder levels"))

@@ -65,7 +65,7 @@ def q5b(t):
 
 @query("q11b_report", f"""WITH {CELLS}, c AS (SELECT count(*) AS n FROM cells), g AS (SELECT tissue, animal, count(*) AS n FROM cells GROUP BY 1, 2), d AS (SELECT animal FROM g WHERE n >= 3 GROUP BY 1 HAVING count(*) > 1)
  SELECT 'census: levels' AS section, 'library' AS item, count(DISTINCT library) AS n FROM cells UNION ALL SELECT 'census: levels', 'tissue', count(DISTINCT tissue) FROM cells UNION ALL SELECT 'census: levels', 'animal', count(DISTINCT animal) FROM cells
- UNION ALL SELECT 'census: missing', x.item, 0 FROM (VALUES ('library'), ('tissue'), ('animal')) x(item)
+ UNION ALL SELECT 'census: missing', 'library', count(*) - count(library) FROM cells UNION ALL SELECT 'census: missing', 'tissue', count(*) - count(tissue) FROM cells UNION ALL SELECT 'census: missing', 'animal', count(*) - count(animal) FROM cells
  UNION ALL SELECT 'counts: library', library, count(*) FROM cells GROUP BY 2 UNION ALL SELECT 'counts: tissue', tissue, count(*) FROM cells GROUP BY 2 UNION ALL SELECT 'counts: animal', animal, count(*) FROM cells GROUP BY 2
  UNION ALL SELECT 'composition', concat(tissue, ' | ', animal), n FROM g
  UNION ALL SELECT 'integrity', 'duplicate keys', count(*) - count(DISTINCT cell) FROM cells

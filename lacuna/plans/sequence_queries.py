@@ -22,10 +22,10 @@ def sp1(t):
     return reads(t).select("doc_id", "read_no", Q.revcomp(F.col("seq")).alias("rc"))
 
 
-@query("sp2_parse_cigar", f"WITH {ALN} SELECT l_orderkey, l_linenumber, 7 AS n_ops, '2S' AS kind, lead + m1 + d + 30 + ins + 5 + trail AS total FROM aln")
+@query("sp2_parse_cigar", f"WITH {ALN} SELECT l_orderkey, l_linenumber, 7 AS n_ops, concat(lead, 'S', trail, 'S') AS clips, lead + m1 + d + 30 + ins + 5 + trail AS total FROM aln")
 def sp2(t):
     ops = Q.cigar_ops(F.col("cigar"))
-    return alignments(t).select("l_orderkey", "l_linenumber", F.size(ops).alias("n_ops"), F.concat(F.size(F.filter(ops, lambda o: o["op"] == "S")).cast("string"), F.lit("S")).alias("kind"), F.aggregate(ops, F.lit(0), lambda a, o: a + o["n"]).alias("total"))
+    return alignments(t).select("l_orderkey", "l_linenumber", F.size(ops).alias("n_ops"), F.array_join(F.transform(F.filter(ops, lambda o: o["op"] == "S"), lambda o: F.concat(o["n"].cast("string"), o["op"])), "").alias("clips"), F.aggregate(ops, F.lit(0), lambda a, o: a + o["n"]).alias("total"))
 
 
 @query("sp3_cigar_lengths", f"WITH {ALN} SELECT l_orderkey, l_linenumber, m1 + d + 30 + 5 AS ref_length, lead + m1 + 30 + ins + 5 + trail AS query_length, m1 + 35 AS matched, lead, trail, ins AS insertion, pos - 1 + m1 + d + 35 AS ref_end FROM aln")
@@ -223,10 +223,10 @@ def sp26(t):
     return reads(t).where("length(seq) >= 20").select("doc_id", "read_no", edited.alias("edited"), (back == F.col("seq")).alias("round_trip"))
 
 
-@query("sp27_geometry_flags", f"WITH {ALN} SELECT l_orderkey, l_linenumber, abs(pos - 1 - 134) <= 2 AS starts_at_edge, abs(pos - 1 + m1 + d + 35 - 100) <= 2 AS ends_at_edge, true AS clipped FROM aln")
+@query("sp27_geometry_flags", f"WITH {ALN} SELECT l_orderkey, l_linenumber, abs(pos - 1 - 134) <= 2 AS starts_at_edge, abs(pos - 1 + m1 + d + 35 - 100) <= 2 AS ends_at_edge, lead >= 6 OR trail >= 3 AS clipped FROM aln")
 def sp27(t):
     start, end = F.col("pos") - 1, F.col("pos") - 1 + Q.ref_length(F.col("cigar"))
-    return alignments(t).select("l_orderkey", "l_linenumber", (F.abs(start - 134) <= 2).alias("starts_at_edge"), (F.abs(end - 100) <= 2).alias("ends_at_edge"), F.col("cigar").contains("S").alias("clipped"))
+    return alignments(t).select("l_orderkey", "l_linenumber", (F.abs(start - 134) <= 2).alias("starts_at_edge"), (F.abs(end - 100) <= 2).alias("ends_at_edge"), ((Q.clip_length(F.col("cigar"), "lead") >= 6) | (Q.clip_length(F.col("cigar"), "trail") >= 3)).alias("clipped"))
 
 
 ALN_SPANS = "sp AS (SELECT library, pos - 1 AS s, pos - 1 + m1 + d + 35 AS e FROM aln), ev AS (SELECT library, s AS loc, 1 AS step FROM sp UNION ALL SELECT library, e, -1 FROM sp), st AS (SELECT library, loc, sum(step) AS step FROM ev GROUP BY 1, 2), rn AS (SELECT library, loc AS lo, lead(loc) OVER w AS hi, sum(step) OVER w AS depth FROM st WINDOW w AS (PARTITION BY library ORDER BY loc))"
