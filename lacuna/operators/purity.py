@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lacuna.operators import neighbours
 from lacuna.operators.communities import communities
-from lacuna.operators.graph import saved
+from lacuna.operators.graph import components, saved
 
 NEIGHBOURS, MADS, MARGIN, ROUNDS = 15, 3.0, 0.0, 10
 
@@ -56,6 +56,14 @@ def neighbour_clusters(vectors: DataFrame, k: int = NEIGHBOURS, resolution: floa
     return communities(vectors.select(F.col("id").alias("node")), edges, resolution).select(F.col("node").alias("cell"), F.col("community").alias("cluster"))
 
 
+def chained_clusters(vectors: DataFrame, k: int = 1) -> DataFrame:
+    """``cell, cluster``: components of the graph of the ``k`` nearest rows, where a cheap
+    clustering will do: a few rounds in place of many."""
+    near, _ = neighbours.search(vectors, neighbours.build(vectors), k)
+    found = components(vectors.select(F.col("id").alias("node")), near.select(F.col("q_id").alias("a"), F.col("id").alias("b")))
+    return found.select(F.col("node").alias("cell"), F.col("component").alias("cluster"))
+
+
 def purify(vectors: DataFrame, scores: DataFrame, anchor: str, cluster: Callable[[DataFrame], DataFrame] = neighbour_clusters, mads: float = MADS, margin: float = MARGIN, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Cells with the ``cluster`` they ended in and the round they were ``removed`` in
     (null: kept), and a ledger: ``round, clusters, flagged, cells, removed, settled``.
