@@ -281,3 +281,25 @@ def test_arms_within_batches(spark):
     arm = F.when(F.col("who") == "k", "b").when(F.col("who") == "i", "a")
     assert {tuple(r) for r in A.within_batch(df, arm, "lib", 2).collect()} == {("l1", 2, 3, True), ("l2", 4, 0, False)}
     assert {tuple(r) for r in A.shared_levels(df, arm, "who", "tp", 3).collect()} == {("t1", 1, 1, True), ("t2", 0, 0, False)}
+
+
+def test_partial_matches_of_reads_shorter_than_the_longest_overlap(spark):
+    from lacuna.operators import molecules as MO
+
+    reads = spark.createDataFrame([("nine", "CCCGGGTTT"), ("ten", "ACCCGGGTTT"), ("eight", "CCGGGTTT"), ("whole", "AAACCCGGGTT"), ("none", None)], "read_id string, seq string")
+    cores = spark.createDataFrame([("AAACCCGGGTTT",)], "core string")
+    got = {(r.read_id, r.bases) for r in MO.partial_matches(reads, cores, 12, 9).collect()}
+    assert got == {("nine", 9), ("ten", 10), ("whole", 11)}
+
+
+def test_partial_overlaps_of_short_documents(spark, tmp_path):
+    import duckdb
+    from helpers import same_rows
+
+    from lacuna.plans import catalog
+
+    texts = ["qwertyuiopasdfghjklzxcvbnm", "dfghjklzxcvb"[3:], "asdfghjklz"[:9], "dfghjklzxc", "fghjklzxc"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert any(r for r in same_rows(catalog.queries()["sp16_partial_overlap"](spark, str(tmp_path)), con, catalog.oracle_sql()["sp16_partial_overlap"]))
