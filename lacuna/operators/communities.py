@@ -54,16 +54,21 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0, nod
 
 
 def _granted(wishes: DataFrame, resolution: float, least: float, turn: int) -> DataFrame:
-    """``v, goal`` of the wishes ``v, c, goal, k, g`` that are granted."""
-    key = F.struct("g", "v")
+    """``v, goal`` of the wishes ``v, c, goal, k, g`` that are granted.
+
+    Wishes of equal gain are in the order of a hash that changes with the round: in the
+    order of nodes, a chain of equals would grant one wish in a round.
+    """
+    drawn = F.xxhash64("v", F.lit(turn), F.lit("draw"))
+    key = F.struct("g", drawn.alias("_draw"), "v")
     roles = wishes.groupBy(F.col("goal").alias("c")).agg(F.max(key).alias("into")).join(wishes.groupBy("c").agg(F.max(key).alias("out")), "c", "full")
     taking = roles.where("out IS NULL OR into > out").select(F.col("c").alias("goal"))
     asked = wishes.join(taking, "goal", "left_semi").join(taking.select(F.col("goal").alias("c")), "c", "left_anti")
     bucket = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(BUCKETS))
 
     def best(rows: DataFrame, side: str, more: str) -> DataFrame:
-        one = rows.groupBy(side, bucket.alias("_b")).agg(F.max(F.struct("g", "v", "k", "c", "goal", *(["joined"] if "joined" in rows.columns else []))).alias("r")).select("r.*")
-        ahead = F.sum("k").over(Window.partitionBy(side).orderBy(F.desc("g"), F.desc("v")).rowsBetween(Window.unboundedPreceding, -1))
+        one = rows.groupBy(side, bucket.alias("_b")).agg(F.max(F.struct("g", drawn.alias("_draw"), "v", "k", "c", "goal", *(["joined"] if "joined" in rows.columns else []))).alias("r")).select("r.*")
+        ahead = F.sum("k").over(Window.partitionBy(side).orderBy(F.desc("g"), F.desc("_draw"), F.desc("v")).rowsBetween(Window.unboundedPreceding, -1))
         return one.withColumn(more, F.coalesce(ahead, F.lit(0)))
 
     held = best(best(asked, "goal", "joined"), "c", "left")

@@ -118,3 +118,11 @@ def test_edges_of_graphs(spark):
     assert fine == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
     coarse = found(spark, range(6), [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (3, 4, 1.0), (4, 5, 1.0), (3, 5, 1.0), (2, 3, 1.0)], resolution=0.05)
     assert set(coarse.values()) == {0}
+
+
+def test_a_chain_of_equal_wishes_is_not_granted_one_by_one(spark):
+    from lacuna.operators import communities as C
+
+    wishes = spark.createDataFrame([(k, k, k - 1, 10, 1e6) for k in range(1, 200)], "v long, c long, goal long, k long, g double")
+    moves = {r.v: r.goal for r in C._granted(wishes, 1.0, 1e-12, 0).collect()}
+    assert len(moves) > 40 and not set(moves) & set(moves.values())
