@@ -79,7 +79,9 @@ def parse_gtf_genes(df: DataFrame) -> DataFrame:
 def parse_gmt(df: DataFrame) -> DataFrame:
     """``set_id, set_name, gene`` exploded."""
     cells = F.split("value", "\t")
-    return df.select(cells[0].alias("set_id"), cells[1].alias("set_name"), F.explode(F.filter(F.slice(cells, F.lit(3), F.size(cells)), lambda g: g != "")).alias("gene"))
+    # A line is cut once, below the explode: above it, once for each of its genes.
+    cut = df.select(cells[0].alias("set_id"), cells[1].alias("set_name"), F.slice(cells, F.lit(3), F.size(cells)).alias("genes"))
+    return cut.select("set_id", "set_name", F.explode("genes").alias("gene")).where("gene <> ''")
 
 
 def parse_matrix(entries: DataFrame, barcodes: DataFrame, features: DataFrame) -> DataFrame:

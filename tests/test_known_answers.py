@@ -303,3 +303,21 @@ def test_partial_overlaps_of_short_documents(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert any(r for r in same_rows(catalog.queries()["sp16_partial_overlap"](spark, str(tmp_path)), con, catalog.oracle_sql()["sp16_partial_overlap"]))
+
+
+def test_overlaps_of_repeated_spans(spark):
+    from itertools import product
+
+    a = [(k % 3 if k % 7 else None, k, k % 5, k % 5 + k % 4) for k in range(60)]
+    b = [(k % 3, k, k % 6 - 3, k % 6) for k in range(40)]
+    left, right = spark.createDataFrame(a, "g int, i int, s int, e int"), spark.createDataFrame(b, "g int, j int, t int, f int")
+    want = sorted((x[1], y[1]) for x, y in product(a, b) if x[0] == y[0] and x[3] > x[2] < y[3] and y[2] < x[3])
+    for join in (I.overlap_join, I.overlap_join_of_repeats):
+        assert sorted((r.i, r.j) for r in join(left, right, ["g"], ("s", "e"), ("t", "f"), 2).collect()) == want
+
+
+def test_a_gene_set_is_cut_below_the_explode(spark):
+    made = spark.createDataFrame([("s\tname\ta\t\tb",), ("t\tnone",)], "value string")
+    sets = T.parse_gmt(made)
+    assert [tuple(r) for r in sets.collect()] == [("s", "name", "a"), ("s", "name", "b")]
+    assert "split(" not in sets._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
