@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lacuna.operators.graph import saved
+
 
 def write_csv(df: DataFrame, path: str) -> int:
     """CSV with a header in the folder ``path``, a file for each task; the rows written."""
@@ -63,6 +65,7 @@ def write_headed(df: DataFrame, head: list[str], path: str) -> None:
 
 def write_matrix(coo: DataFrame, path: str) -> None:
     """MatrixMarket files of ``i, j, value`` (1-based): each has the head of the whole."""
+    coo = saved(coo)  # counted for the head, then written
     rows, columns, n = coo.agg(F.max("i"), F.max("j"), F.count(F.lit(1))).first()
     write_headed(coo.select(F.concat_ws(" ", "i", "j", "value").alias("value")), ["%%MatrixMarket matrix coordinate real general", f"{rows or 0} {columns or 0} {n}"], path)
 
