@@ -12,7 +12,7 @@ at most sqrt(sources x documents) slots; weights that are given are taken as the
 fractions that they print as, brought to a common denominator.  Such a cycle can be longer
 than any table (13/35 prints 17 digits): the fold then ends with the last block that
 exists, and where sources far outlast the others (``FOLD_SLOTS``) not before the first of
-them has run out; what is left of them later goes at its release, within its window, two
+them (of weights that are given) has run out; what is left of them later goes at its release, within its window, two
 of them perhaps to one slot.  The fold is one task of slots x different weights steps.
 
 Nothing is sorted or ranked in one place: ranks within a source are counted by hash
@@ -62,12 +62,14 @@ def target_weights(docs: DataFrame, weights: dict[str, float] | None, other: flo
     return [(src, total, n // common) for (src, total), n in zip(totals, ints, strict=True)]
 
 
-def fold_slots(parts: list[tuple[str, int, int]], block: int) -> int:
+def fold_slots(parts: list[tuple[str, int, int]], block: int, whole: bool = False) -> int:
     """Slots to be folded of the cycle: all, or to the deadline of the last block, or, where
-    that is far off, to that of the first source to end."""
+    that is far off and unless the ``whole`` is asked for, to that of the first source to end."""
     q = sum(n for *_, n in parts)
     ends = [-(-(-(-total // block) * q) // n) for _, total, n in parts if n] or [0]
-    return q if q <= FOLD_SLOTS else min(q, max(ends) if max(ends) <= FOLD_SLOTS else min(ends))
+    if whole or q <= FOLD_SLOTS or max(ends) <= FOLD_SLOTS:
+        return min(q, max(ends)) if whole or q > FOLD_SLOTS else q
+    return min(q, min(ends))
 
 
 def cycle(spark, ns: list[int], slots_wanted: int | None = None) -> DataFrame:
@@ -146,7 +148,8 @@ def _slotted(docs: DataFrame, weights: dict[str, float] | None, other: float, bl
     inside = F.row_number().over(Window.partitionBy("_k", "_bucket").orderBy("_hash", "_id"))
     ranked = rows.withColumn("_inside", inside).join(ahead, ["_k", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_ahead") + F.col("_inside") - 1).withColumn("_block", F.expr(f"_rank div {block}")).withColumn("_j", F.expr("_block % _n"))
-    wanted = fold_slots(parts, block)
+    # Cycles of default weights are short beside the table, and always folded whole.
+    wanted = fold_slots(parts, block, whole=weights is None)
     slots = stash(cycle(spark, [n for _, _, n in parts], wanted).select(F.col("k").alias("_k"), F.col("j").alias("_j"), F.col("at").alias("_at")), "cycle")
     placed = ranked.join(F.broadcast(slots) if wanted <= BROADCAST_SLOTS else slots, ["_k", "_j"], "left" if wanted < q else "inner")
     q_of = f"CAST({q} AS {'BIGINT' if q < LONG_CYCLE else 'DECIMAL(38,0)'})"

@@ -120,3 +120,13 @@ def test_twenty_thousand_sources(spark):
     got = mixing.mix(make(spark, rows), block=1).select("mix.*").collect()
     assert sorted(r.position for r in got) == list(range(26_000))
     assert all(r.release <= r.slot < r.deadline for r in got) and len({r.slot for r in got}) == 26_000
+
+
+def test_default_weights_do_not_depend_on_the_length_of_the_cycle(spark, monkeypatch):
+    """Sources that end within the first cycle: the others keep the slots of the whole fold."""
+    rows = [(k, "t", s) for k, s in enumerate("a" * 400 + "b" * 24 + "c" * 8)]
+    found = []
+    for slots in (mixing.FOLD_SLOTS, 3):
+        monkeypatch.setattr(mixing, "FOLD_SLOTS", slots)
+        found.append(sorted(tuple(r) for r in mixing.mix(make(spark, rows)).select("doc_id", "mix.*").collect()))
+    assert found[0] == found[1]
