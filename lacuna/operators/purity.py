@@ -5,6 +5,10 @@ score for some lineage lies far above those of the other clusters and its best m
 beats that of the anchor.  Flagged clusters are taken out, what is left is clustered
 again, and so on; every cell ends with the round and the cluster that it left in, or the
 last, and a ledger adds up to all cells.
+
+A clustering is closed if a cluster depends on its own rows alone: what is left after whole
+clusters went is clustered as before, so it is made once for all rounds.  Components of
+nearest rows are closed, as every row's nearest are in its own cluster and go or stay with it.
 """
 
 from __future__ import annotations
@@ -58,23 +62,25 @@ def neighbour_clusters(vectors: DataFrame, k: int = NEIGHBOURS, resolution: floa
 
 def chained_clusters(vectors: DataFrame, k: int = 1) -> DataFrame:
     """``cell, cluster``: components of the graph of the ``k`` nearest rows, where a cheap
-    clustering will do: a few rounds in place of many."""
+    clustering will do: a few rounds in place of many.  It is closed."""
     near, _ = neighbours.search(vectors, neighbours.build(vectors), k)
     found = components(vectors.select(F.col("id").alias("node")), near.select(F.col("q_id").alias("a"), F.col("id").alias("b")))
     return found.select(F.col("node").alias("cell"), F.col("component").alias("cluster"))
 
 
-def purify(vectors: DataFrame, scores: DataFrame, anchor: str, cluster: Callable[[DataFrame], DataFrame] = neighbour_clusters, mads: float = MADS, margin: float = MARGIN, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def purify(vectors: DataFrame, scores: DataFrame, anchor: str, cluster: Callable[[DataFrame], DataFrame] = neighbour_clusters, mads: float = MADS, margin: float = MARGIN, rounds: int = ROUNDS, closed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Cells with the ``cluster`` they ended in and the round they were ``removed`` in
     (null: kept), and a ledger: ``round, clusters, flagged, cells, removed, settled``.
 
     ``vectors`` has ``id, v``.  Rounds end when none is flagged or nothing would be left;
     the last row of the ledger tells whether that was before ``rounds`` were over.
+    ``closed`` tells that ``cluster`` is.
     """
     left = saved(vectors.select("id", "v"))
-    gone, ledger = None, []
+    gone, ledger, members = None, [], None
     for turn in range(1, rounds + 1):
-        members = saved(cluster(left))
+        if members is None or not closed:
+            members = saved(cluster(left))
         judged = saved(cluster_purity(members, scores, anchor, mads, margin))
         clusters, flagged, cells, out = judged.agg(F.count(F.lit(1)), F.count_if("contaminant"), F.sum("n_cells"), F.coalesce(F.sum(F.when(F.col("contaminant"), F.col("n_cells"))), F.lit(0))).first()
         clean = not flagged or out == cells
@@ -85,7 +91,10 @@ def purify(vectors: DataFrame, scores: DataFrame, anchor: str, cluster: Callable
         part = members.join(bad, "cluster", "left_semi").select("cell", "cluster", F.lit(turn).alias("removed"))
         gone = part if gone is None else gone.union(part)
         members = members.join(bad, "cluster", "left_anti")
-        left = saved(left.join(members.select(F.col("cell").alias("id")), "id", "left_semi"))
+        if closed:
+            members = saved(members)
+        else:
+            left = saved(left.join(members.select(F.col("cell").alias("id")), "id", "left_semi"))
     kept = members.select("cell", "cluster", F.lit(None).cast("int").alias("removed"))
     every = kept if gone is None else kept.union(gone)
     return every, vectors.sparkSession.createDataFrame(ledger, "round int, clusters long, flagged long, cells long, removed long, settled boolean")

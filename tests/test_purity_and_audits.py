@@ -66,6 +66,22 @@ def test_clusters_of_neighbours(spark):
     assert ledger.where("round = 2").first().settled
 
 
+def test_closed_clusters_are_made_once(spark):
+    vectors, scores = frames(spark, [(14, *g[1:]) for g in GROUPS] + [(9, (20, 20, 20), (0.3, 0.0, 0.4))])
+    vectors = vectors.union(spark.createDataFrame([(900, None)], vectors.schema))
+    made = []
+
+    def counted(left):
+        made.append(left)
+        return P.chained_clusters(left)
+
+    cells, ledger = P.purify(vectors, scores, "own", counted, closed=True)
+    assert len(made) == 1 and ledger.count() > 1
+    anew = P.purify(vectors, scores, "own", P.chained_clusters)
+    assert sorted(map(tuple, ledger.collect())) == sorted(map(tuple, anew[1].collect()))
+    assert {tuple(r) for r in cells.select("cell", "cluster", "removed").collect()} == {tuple(r) for r in anew[0].select("cell", "cluster", "removed").collect()}
+
+
 def test_sketches_merge_within_bounds(spark):
     rng = random.Random(4)
     rows = [(k % 7, rng.choice("xy"), rng.randrange(4000), rng.gauss(0, 1)) for k in range(40_000)] + [(0, "x", None, None)]
