@@ -149,7 +149,7 @@ def ag19(t):
 
 @query("ag20_fraction_expressing", f"WITH {CELLS}, {COO}, n AS (SELECT tissue, count(*) AS n_cells FROM cells GROUP BY 1) SELECT c.tissue, gene, count(DISTINCT cell) AS n_expressing, max(n_cells) AS n_cells, round(count(DISTINCT cell) / max(n_cells), 6) AS fraction FROM coo JOIN cells c USING (cell) JOIN n ON c.tissue = n.tissue WHERE value > 0 GROUP BY 1, 2")
 def ag20(t):
-    return M.fraction_expressing(coo(t), cells(t), "tissue").withColumn("fraction", F.round("fraction", 6))
+    return M.fraction_expressing(coo(t), cells(t), "tissue", single=True).withColumn("fraction", F.round("fraction", 6))
 
 
 @query("ag21_pseudobulk", f"WITH {CELLS}, {COO}, k AS (SELECT library FROM cells GROUP BY 1 HAVING count(*) >= 5) SELECT library, gene, sum(value) AS value FROM coo JOIN cells USING (cell) WHERE library IN (SELECT library FROM k) GROUP BY 1, 2")

@@ -321,3 +321,14 @@ def test_a_gene_set_is_cut_below_the_explode(spark):
     sets = T.parse_gmt(made)
     assert [tuple(r) for r in sets.collect()] == [("s", "name", "a"), ("s", "name", "b")]
     assert "split(" not in sets._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+
+
+def test_fraction_expressing_counts_rows_of_single_pairs(spark):
+    coo = spark.createDataFrame([(1, 7, 2.0), (2, 7, 1.0), (3, 7, 0.0), (1, 8, 5.0), (4, 8, 1.0), (9, 8, 1.0)], "cell long, gene long, value double")
+    cells = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (3, "b"), (4, "b"), (4, "a"), (5, "b"), (9, None)], "cell long, kind string")
+    plain, rows = M.fraction_expressing(coo, cells, "kind"), M.fraction_expressing(coo, cells, "kind", single=True)
+    got = {tuple(r) for r in rows.select("kind", "gene", "n_expressing", "n_cells").collect()}
+    assert got == {("a", 7, 2, 4), ("a", 8, 2, 4), ("b", 8, 1, 3)}
+    assert got == {tuple(r) for r in plain.select("kind", "gene", "n_expressing", "n_cells").collect()}
+    # No row is held by its cell once more.
+    assert "distinct" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
