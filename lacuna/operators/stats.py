@@ -194,10 +194,10 @@ def rank_sum(df: DataFrame, by: list[str], value: str, group: str, sizes: dict[s
     """
     na, nb = (sizes[k].cast("double") for k in "ab")  # products of whole numbers would overflow
     per = df.groupBy(*by, value).agg(F.count_if(F.col(group) == "a").alias("ta"), F.count_if(F.col(group) == "b").alias("tb"))
-    nonzero = df.groupBy(*by).agg(F.count_if(F.col(group) == "a").alias("xa"), F.count_if(F.col(group) == "b").alias("xb"))
-    below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("under", F.coalesce(F.sum(F.col("ta") + F.col("tb")).over(below), F.lit(0)))
-    ranked = ranked.join(nonzero, by).withColumn("zeros", na + nb - F.col("xa") - F.col("xb"))
+    whole = Window.partitionBy(*by)  # distinct values of one item, not its rows
+    below = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = per.dropna(subset=by).withColumn("under", F.coalesce(F.sum(F.col("ta") + F.col("tb")).over(below), F.lit(0)))
+    ranked = ranked.withColumn("xa", F.sum("ta").over(whole)).withColumn("xb", F.sum("tb").over(whole)).withColumn("zeros", na + nb - F.col("xa") - F.col("xb"))
     rank = F.col("zeros") + F.col("under") + (F.col("ta") + F.col("tb") + 1) / 2.0
     sums = ranked.groupBy(*by).agg(F.sum(rank * F.col("ta")).alias("r"), F.first("zeros").alias("zeros"), F.first("xa").alias("xa"), F.sum(F.col(value) * F.col("ta")).alias("sa"), F.sum(F.col(value) * F.col("tb")).alias("sb"))
     total = F.col("r") + (na - F.col("xa")) * (F.col("zeros") + 1) / 2.0

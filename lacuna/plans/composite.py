@@ -21,7 +21,7 @@ from lacuna.plans.aggregates import DOMINANT, QC, TYPED, labels, qc
 from lacuna.plans.basic import RULES, RULES_SQL, spans
 from lacuna.plans.bindings import ALN, CELLS, CONTIGS, COO, MOL, READS, SEQ, alignments, cells, contigs, coo, molecules, reads, sequences
 from lacuna.plans.registry import query
-from lacuna.plans.statistics_queries import BRANDS, HYPER, OVERLAP, UPDOWN, bulk, ora_counts, overlaps, r6, rank_sums, welch_parts
+from lacuna.plans.statistics_queries import BRANDS, HYPER, OVERLAP, UPDOWN, bulk, ora_counts, overlaps, r6, rank_sums, two_arms, welch_parts
 
 W = Window
 
@@ -153,8 +153,9 @@ def q14(t):
 @query("q15_contrast_run")
 def q15(t):
     """Both layers of one contrast with BH and gates."""
-    bulk_layer = ST.bh_fdr(welch_parts(t).withColumn("pval", ST.t_two_sided(F.col("t"), F.col("df"))), "pval").select("gene", F.lit("pseudobulk").alias("layer"), "pval", "padj")
-    cell_layer = ST.bh_fdr(rank_sums(t).withColumn("pval", ST.normal_two_sided(F.col("z"))), "pval").select("gene", F.lit("cell").alias("layer"), "pval", "padj")
+    rows = two_arms(t)
+    bulk_layer = ST.bh_fdr(welch_parts(t, rows).withColumn("pval", ST.t_two_sided(F.col("t"), F.col("df"))), "pval").select("gene", F.lit("pseudobulk").alias("layer"), "pval", "padj")
+    cell_layer = ST.bh_fdr(rank_sums(t, rows).withColumn("pval", ST.normal_two_sided(F.col("z"))), "pval").select("gene", F.lit("cell").alias("layer"), "pval", "padj")
     both = bulk_layer.union(cell_layer)
     return both.select("gene", "layer", F.round("pval", 9).alias("pval"), F.round("padj", 9).alias("padj"), (F.col("padj") < 0.05).alias("significant"))
 

@@ -332,3 +332,15 @@ def test_fraction_expressing_counts_rows_of_single_pairs(spark):
     assert got == {tuple(r) for r in plain.select("kind", "gene", "n_expressing", "n_cells").collect()}
     # No row is held by its cell once more.
     assert "distinct" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_contrast_reads_lines_once_and_totals_meet_in_no_window(spark, data):
+    from lacuna.plans import catalog
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan(catalog.queries()["q15_contrast_run"](spark, data))
+    bulk = spark.createDataFrame([("x", 1, 30.0), ("x", 2, 10.0), ("y", 1, 0.0), (None, 1, 4.0)], "rep string, gene long, value double")
+    cpm = M.log_cpm(bulk, ["rep"])
+    assert "Window" not in plan(cpm)
+    got = {(r.rep, r.gene): r.logcpm for r in cpm.collect()}
+    assert got == pytest.approx({("x", 1): math.log2(750001), ("x", 2): math.log2(250001), ("y", 1): 0.0, (None, 1): math.log2(1000001)})
